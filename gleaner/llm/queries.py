@@ -7,17 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .common import read
+from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .near_dedup import near_classes
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +51,25 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+         coalesce('=' || role, '-') || chr(31) || coalesce('=' || text, '-') || chr(30) AS e,
+         '<|' || replace(coalesce(role, 'none'), '<|', '<||') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<||') || '<|end|>' || chr(10) AS r
+  FROM conversations
+), c AS (
+  SELECT conv_id, count(*) AS n_turns, md5(string_agg(e, '' ORDER BY i)) AS whole, string_agg(r, '' ORDER BY i) AS rendered FROM t GROUP BY conv_id
+), p AS (
+  SELECT conv_id, i, md5(string_agg(e, '') OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS whole FROM t
+), inside AS (
+  SELECT DISTINCT p.whole FROM p JOIN c ON p.conv_id IS NOT DISTINCT FROM c.conv_id WHERE i < n_turns
+), d AS (
+  SELECT min(conv_id) AS conv_id, count(*) AS n_equal, whole FROM c GROUP BY whole
+)
+SELECT c.conv_id, n_turns, n_equal, rendered FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.whole = d.whole
+WHERE c.whole NOT IN (SELECT whole FROM inside)
+"""
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -46,6 +87,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT rid, i, array_to_string(ws[i : i + 34], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)
+), twice AS (
+  SELECT s FROM w GROUP BY s HAVING count(*) > 1
+), hit AS (
+  SELECT rid, i FROM w SEMI JOIN twice USING (s)
+), p AS (
+  SELECT rid, i, ws[i] AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+), m AS (
+  SELECT p.rid, p.i, word, max(CASE WHEN hit.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.rid ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM p LEFT JOIN hit ON p.rid = hit.rid AND p.i = hit.i
+), k AS (
+  SELECT rid, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY rid
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -78,9 +140,13 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
+    "op5_near_dedup": op5_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_source_mix": op10_source_mix,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op10_source_mix": OP10_SQL}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op10_source_mix": OP10_SQL}

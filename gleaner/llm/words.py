@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
+MASK = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
