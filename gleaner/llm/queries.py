@@ -11,10 +11,13 @@ from .chat import format_chats
 from .common import read
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
+from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .near_dedup import near_classes
+from .permutation_index import nearest
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
+from .toxicity import fit, held_out, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +33,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    done = score_toxicity(docs, model, keep=["doc_id"])
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -46,6 +61,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mix_sources(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return done.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -143,9 +162,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_scores": op9_lm_scores,
     "op10_source_mix": op10_source_mix,
 }
 
