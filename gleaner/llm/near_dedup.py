@@ -6,11 +6,12 @@ to four words has one shingle. Similarity is the probability Jaccard J_P(x, y) =
 Poisson process with its weight as rate, each at a random one of `BANDS * ROWS` places; a place keeps the shingle that comes
 first, and a shingle stops as soon as its next arrival is later than all places' firsts. Places agree with probability J_P.
 
-Documents with equal word sequences are one node, whose documents are counted, not paired. Nodes that agree in a band's four
-places share a bucket; at similarity 0.8 two nodes share none with probability (1 - 0.8**4)**24 < 4e-6. In each bucket all
-nodes are compared exactly with one leader. Where a bucket still has nodes of different components, further leaders (eight
-at a time) are compared with the nodes outside their components, until each pair of the bucket is compared or connected. So
-buckets of near copies cost a comparison for each member, and no link inside a bucket is lost.
+Documents with equal word sequences are one node, whose documents are counted, not paired. Nodes that agree in a band's places
+share a bucket; at similarity 0.8 two nodes share none with probability (1 - 0.8**6)**36 < 2e-5. Nodes connected by buckets are
+a family. A family of more than MOST_FAMILY nodes is taken bucket by bucket instead. In a family (or bucket) all pairs are
+verified exactly, in tiles of two blocks of about BLOCK nodes each, in two rounds: first each block with the first one, which
+connects most near copies; then only what that left apart, the blocks of nodes outside the largest component with all blocks.
+Pairs that are connected already are not compared again, a task holds one tile, and a tile gives at most a link for each node.
 
 Components are found by label propagation with pointer jumping over written tables. Nothing of all documents is collected.
 
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import INNER, written
+from .common import INNER, forget, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 36, 6
+BLOCK, MOST_FAMILY = 64, 4096
 _U = np.uint64
 _ARRIVAL, _PLACE, _ROW = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)
 SLICE_BYTES = 2 << 20
@@ -109,25 +111,64 @@ def _signatures(text: str, id_column: str, size: int):
     return run
 
 
-def _weighted(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    w = words.split(pa.array([text], pa.string()), lower=True)
-    hashes, counts = np.unique(shingles(w, words.Grams(w.hashes()), size)[0], return_counts=True)
-    return hashes, counts.astype(np.float64)
-
-
-def _verified(size: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, tuple] = ("", ())
-        for batch in batches:
-            a, b, keep = [], [], []
-            for i, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                y = y.as_py()
-                if y != last[0] or not last[1]:
-                    last = (y, _weighted(y, size))
-                if probability_jaccard(_weighted(x.as_py(), size), last[1]) >= least - 1e-12:
-                    keep.append(i)
-            a, b = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+def weighted(texts: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingles and weights of each text."""
+    out = []
+    for lo, hi in words.slices(texts, SLICE_BYTES):
+        w = words.split(texts.slice(lo, hi - lo), lower=True)
+        hashes, rows = shingles(w, words.Grams(w.hashes()), size)
+        order = np.argsort(rows, kind="stable")
+        out += [np.unique(x, return_counts=True) for x in np.split(hashes[order], np.cumsum(np.bincount(rows, minlength=hi - lo))[:-1])]
+    return out
+
+
+def similar(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Which pairs have J_P >= least, exactly. Where weights are 1, J_P is |x & y| / |x | y|; else J_P is at most the common share
+    of either document's weight, and is computed where that bound allows."""
+    n = len(sets)
+    lens = np.array([len(x) for x, _ in sets])
+    total = np.array([w.sum() for _, w in sets], np.float64)
+    rows, column = np.repeat(np.arange(n), lens), np.concatenate([x for x, _ in sets])
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64) / np.repeat(total, lens)
+    _, column, often = np.unique(column, return_inverse=True, return_counts=True)
+    on = np.flatnonzero(often[column] > 1)  # a shingle of one document is not common to any pair
+    order = on[np.argsort(column[on], kind="stable")]
+    rows, weight, column = rows[order], weight[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    common, share = np.zeros((n, n)), np.zeros((n, n))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        has, part = np.zeros((n, 4096)), np.zeros((n, 4096))
+        has[rows[a:b], column[a:b] - lo] = 1
+        part[rows[a:b], column[a:b] - lo] = weight[a:b]
+        common += has @ has.T
+        share += part @ has.T
+    plain = total == lens
+    out = common >= (least - 1e-12) * (lens[:, None] + lens[None] - common)
+    check = (np.minimum(share, share.T) >= least - 1e-9) & ~(plain[:, None] & plain[None])
+    out &= plain[:, None] & plain[None]
+    for i, j in zip(*np.nonzero(np.triu(check, 1)), strict=True):
+        out[i, j] = out[j, i] = probability_jaccard(sets[i], sets[j]) >= least - 1e-12
+    return out
+
+
+def _tile(size: int, least: float):
+    """Links of a tile's nodes to the first node of their component in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        near = similar(weighted(table.column("text").combine_chunks(), size), least)
+        np.fill_diagonal(near, True)
+        label = np.arange(len(near))
+        while True:
+            new = np.where(near, label[None], len(near)).min(axis=1)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(near)))
+        nodes = table.column("node").combine_chunks()
+        return pa.Table.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(label[moved]))], ["a", "b"])
 
     return run
 
@@ -155,7 +196,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return written(old.unionByName(now.join(labels, "node", "left_anti")), "labels")
 
 
-def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK, most_family: int = MOST_FAMILY) -> DataFrame:
     """A row for each row of docs: id, fp (xxhash64 of the text), node, class (its component; null without words), class_id, class_size."""
     id_type = docs.schema[id_column].dataType.simpleString()
     keyed = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias(text_column)).withColumn(f"{INNER}fp", F.xxhash64(F.col(text_column)))
@@ -163,31 +204,39 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "fp")).alias("one"), F.min("bands").alias("bands"))
     placed = written(nodes.select("node", "one", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("node", "band")), "buckets")
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "node")).alias("first")).where("n > 1")
+    # Written, so that each side of the join is a plain shuffle whose large partitions Spark can split.
     shared = written(shared.select("band", "bucket", F.col("first.node").alias("leader")), "buckets-shared")
     active = written(placed.join(shared, ["band", "bucket"]), "buckets-active")
-    wanted = active.select("node", "one.id", "one.fp").distinct()
-    wanted = wanted.select("node", F.col("id").alias(f"{INNER}id"), F.col("fp").alias(f"{INNER}f"))
-    texts = written(keyed.join(wanted, keyed[id_column].eqNullSafe(wanted[f"{INNER}id"]) & (keyed[f"{INNER}fp"] == wanted[f"{INNER}f"])).select("node", F.col(text_column).alias("text")).dropDuplicates(["node"]), "node-texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
-        own = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return written(pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, similarity), "a binary, b binary"), "verified")
-
-    labels = components(verified(active.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))))
-    left = active.where("node <> leader").select("band", "bucket", "node", "turn")
-    while True:
-        now = left.join(labels, "node", "left").select("band", "bucket", "node", "turn", F.coalesce("label", "node").alias("label"))
-        now = written(now, "open")
-        mixed = written(now.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "bucket"), "open-buckets")
-        if not mixed.limit(1).count():
-            break
-        now = written(now.join(mixed, ["band", "bucket"]), "open")
-        leaders = now.groupBy("band", "bucket", F.pmod("turn", F.lit(8)).alias("part")).agg(F.min(F.struct("turn", "node", "label")).alias("l"))
-        leaders = written(leaders.select("band", "bucket", F.col("l.node").alias("leader"), F.col("l.label").alias("own")), "leaders")
-        links = verified(now.join(leaders, ["band", "bucket"]).where("node <> leader AND label <> own").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        labels = components(links, labels)
-        left = now.join(leaders.select("band", "bucket", F.col("leader").alias("node")), ["band", "bucket", "node"], "left_anti").select("band", "bucket", "node", "turn")
+    forget(placed)
+    families = components(active.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    sizes = written(families.groupBy(F.col("label").alias("unit")).agg(F.count(F.lit(1)).alias("n")), "family-sizes")
+    member = written(families.join(sizes, families["label"] == sizes["unit"]).select("node", "unit", "n"), "family-members")
+    wide = member.where(F.col("n") > most_family).select("node")
+    by_bucket = active.select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit")).join(wide, "node").select("node", "unit")
+    sizes = sizes.where(F.col("n") <= most_family).unionByName(by_bucket.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
+    sizes = written(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "unit-sizes")
+    units = written(member.where(F.col("n") <= most_family).select("node", "unit").unionByName(by_bucket), "units")
+    wanted = active.select("node", "one.id", "one.fp").distinct().select("node", F.col("id").alias(f"{INNER}id"), F.col("fp").alias(f"{INNER}f"))
+    texts = keyed.join(wanted, keyed[id_column].eqNullSafe(wanted[f"{INNER}id"]) & (keyed[f"{INNER}fp"] == wanted[f"{INNER}f"])).select("node", F.col(text_column).alias("text"))
+    texts = written(texts.dropDuplicates(["node"]), "node-texts")
+
+    def links(tiles: DataFrame) -> DataFrame:
+        """tiles: unit, i, j, node."""
+        tiles = written(tiles.select("unit", "i", "j", "node"), "tiles")
+        return written(tiles.join(texts, "node").groupBy("unit", "i", "j").applyInArrow(_tile(shingle, similarity), "a binary, b binary").distinct(), "verified")
+
+    turn = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n).cast("int")
+    first = units.join(sizes, "unit").withColumn("block", turn(F.col("blocks")))
+    first = first.withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    labels = components(links(first.withColumn("i", F.lit(0))))
+    rest = written(units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", "n", F.coalesce("label", "node").alias("label")), "units-open")
+    most = rest.groupBy("unit", "n", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit", "n").agg(F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
+    most = most.select("unit", F.col("m.label").alias("main"), F.ceil(F.col("m.k") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("others"))
+    most = written(most, "units-most")
+    if most.limit(1).count():
+        both = rest.join(most, "unit").withColumn("in", F.col("label") == F.col("main")).withColumn("block", F.when(F.col("in"), F.col("others") + turn(F.col("mains"))).otherwise(turn(F.col("others"))))
+        both = both.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+        labels = components(links(both.select("unit", "node", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))), labels)
     known = written(signed.select("id", "fp", "node").join(labels, "node", "left").select("id", "fp", "node", F.coalesce("label", "node").alias("class")), "members")
     classes = written(known.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return known.join(classes, "class", "left").select("id", "fp", "node", "class", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
