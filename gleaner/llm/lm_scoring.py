@@ -1,194 +1,312 @@
 """LM scoring with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-The model. Dishes of the word restaurant are the training words and the end of a text; its customers are all training tokens.
-Its base distribution spells a word byte by byte: there is a restaurant for each context of the three, two, one or no bytes
-before (bytes in 64 classes), context restaurants share the parent with one byte less, and the last parent is uniform over
-bytes. A table of the word restaurant sends its word's bytes as customers to the spelling restaurants; a table of a context
-sends one customer to its parent. So every word has a probability, known or not, and all probabilities of words sum to 1.
-
-Seating. In each sweep all customers of a dish leave and are seated again, one after another under the Chinese-restaurant
-rule (join a table: customers - discount * tables; open one: (strength + discount * all tables) * parent's probability), with
-the rest as the sweep before left it. The first 64 customers of a dish are seated one by one, the others in blocks whose new
-tables are Poisson. Draws depend only on the word and the sweep. Discounts are n1 / (n1 + 2 n2) of the restaurant's counts.
-After BURN_IN sweeps, the predictive probabilities of SAMPLES sweeps are averaged; their logs make scores and perplexities.
-
-Scale. Training tokens are counted in each task before they are shuffled (once, by word); a sweep is a map over the words and
-a sum over spelling cells, of which there are at most 2**18 * 256, and where they are more than MOST_CELLS, contexts get one
-byte less until they fit. For scoring, words with so many tokens that at most MOST_HEAD of them are as frequent are broadcast; all
-others go through a join on the word's hash. Nothing is dropped: all words count, and all tokens are scored.
+The model. A token's context is a class of its text so far and whether a sentence has just ended. Classes are learned: the
+FREQUENT words that training texts use most, clustered by how often one follows another (spectral clustering); the class is the
+cluster that most of the text's frequent words so far belong to. The restaurant of a context shares its parent, the class's
+restaurant, with the class's other contexts; those share the word restaurant; its base is uniform over the V known words and
+one unknown word. Each table sends one customer to the parent. Predictive probabilities sum to 1 over the V + 1 words.
+
+Seating. In each sweep all customers of a dish (a word in a restaurant) leave and are seated again, one after another under
+the Chinese-restaurant rule (join a table: customers - discount * tables; open one: (strength + discount * all tables) *
+parent's probability), with the rest as the sweep before left it. The first 64 customers of a dish are seated one by one, the
+others in blocks whose new tables are Poisson. Draws depend only on the word, the restaurant and the sweep, so a lost task
+draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN sweeps, the predictive probabilities
+of SAMPLES sweeps are averaged; their logs are summed to scores and give perplexities.
+
+Scale. Training tokens are counted in each task before they are shuffled (once, by word). All dishes of a word are in one row,
+so a sweep is a map over words which needs the number of tables of each restaurant from the sweeps before, and returns it: a
+few numbers. For scoring, words as frequent as the MOST_HEAD most frequent ones are broadcast; all others go through a
+join on the word's hash. Nothing is dropped: all words count, and all tokens are scored.
 
 Defined cases: a null text is empty, its only token is the end. A null doc_id is a training document. Repeated rows count
-each. Without training tokens N = V = 0 and scores come from the uniform spelling. Other columns pass only if in `keep`.
-An empty table gives an empty table.
+each. Without training tokens N = V = 0, and all probabilities are 1. Other columns pass only if in `keep`. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
-from .common import INNER, written
+from . import tables, words
+from .common import INNER, forget, written
 
-BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
-ORDER, CLASSES = 3, 64
-MOST_CELLS, MOST_HEAD = 4_000_000, 1 << 19
+BURN_IN, SAMPLES, STRENGTH = 1, 2, 1.0
+FREQUENT, CLUSTERS, TASK_WORDS = 1024, 8, 4096
+MOST_HEAD = 1 << 19
 ONE_BY_ONE, BLOCK = 64, 1.25
 _U = np.uint64
-_END = 32
-#: 0: before the word; letters, digits and the bytes of UTF-8 apart, as far as 64 classes go.
-_CLASS = np.full(256, 27, np.int64)
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[48:58] = 28
-_CLASS[[44, 46, 39, 45]] = [29, 30, 31, 32]
-_CLASS[128:192] = 33 + np.arange(64) % 28
-_CLASS[192:256] = 61 + np.arange(64) % 3
+_END_HASH = 0
+
+
+# ---- contexts ---------------------------------------------------------------------------------------------------------
+
+
+class Contexts:
+    """classes: cluster of each frequent word (sorted hashes)."""
+
+    def __init__(self, hashes: np.ndarray, classes: np.ndarray):
+        self.hashes, self.classes = hashes, classes
+        self.clusters = int(classes.max()) + 1 if len(classes) else 0
+        self.n = 2 * (self.clusters + 1)  # the last class: no frequent word yet
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of frequent words, -1 for others."""
+        if not len(self.hashes) or not len(h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def of(self, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context of each word and of each text's end: class * 2 + (a sentence has just ended or the text begins)."""
+        at = self.place(h)
+        seen = np.zeros((len(h) + 1, max(1, self.clusters)), np.int32)
+        on = np.flatnonzero(at >= 0)
+        seen[on + 1, self.classes[at[on]]] = 1
+        np.cumsum(seen, axis=0, out=seen)
+        row = w.rows
+
+        def best(count: np.ndarray) -> np.ndarray:
+            return np.where(count.any(axis=1), count.argmax(axis=1), self.clusters)
+
+        last = w.data[w.ends - 1] if len(h) else np.zeros(0, np.uint8)
+        stop = (last == 46) | (last == 33) | (last == 63)  # . ! ?
+        after = np.zeros(len(h), np.int64)
+        after[1:] = stop[:-1]
+        after[w.first[:-1][w.counts > 0]] = 1
+        ends = np.ones(len(w.first) - 1, np.int64)
+        full = w.counts > 0
+        ends[full] = stop[w.first[1:][full] - 1]
+        return best(seen[:-1] - seen[w.first[:-1]][row]) * 2 + after, best(seen[w.first[1:]] - seen[w.first[:-1]]) * 2 + ends
+
+
+def clustered(follows: np.ndarray, n: int) -> np.ndarray:
+    """Spectral clusters of words by how often they are neighbours; without randomness. Degrees get their mean added, and
+    centres weigh words by degree and start at common words, so that a few words that keep to themselves make no cluster."""
+    a = (follows + follows.T).astype(np.float64)
+    degree = a.sum(axis=1)
+    scale = 1 / np.sqrt(degree + max(1.0, degree.mean()))
+    _, vectors = np.linalg.eigh(a * scale[:, None] * scale[None])
+    x = vectors[:, -n:]
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    common = np.argsort(-degree, kind="stable")[: max(n, len(a) // 8)]
+    chosen = [int(common[0])]
+    while len(chosen) < n:  # farthest points first
+        chosen.append(int(common[(x[common] @ x[chosen].T).max(axis=1).argmin()]))
+    centres = x[chosen]
+    for _ in range(50):
+        own = (x @ centres.T).argmax(axis=1)
+        centres = np.array([(x * degree[:, None])[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(n)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return np.unique(own, return_inverse=True)[1]
+
+
+def _often(text: str):
+    """The most frequent words of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def merged():
+            h, at = np.unique(np.concatenate([u, *(x for x, _ in waiting)]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([n, *(y for _, y in waiting)]), len(h)).astype(np.int64)
+
+        for batch in batches:
+            for lo, hi in words.slices(batch.column(text)):
+                waiting.append(np.unique(words.split(batch.column(text).slice(lo, hi - lo), lower=True).hashes(), return_counts=True))
+                if len(waiting) == 16:
+                    u, n = merged()
+                    waiting = []
+        u, n = merged()
+        top = np.argsort(-n, kind="stable")[:TASK_WORDS]
+        yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(n[top])], ["h", "n"])
+
+    return run
+
+
+def _follows(shared, text: str):
+    """How often a frequent word comes next after another, with any other words between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Contexts(shared.value, np.zeros(0, np.int64))
+        size = len(contexts.hashes)
+        table = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for lo, hi in words.slices(batch.column(text)):
+                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
+                at = contexts.place(w.hashes())
+                on = np.flatnonzero(at >= 0)
+                row = np.searchsorted(w.first, on, "right")
+                same = row[1:] == row[:-1]
+                pairs = at[on]
+                u, n = np.unique(pairs[:-1][same] * size + pairs[1:][same], return_counts=True)
+                table[u] += n
+        yield from tables.pieces(table)
+
+    return run
+
+
+def learn_contexts(docs: DataFrame, text_column: str = "text") -> Contexts:
+    spark = docs.sparkSession
+    often = docs.select(text_column).mapInArrow(_often(text_column), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    hashes = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+    if not len(hashes):
+        return Contexts(hashes, np.zeros(0, np.int64))
+    follows = tables.total(docs.select(text_column).mapInArrow(_follows(spark.sparkContext.broadcast(hashes), text_column), tables.SCHEMA), len(hashes) ** 2)
+    return Contexts(hashes, clustered(follows.reshape(len(hashes), -1), min(CLUSTERS, len(hashes))))
+
+
+# ---- the model --------------------------------------------------------------------------------------------------------
 
 
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
     """Tables of dishes with so many customers, where opening a table has weight `new`. seeds: 64 bits for each dish."""
-    tables = np.minimum(customers, 1).astype(np.float64)
+    made = np.minimum(customers, 1).astype(np.float64)
     on = np.flatnonzero(customers > 1)
     for n in range(1, ONE_BY_ONE):
         if not len(on):
-            return tables
+            return made
         draw = (words.mix(seeds[on] + _U(n * 0x9E3779B97F4A7C15 & words.MASK)) >> _U(11)).astype(np.float64) * 2.0**-53
-        tables[on] += draw * (n - discount * tables[on] + new[on]) < new[on]
+        made[on] += draw * (n - discount * made[on] + new[on]) < new[on]
         on = on[customers[on] > n + 1]
     if len(on):
-        rng = np.random.Generator(np.random.PCG64(int(np.bitwise_xor.reduce(words.mix(seeds[on])))))
+        rng = np.random.Generator(np.random.PCG64([int(x) for x in words.mix(seeds[on[:1]])]))
         at = np.full(len(on), float(ONE_BY_ONE))
         while len(on):
             to = np.minimum(customers[on], np.ceil(at * BLOCK))
-            x, shift = at - discount * tables[on], (new[on] - 1) / 2
-            more = rng.poisson(new[on] * np.log((to - discount * tables[on] + shift) / np.maximum(x + shift, 1e-9)))
-            tables[on] += np.minimum(more, to - at)
+            x, shift = at - discount * made[on], (new[on] - 1) / 2
+            more = rng.poisson(np.maximum(0, new[on] * np.log(np.maximum(to - discount * made[on] + shift, 1e-9) / np.maximum(x + shift, 1e-9))))
+            made[on] += np.minimum(more, to - at)
             keep = customers[on] > to
             on, at = on[keep], to[keep]
-    return tables
+    return made
+
+
+class Dishes:
+    """The dishes of some words on three levels: in contexts, in classes and in the word restaurant."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray, context: np.ndarray, counts: np.ndarray):
+        """rows, context, counts: of each word and context; rows ascend."""
+        self.word, self.n = hashes, len(hashes)
+        self.rows, self.context, self.counts = rows, context, counts.astype(np.float64)
+        cell, self.up = np.unique(rows * 64 + (context >> 1), return_inverse=True)
+        self.rows1, self.class1 = cell >> 6, cell & 63
+        self.t2, self.t1, self.t0 = np.ones(len(rows)), np.ones(len(cell)), np.ones(self.n)
+        self.carry()
+
+    def carry(self) -> None:
+        self.c1 = np.bincount(self.up, self.t2, len(self.rows1))
+        self.c0 = np.bincount(self.rows1, self.t1, self.n)
+
+    def sweep(self, model: Model, s: int) -> None:
+        """One Gibbs sweep; the restaurants' tables are those of sweep s - 1."""
+        d, total = model.discounts, model.history[s - 1]
+        p0 = self.word_probability(model, total)
+        p1 = self.class_probability(model, total, p0)
+        seed = lambda rows, place, level: words.mix(self.word[rows] + (place.astype(np.uint64) << _U(8)) + _U(s * 4 + level))
+        self.t2 = seat(self.counts, (STRENGTH + d[2] * total[2][self.context]) * p1[self.up], d[2], seed(self.rows, self.context, 2))
+        self.c1 = np.bincount(self.up, self.t2, len(self.rows1))
+        self.t1 = seat(self.c1, (STRENGTH + d[1] * total[1][self.class1]) * p0[self.rows1], d[1], seed(self.rows1, self.class1, 1))
+        self.c0 = np.bincount(self.rows1, self.t1, self.n)
+        every = np.arange(self.n)
+        self.t0 = seat(self.c0, np.full(self.n, (STRENGTH + d[0] * total[0][0]) / (model.v + 1)), d[0], seed(every, every * 0, 0))
+
+    def word_probability(self, model: Model, total) -> np.ndarray:
+        return (self.c0 - model.discounts[0] * self.t0 + (STRENGTH + model.discounts[0] * total[0][0]) / (model.v + 1)) / (total[1].sum() + STRENGTH)
+
+    def class_probability(self, model: Model, total, p0: np.ndarray) -> np.ndarray:
+        """Of the dishes in classes."""
+        return model.down(1, total, self.class1, p0[self.rows1]) + (self.c1 - model.discounts[1] * self.t1) / (model.customers(1, total)[self.class1] + STRENGTH)
+
+    def predictive(self, model: Model, total) -> np.ndarray:
+        """Of each word in each context."""
+        p0 = self.word_probability(model, total)
+        k = np.arange(model.contexts // 2)
+        p1 = model.down(1, total, k[None], p0[:, None])
+        p1[self.rows1, self.class1] += (self.c1 - model.discounts[1] * self.t1) / (model.customers(1, total)[self.class1] + STRENGTH)
+        c = np.arange(model.contexts)
+        p2 = model.down(2, total, c[None], np.repeat(p1, 2, axis=1))
+        p2[self.rows, self.context] += (self.counts - model.discounts[2] * self.t2) / (model.customers(2, total)[self.context] + STRENGTH)
+        return p2
+
+    def totals(self, contexts: int) -> np.ndarray:
+        """Tables of all restaurants, one after the other: word, classes, contexts."""
+        return np.concatenate([[self.t0.sum()], np.bincount(self.class1, self.t1, contexts // 2), np.bincount(self.context, self.t2, contexts)]).astype(np.int64)
+
+
+class Model:
+    def __init__(self, contexts: int, n: int, v: int, tokens: np.ndarray, discounts: list[float]):
+        """tokens: training tokens of each context."""
+        self.contexts, self.n, self.v, self.tokens, self.discounts = contexts, n, v, tokens.astype(np.float64), discounts
+        self.history: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, totals: np.ndarray) -> None:
+        k = self.contexts // 2
+        self.history.append((totals[:1].astype(np.float64), totals[1 : 1 + k].astype(np.float64), totals[1 + k :].astype(np.float64)))
+
+    def customers(self, level: int, total) -> np.ndarray:
+        return self.tokens if level == 2 else total[2].reshape(-1, 2).sum(axis=1)
+
+    def down(self, level: int, total, restaurant: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """What a restaurant gives to a dish through its parent."""
+        return (STRENGTH + self.discounts[level] * total[level][restaurant]) * parent / (self.customers(level, total)[restaurant] + STRENGTH)
+
+    def samples(self) -> range:
+        return range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+
+    def unknown(self) -> np.ndarray:
+        """log10 probability of an unknown word in each context."""
+        nobody = np.zeros(0, np.int64)
+        p = np.zeros(self.contexts)
+        for s in self.samples():
+            d = Dishes(np.zeros(1, np.uint64), nobody, nobody, nobody)
+            d.t0, d.c0 = np.zeros(1), np.zeros(1)
+            p += d.predictive(self, self.history[s])[0]
+        return np.log10(p / SAMPLES)
+
+
+def discount_of(n1: float, n2: float) -> float:
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
 
 
-def discount_of(counts: np.ndarray) -> float:
-    n1, n2 = float((counts == 1).sum()), float((counts == 2).sum())
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+def _counted(shared, text: str):
+    """Words and contexts of training tokens, summed in the task; an empty word is a text's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = shared.value
+        known: dict[int, list] = {}
+        ends = np.zeros(contexts.n, np.int64)
+
+        def out():
+            at = np.flatnonzero(ends)
+            rows = list(known.values())
+            made = [pa.array([b""] * len(at) + [x[0] for x in rows], pa.binary()), pa.array([*at.tolist(), *(x[1] for x in rows)], pa.int32()), pa.array([*ends[at].tolist(), *(x[2] for x in rows)], pa.int64())]
+            return pa.RecordBatch.from_arrays(made, ["word", "context", "n"])
 
+        for batch in batches:
+            for lo, hi in words.slices(batch.column(text)):
+                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
+                h = w.hashes()
+                own, last = contexts.of(w, h)
+                ends += np.bincount(last, minlength=contexts.n)
+                u, first, n = np.unique(h + own.astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
+                for k, f, c in zip(u.tolist(), first.tolist(), n.tolist(), strict=True):
+                    if (x := known.get(k)) is None:
+                        known[k] = [w.word(f), int(own[f]), c]
+                    else:
+                        x[2] += c
+                if len(known) > 400_000:
+                    yield out()
+                    known.clear()
+                    ends[:] = 0
+        yield out()
 
-@dataclass
-class Level:
-    keys: np.ndarray  # context * 256 + byte, sorted
-    counts: np.ndarray
-    tables: np.ndarray
-    discount: float
-    near: np.ndarray = field(init=False)  # counts - discount * tables
-    total: np.ndarray = field(init=False)  # by context, with the strength
-    back: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        contexts = self.keys >> 8
-        n = int(contexts[-1]) + 2 if len(contexts) else 1
-        self.near = self.counts - self.discount * self.tables
-        self.total = np.bincount(contexts, self.counts, n) + STRENGTH
-        self.back = np.bincount(contexts, self.tables, n) * self.discount + STRENGTH
-
-    def probability(self, keys: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        context = np.minimum(keys >> 8, len(self.total) - 1)  # the last one is empty
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        near = np.where(self.keys[at] == keys, self.near[at], 0.0) if len(self.keys) else 0.0
-        return (near + self.back[context] * parent) / self.total[context]
-
-
-class Spelling:
-    """The base distribution; levels[k] has contexts of k bytes."""
-
-    def __init__(self, order: int = ORDER):
-        self.order, self.levels = order, []
-
-    def seated(self, keys: np.ndarray, counts: np.ndarray, sweep: int) -> Spelling:
-        """The next state, for these customers of the longest contexts; parents' probabilities are the last state's."""
-        out = Spelling(self.order)
-        levels = []
-        for k in range(self.order, -1, -1):
-            context, byte = keys >> 8, keys & 255
-            if self.levels and k:
-                parent = self.probabilities(np.stack([(context >> (6 * (k - j))) << 8 | byte for j in range(k)]))
-            else:
-                parent = np.full(len(keys), 1 / 256)
-            discount = discount_of(counts)
-            total = np.bincount(context, self.tables_of(k, keys), int(context.max()) + 1 if len(context) else 1)
-            tables = seat(counts, (STRENGTH + discount * total[context]) * parent, discount, words.mix(keys.view(np.uint64) + _U(1 + sweep * 64 + k)))
-            levels.append(Level(keys, counts, tables, discount))
-            if k:
-                up = (context >> 6) << 8 | byte
-                keys, at = np.unique(up, return_inverse=True)
-                counts = np.bincount(at, tables, len(keys))
-        out.levels = levels[::-1]
-        return out
-
-    def tables_of(self, k: int, keys: np.ndarray) -> np.ndarray:
-        """Tables of the last state; 1 for each cell at first."""
-        if not self.levels or not len(self.levels[k].keys):
-            return np.ones(len(keys))
-        level = self.levels[k]
-        at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
-        return np.where(level.keys[at] == keys, level.tables[at], 1.0)
-
-    def probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """keys[k]: context of k bytes and byte."""
-        p = np.full(keys.shape[1], 1 / 256)
-        for level, own in zip(self.levels, keys, strict=False):
-            p = level.probability(own, p)
-        return p
-
-
-def cells(tokens: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """keys[k] of all bytes of the words, each word with its end; and where the words start."""
-    data, bounds = words.flat(tokens)
-    lens = np.diff(bounds) + 1
-    starts = np.cumsum(lens) - lens
-    text = np.full(int(lens.sum()), _END, np.int64)
-    place = np.arange(len(text)) - np.repeat(starts, lens)
-    text[place < np.repeat(lens - 1, lens)] = data
-    kind = _CLASS[text]
-    keys, context = np.zeros((order + 1, len(text)), np.int64), np.zeros(len(text), np.int64)
-    keys[0] = text
-    for k in range(1, order + 1):
-        before = np.zeros(len(text), np.int64)
-        before[k:] = kind[:-k]
-        context = context << 6 | np.where(place >= k, before, 0)
-        keys[k] = context << 8 | text
-    return keys, starts
-
-
-def spelled(tokens: pa.Array, spelling: Spelling) -> np.ndarray:
-    """Probability of each word under the base distribution."""
-    if not len(tokens):
-        return np.zeros(0)
-    out = []
-    for lo, hi in words.slices(tokens, 1 << 18):
-        keys, starts = cells(tokens.slice(lo, hi - lo), spelling.order)
-        out.append(np.exp(np.maximum(np.add.reduceat(np.log(spelling.probabilities(keys)), starts), -700)))
-    return np.concatenate(out)
-
-
-@dataclass
-class State:
-    spelling: Spelling
-    tables: float
-    discount: float
-    total: float
-    sweep: int
-
-    def tables_of(self, tokens: pa.Array, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-        seeds = words.mix(word_hashes(tokens) + _U(7919 * (self.sweep + 1)))
-        return seat(counts, (STRENGTH + self.discount * self.tables) * base, self.discount, seeds)
-
-    def predictive(self, counts: np.ndarray, tables: np.ndarray, base: np.ndarray, all_tables: float) -> np.ndarray:
-        return (np.maximum(counts - self.discount * tables, 0) + (STRENGTH + self.discount * all_tables) * base) / (self.total + STRENGTH)
+    return run
 
 
 def word_hashes(tokens: pa.Array) -> np.ndarray:
@@ -200,178 +318,162 @@ def word_hashes(tokens: pa.Array) -> np.ndarray:
     return out
 
 
-def held_out(doc_id: Column, folds: int, fold: int) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
+def _dishes(batch: pa.RecordBatch) -> Dishes:
+    cells = batch.column("cells")
+    rows = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False))
+    flat = cells.flatten()
+    return Dishes(batch.column("h").to_numpy().view(np.uint64), rows, flat.field("context").to_numpy().astype(np.int64), flat.field("n").to_numpy())
 
 
-def _counted(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list] = {}
-        ends = 0
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column("word")).view(np.int64)), batch.column("c"), batch.column("cells")], ["h", "c", "cells"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([b"", *(x[0] for x in known.values())], pa.binary()), pa.array([ends, *(x[1] for x in known.values())], pa.int64())], ["word", "n"])
 
+def _first(contexts: int):
+    """Before the first sweep: tables, tokens of contexts, and how many dishes of each level have one and two customers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends += len(batch)
-            for lo, hi in words.slices(batch.column(text)):
-                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
-                u, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                for h, f, c in zip(u.tolist(), first.tolist(), n.tolist(), strict=True):
-                    if (x := known.get(h)) is None:
-                        known[h] = [w.word(f), c]
-                    else:
-                        x[1] += c
-                if len(known) > 500_000:
-                    yield out()
-                    known.clear()
-                    ends = 0
-        yield out()
+            d = _dishes(batch)
+            few = [(x == k).sum() for x in (d.c0, d.c1, d.counts) for k in (1, 2)]
+            row = np.concatenate([d.totals(contexts), np.bincount(d.context, d.counts, contexts), few]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row)).astype(np.int32)), pa.array(row)], ["k", "n"])
 
     return run
 
 
-def _sweep(shared):
-    """Spelling cells of the word restaurant's tables; key -1: how many tables."""
-
+def _swept(shared, s: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, order = shared.value
+        model = shared.value
         for batch in batches:
-            tokens, counts = batch.column("word"), batch.column("n").to_numpy()
-            tables = np.ones(len(counts)) if state is None else state.tables_of(tokens, counts, spelled(tokens, state.spelling))
-            keys, starts = cells(tokens, order)
-            lens = np.diff(np.append(starts, keys.shape[1]))
-            cell, at = np.unique(keys[order], return_inverse=True)
-            n = np.bincount(at, np.repeat(tables, lens), len(cell))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, -1)), pa.array(np.append(n, tables.sum()).astype(np.int64))], ["cell", "n"])
+            d = _dishes(batch)
+            for i in range(1, s + 1):
+                d.sweep(model, i)
+            row = d.totals(model.contexts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row)).astype(np.int32)), pa.array(row)], ["k", "n"])
 
     return run
 
 
 def _probabilities(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = shared.value
+        model = shared.value
         for batch in batches:
-            tokens, counts = batch.column("word"), batch.column("n").to_numpy()
-            p = np.zeros(len(counts))
-            for state, tables in samples:
-                base = spelled(tokens, state.spelling)
-                p += state.predictive(counts, state.tables_of(tokens, counts, base), base, tables)
-            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(tokens).view(np.int64)), batch.column("n"), pa.array(np.log10(p / len(samples)))], ["h", "c", "lp"])
+            d = _dishes(batch)
+            p = np.zeros((d.n, model.contexts))
+            for s in range(1, BURN_IN + SAMPLES + 1):
+                d.sweep(model, s)
+                if s > BURN_IN:
+                    p += d.predictive(model, model.history[s])
+            lp = np.log10(p / SAMPLES).astype(np.float32)
+            offsets = pa.array(np.arange(d.n + 1, dtype=np.int32) * model.contexts)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.ListArray.from_arrays(offsets, pa.array(lp.ravel()))], ["h", "c", "lp"])
 
     return run
 
 
-def _unknown(samples, tokens: pa.Array) -> np.ndarray:
-    p = np.zeros(len(tokens))
-    for state, tables in samples:
-        p += state.predictive(np.zeros(1), np.zeros(1), spelled(tokens, state.spelling), tables)
-    return np.log10(p / len(samples))
+def _sums(rows: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for k, x in rows.groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[k] = x
+    return out
+
+
+def vocabulary_of(docs: DataFrame, contexts: Contexts, text_column: str = "text") -> DataFrame:
+    """h (hash), c (training tokens) and cells (context, n) of each word and the end; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)
+    counted = docs.select(text_column).mapInArrow(_counted(shared, text_column), "word binary, context int, n long")
+    # One shuffle by word serves both sums; each task has summed its own tokens.
+    each = counted.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    words_ = each.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("context", "n")).alias("cells"))
+    return written(words_.mapInArrow(_hashed, "h long, c long, cells array<struct<context:int,n:long>>"), "vocabulary")
+
+
+def fit(vocabulary: DataFrame, contexts: Contexts) -> Model:
+    spark = vocabulary.sparkSession
+    n, v = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
+    size = 1 + contexts.n // 2 + contexts.n
+    first = _sums(vocabulary.mapInArrow(_first(contexts.n), "k int, n long"), size + contexts.n + 6)
+    few = first[-6:]
+    model = Model(contexts.n, n or 0, v, first[size:-6], [discount_of(*few[i : i + 2]) for i in (0, 2, 4)])
+    model.add(first[:size])
+    for s in range(1, BURN_IN + SAMPLES + 1):
+        model.add(_sums(vocabulary.mapInArrow(_swept(spark.sparkContext.broadcast(model), s), "k int, n long"), size))
+    return model
+
+
+# ---- scores -----------------------------------------------------------------------------------------------------------
+
+
+def held_out(doc_id: Column, folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
 def _scored(shared, text: str, id_column: str):
-    """Of each text the sums over head words (h is null), and a row for each other word."""
+    """Of each text the sums over head words (h is null), and a row for each other word and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, base, lp, end = shared.value
+        contexts, head, base, lp, end_base, end_lp, end_known = shared.value
         for batch in batches:
             for lo, hi in words.slices(batch.column(text)):
                 w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
                 h = w.hashes()
+                own, last = contexts.of(w, h)
                 at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
                 hit = head[at] == h if len(head) else np.zeros(len(h), bool)
-                n = hi - lo
-                row = w.rows
-                own = row[hit]
-                sums = [w.counts + 1, np.bincount(own, minlength=n) + end[0], np.bincount(own, base[at[hit]], n) + end[1], np.bincount(own, lp[at[hit]], n) + end[2]]
+                n, row = hi - lo, w.rows
+                found = row[hit]
+                sums = [w.counts + 1, np.bincount(found, minlength=n) + end_known, np.bincount(found, base[at[hit]], n) + end_base, np.bincount(found, lp[at[hit], own[hit]], n) + end_lp[last]]
                 rest = np.flatnonzero(~hit)
-                _, one, m = np.unique(h[rest] + row[rest].astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
+                _, one, m = np.unique(h[rest] + (row[rest] * 64 + own[rest]).astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
                 rest = rest[one]
                 docs = pa.array(np.concatenate([np.arange(n), row[rest]]) + lo)
-                pad = lambda x, kind: pa.concat_arrays([x.cast(kind), pa.nulls(len(rest), kind)])
-                long, double = pa.int64(), pa.float64()
+                later = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)])  # noqa: B023, E731
+                pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(len(rest), kind)])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_column).take(docs), batch.column(f"{INNER}fp").take(docs), pa.concat_arrays([pa.nulls(n, long), pa.array(h[rest].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([w.word(i) for i in rest], pa.binary())]), pa.concat_arrays([pa.nulls(n, long), pa.array(m.astype(np.int64))])]
-                    + [pad(pa.array(x), kind) for x, kind in zip(sums, (long, long, double, double), strict=True)],
-                    ["id", "fp", "h", "word", "m", "n_tokens", "n_known", "base", "score"],
+                    [batch.column(id_column).take(docs), batch.column(f"{INNER}fp").take(docs), later(h[rest].view(np.int64), pa.int64()), later(own[rest].astype(np.int32), pa.int32()), later(m.astype(np.int32), pa.int32())]
+                    + [pad(x, kind) for x, kind in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
+                    ["id", "fp", "h", "context", "m", "n_tokens", "n_known", "base", "score"],
                 )
 
     return run
 
 
-def _new_words(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(_unknown(shared.value, batch.column("word")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), batch.column("m"), made], ["id", "fp", "m", "lp"])
-
-    return run
-
-
-def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """word (binary, b'' is the end) and n, over all rows of docs."""
-    return docs.select(text_column).mapInArrow(_counted(text_column), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-
-
-def fit(vocabulary: DataFrame) -> tuple[list[tuple[State, float]], int, int]:
-    """Samples of the model (a state and the tables after it), N and V. vocabulary: a written table of word_counts()."""
-    spark = vocabulary.sparkSession
-    n, v, n1, n2 = vocabulary.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    n, discount = n or 0, min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
-    order, state, samples = ORDER, None, []
-    for sweep in range(BURN_IN + SAMPLES + 1):
-        while True:
-            found = vocabulary.mapInArrow(_sweep(spark.sparkContext.broadcast((state, order))), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-            if state is None:
-                found = written(found, "cells")
-                if found.count() > MOST_CELLS and order > 1:
-                    order -= 1
-                    continue
-            break
-        got = found.orderBy("cell").toArrow()
-        keys, counts = got.column("cell").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-        tables = counts[0] if len(keys) and keys[0] == -1 else 0.0
-        keys, counts = keys[keys >= 0], counts[keys >= 0]
-        if state is not None and sweep > BURN_IN:
-            samples.append((state, float(tables)))
-        spelling = (Spelling(order) if state is None else state.spelling).seated(keys, counts, sweep)
-        state = State(spelling, float(tables), discount, float(n), sweep)
-    return samples, n, v
-
-
-def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep: list[str] | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep: list[str] | None = None, folds: int = 7, fold: int = 2, most_head: int = MOST_HEAD) -> DataFrame:
     """keep (the id by default) with held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
     made = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     keep = [c for c in (keep or [id_column]) if c not in made]
     id_type = docs.schema[id_column].dataType.simpleString()
-    vocabulary = written(word_counts(docs.where(~held_out(F.col(id_column), folds, fold)), text_column), "vocabulary")
-    samples, n, v = fit(vocabulary)
-    types = written(vocabulary.mapInArrow(_probabilities(spark.sparkContext.broadcast(samples)), "h long, c long, lp double"), "types")
+    train = docs.where(~held_out(F.col(id_column), folds, fold))
+    contexts = learn_contexts(train, text_column)
+    vocabulary = vocabulary_of(train, contexts, text_column)
+    model = fit(vocabulary, contexts)
+    types = written(vocabulary.mapInArrow(_probabilities(spark.sparkContext.broadcast(model)), "h long, c long, lp array<float>"), "types")
+    forget(vocabulary)
     least, upto = 1 << 62, 0
-    for c, k in types.where("h <> 0").groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
-        if (upto := upto + k) > MOST_HEAD:
+    for c, k in types.where(f"h <> {_END_HASH}").groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+        if (upto := upto + k) > most_head:
             break
         least = c
-    log_all = float(np.log10(n + v + 1))
-    base_of = lambda c: np.log10(c + 1.0) - log_all
-    head = types.where((F.col("c") >= least) & (F.col("h") != 0)).toArrow()
-    h, c, lp = (head.column(x).to_numpy() for x in ("h", "c", "lp"))
-    order = np.argsort(h.view(np.uint64))
-    end = types.where("h = 0").first()
-    end = (1, float(base_of(end["c"])), end["lp"]) if end else (0, -log_all, float(_unknown(samples, pa.array([b""], pa.binary()))[0]))
-    shared = spark.sparkContext.broadcast((h.view(np.uint64)[order], base_of(c[order]), lp[order], end))
+    log_all = float(np.log10(model.n + model.v + 1))
+    head = types.where((F.col("c") >= least) & (F.col("h") != _END_HASH)).toArrow().combine_chunks()
+    h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
+    lp = head.column("lp").combine_chunks().flatten().to_numpy().reshape(len(h), -1) if len(h) else np.zeros((0, contexts.n), np.float32)
+    order = np.argsort(h)
+    unknown = model.unknown()
+    end = types.where(f"h = {_END_HASH}").first()
+    end = (float(np.log10(end["c"] + 1.0)) - log_all, np.array(end["lp"]), 1) if end else (-log_all, unknown, 0)
+    shared = spark.sparkContext.broadcast((contexts, h[order], np.log10(c[order] + 1.0) - log_all, lp[order], *end))
     keyed = docs.withColumn(f"{INNER}fp", F.xxhash64(F.col(text_column)))
-    rows = keyed.select(id_column, text_column, f"{INNER}fp").mapInArrow(_scored(shared, text_column, id_column), f"id {id_type}, fp long, h long, word binary, m long, n_tokens long, n_known long, base double, score double")
+    rows = keyed.select(id_column, text_column, f"{INNER}fp").mapInArrow(_scored(shared, text_column, id_column), f"id {id_type}, fp long, h long, context int, m int, n_tokens long, n_known long, base double, score double")
     rows = written(rows, "scored")
-    rest = rows.where("h IS NOT NULL").select("id", "fp", "h", "word", "m")
-    tail = types.where(F.col("c") < least).where("h <> 0")
-    joined = written(rest.join(tail, "h", "left"), "scored-rest")
-    fresh = joined.where("c IS NULL").select("id", "fp", "m", "word").mapInArrow(_new_words(spark.sparkContext.broadcast(samples)), f"id {id_type}, fp long, m long, lp double")
-    both = joined.where("c IS NOT NULL").select("id", "fp", "m", "lp", "c").unionByName(fresh.withColumn("c", F.lit(0).cast("long")))
-    sums = both.groupBy("id", "fp").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * (F.log10(F.col("c") + 1.0) - log_all)).alias("b"), F.sum(F.col("m") * F.col("lp")).alias("s")
-    )
+    rest = rows.where("h IS NOT NULL").select("id", "fp", "h", "context", "m")
+    tail = types.where((F.col("c") < least) & (F.col("h") != _END_HASH))
+    place = F.col("context") + 1
+    found = rest.join(tail, "h", "left").select("id", "fp", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.element_at("lp", place).cast("double"), F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), place)).alias("lp"))
+    sums = found.groupBy("id", "fp").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * (F.log10(F.col("c") + 1.0) - log_all)).alias("b"), F.sum(F.col("m") * F.col("lp")).alias("s"))
     # Equal rows (same id and text) have equal sums; the rest's sums are over all of them.
     heads = rows.where("h IS NULL").groupBy("id", "fp").agg(F.count(F.lit(1)).alias("r"), *[F.max(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     heads, sums = heads.alias("x"), sums.alias("y")
@@ -380,4 +482,4 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     done = every.select(F.col("x.id").alias(f"{INNER}id"), F.col("x.fp").alias(f"{INNER}f"), "n_tokens", (F.col("n_known") + part("k")).cast("long").alias("n_known"), (F.col("base") + part("b")).alias("base_score"), (F.col("score") + part("s")).alias("score"))
     done = written(done, "scores")
     out = keyed.select(*dict.fromkeys([*keep, id_column]), f"{INNER}fp").join(done, keyed[id_column].eqNullSafe(done[f"{INNER}id"]) & (F.col(f"{INNER}fp") == F.col(f"{INNER}f")))
-    return out.withColumns({"held_out": held_out(F.col(id_column), folds, fold), "train_tokens": F.lit(n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))}).select(*keep, *made)
+    return out.withColumns({"held_out": held_out(F.col(id_column), folds, fold), "train_tokens": F.lit(model.n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))}).select(*keep, *made)
