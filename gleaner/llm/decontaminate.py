@@ -21,6 +21,7 @@ repeated results. Texts of any length are walked whole. An empty table on either
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +35,9 @@ from . import words
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 #: Repetitions, sampled steps of each, and the steps among which they are drawn.
-REPEATS, SAMPLES, STEPS = 20, 3, 8
+REPEATS, SAMPLES, STEPS = 32, 4, 10
+#: Anchors drawn for each item and repetition; the walk whose sampled words are rarest in the benchmark is taken.
+PROPOSALS = 4
 MOST_ITEMS = 20_000
 #: Bits of the table that says which copies any item has.
 TABLE_BITS = 18
@@ -53,17 +56,22 @@ class Items:
         self.most = [int((1 - similarity) * len(x) + 1e-9) for x in self.hashes]
         self.sets = [np.unique(x) for x in self.hashes]
         self.masks = [{int(v): sum(1 << int(i) for i in np.flatnonzero(x == v)) for v in np.unique(x)} for x in self.hashes]
+        often = dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True))
         rng = np.random.Generator(np.random.PCG64(7))
         self.repeats = []
         for _ in range(REPEATS):
             salt = _U(int(rng.integers(1, 2**63)))
             sample = [0, *sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())]
-            share = rng.random()
-            anchor = np.array([int(share * max(1, len(x) - STEPS)) for x in self.hashes], np.int64)
-            keys = []
-            for x, a in zip(self.hashes, anchor, strict=True):
-                tail = np.append(x[a:], np.full(STEPS, _END))
-                keys.append(self._walk(tail, salt, sample))
+            anchor, keys = np.zeros(len(self.hashes), np.int64), []
+            draws = rng.random(PROPOSALS)
+            for i, x in enumerate(self.hashes):
+                best = -1.0
+                for a in {int(d * max(1, len(x) - STEPS)) for d in draws}:
+                    copies, own = self._walk(np.append(x[a:], np.full(STEPS, _END)), salt, sample)
+                    rare = sum(math.log(len(w.starts) / often.get(c, 1)) for c in set(copies))
+                    if rare > best:
+                        best, anchor[i], walked = rare, a, own
+                keys.append(walked)
             keys = np.array(keys, np.uint64).reshape(len(self.hashes), SAMPLES)
             stages = []
             for s in range(SAMPLES):
@@ -74,15 +82,17 @@ class Items:
             self.repeats.append((salt, stages, keys[order, -1], order, anchor))
 
     @staticmethod
-    def _walk(x: np.ndarray, salt: np.uint64, sample: list[int]) -> list[np.uint64]:
-        at, key, out = 0, np.zeros(1, np.uint64), []
+    def _walk(x: np.ndarray, salt: np.uint64, sample: list[int]) -> tuple[list[int], list[np.uint64]]:
+        """The sampled copies, and hashes of the first of them, the first two, ..."""
+        at, key, copies, out = 0, np.zeros(1, np.uint64), [], []
         for j in range(sample[-1] + 1):
             here = x[at : at + 1]
             if j in sample:
                 key = chain(key, here, j)
+                copies.append(int(here[0]))
                 out.append(key[0])
             at += int(moves(here, salt, j)[0])
-        return out
+        return copies, out
 
 
 def chain(key: np.ndarray, here: np.ndarray, j: int) -> np.ndarray:
@@ -96,10 +106,11 @@ def moves(here: np.ndarray, salt: np.uint64, j: int) -> np.ndarray:
 
 
 def candidates(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the item's first word, item), sorted and distinct; places may lie outside the text."""
+    """Distinct pairs (text, item) and the places of the item's first word, which may lie outside the text."""
     n = len(h)
     ends = np.repeat(first[1:], np.diff(first))
     padded = np.append(h, np.full(1, _END))
+    most = max(len(x) for x in items.hashes)
     found = []
     for salt, stages, keys, order, anchor in items.repeats:
         at = start = None
@@ -119,12 +130,12 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarr
         many = (hi - lo)[hit]
         place = np.repeat(start[hit], many)
         which = order[np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        found.append(np.stack([place - anchor[which], which, place], axis=1))
-    every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    # A place may lie before the document's start; its anchor says which document it is of.
-    doc = np.searchsorted(first, every[:, 2], "right") - 1
-    every = np.unique(np.stack([doc, every[:, 1], every[:, 0]], axis=1), axis=0)
-    return every[:, :2], every[:, 2]
+        # A place may lie before the document's start; its anchor says which document it is of.
+        doc = np.searchsorted(first, place, "right") - 1
+        found.append(((place - anchor[which] - first[doc] + most) * len(items.ids) + which) * (len(first) - 1) + doc)
+    every, doc = np.divmod(np.unique(np.concatenate(found)), len(first) - 1)
+    start, which = np.divmod(every, len(items.ids))
+    return np.stack([doc, which], axis=1), start - most + first[doc]
 
 
 def best_substring(text: np.ndarray, n: int, masks: dict[int, int]) -> tuple[int, int]:
