@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="do
         return both.withColumn(f"{INNER}cum", g("ahead") + F.sum(g("size")).over(run))
 
     def finish(p) -> Column:
-        return (p * g("source_size") + g("cum")) / g("target")
+        return F.try_divide(p * g("source_size") + g("cum"), g("target"))
 
     copies = placed(sliced).select(F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("p"), g("place"), g("size"), g("cum"), g("source_size"), g("target"))
     copies = copies.where((g("target") > 0) & (g("size") > 0) & ((F.col("p") * g("source_size") + g("cum") - g("size")) < g("target")))
@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="do
     eligible = lambda p: (g("target") > 0) & (g("size") > 0) & ((p * g("source_size") + g("cum") - g("size")) < g("target"))
     n = sum((F.coalesce((eligible(F.lit(p)) & taken_if(F.lit(p))).cast("int"), F.lit(0)) for p in range(most_repeats)), F.lit(0))
     done = placed(_queued(docs, keep, id_column, text_column, source_column, bits)).withColumn(f"{INNER}n", n)
-    made = {"size": g("size"), "source_size": g("source_size"), "target": g("target"), "copies": g("n"), "taken": g("size") * g("n"), "finish_time": F.when(g("target") > 0, finish(F.lit(0)))}
+    made = {"size": g("size"), "source_size": g("source_size"), "target": g("target"), "copies": g("n"), "taken": g("size") * g("n"), "finish_time": finish(F.lit(0))}
     return done.select(*[F.col(f"{INNER}row")[c].alias(c) for c in keep if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
@@ -113,5 +113,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each copy taken, in the order of virtual finish times, with copy (from 0) and finish_time."""
     rows = mix_sources(docs, **options)
     every = rows.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    at = F.col("finish_time") + F.col("copy") * F.col("source_size") / F.col("target")
+    at = F.col("finish_time") + F.try_divide(F.col("copy") * F.col("source_size"), F.col("target"))
     return every.withColumn("finish_time", at).orderBy("finish_time", "copy")
