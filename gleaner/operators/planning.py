@@ -1,0 +1,24 @@
+"""Subjects, sub-queries of the first round and follow-ups. A question's plan is a short sequential choice, so it is made in a
+grouped function for each question; what it needs (subject, facets, coverage, terms) is computed set-wise before."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+
+PLAN = "qid long, ord int, text string, facet string, reason string, round int, weight double"
+
+
+def subject(query: Column) -> Column:
+    """What a question is about: parts that ask or name a facet go; the whole question if nothing is left."""
+    whole = F.regexp_replace(F.coalesce(query, F.lit("")), r"(?U)^\s+|\s+$", "")
+    left = whole
+    for pattern in (f"(?i){fixed.ASK_PREFIX}", fixed.ASK_SUFFIX, fixed.FACET_TAIL, fixed.MARKS_TAIL, f"(?i){fixed.ASK_PREFIX}"):
+        left = F.regexp_replace(left, pattern, "")
+    left = F.regexp_replace(left, r"(?U)^\s+|\s+$", "")
+    return F.when(left == "", whole).otherwise(left)
