@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,14 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import words
+from . import tables, words
 from .common import INNER, written
 
 FIT_ROWS, THRESHOLD = 6000, 0.7
-ORDER, TABLE_BITS, PART = 4, 20, 1 << 16
-BEAM, HEAVY, MIN_DOCS = 12, 2.5, 2
-CACHE = 300_000
+ORDER, TABLE_BITS = 4, 20
+BEAM, HEAVY = 12, 2.5
+#: A feature is in at least so many toxic documents of the sample, and in such a share of them.
+MIN_DOCS, MIN_SHARE = 2, 0.002
+CACHE = 150_000
 #: What a digit or symbol may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
 #: Log probabilities of the channel.
@@ -76,42 +80,27 @@ def _counts(text: str):
         for batch in batches:
             for lo, hi in words.slices(batch.column(text), 2 << 20):
                 gram_counts(batch.column(text).slice(lo, hi - lo), table)
-        flat = table.ravel()
-        for lo in range(0, len(flat), PART):
-            if flat[lo : lo + PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo // PART], pa.int32()), pa.array([zlib.compress(flat[lo : lo + PART].tobytes(), 1)], pa.binary())], ["part", "n"])
+        yield from tables.pieces(table)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            new = np.frombuffer(zlib.decompress(n), np.int64)
-            parts[part] = parts[part] + new if part in parts else new
-    for part, n in parts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], ["part", "n"])
-
-
-def character_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
-    """Counts over all rows, ORDER tables of 2**TABLE_BITS."""
-    out = np.zeros(ORDER << TABLE_BITS, np.int64)
-    parts = docs.select(text_column).mapInArrow(_counts(text_column), "part int, n binary")
-    for row in parts.repartition((ORDER << TABLE_BITS) // PART, "part").mapInArrow(_summed, "part int, n binary").toLocalIterator():
-        out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(zlib.decompress(row["n"]), np.int64)
-    return out.reshape(ORDER, -1)
+def character_counts(docs: DataFrame, text_column: str = "text") -> bytes:
+    """Counts over all rows, packed: ORDER tables of 2**TABLE_BITS, mostly zeros."""
+    counts = tables.total(docs.select(text_column).mapInArrow(_counts(text_column), tables.SCHEMA), ORDER << TABLE_BITS)
+    return zlib.compress(counts.tobytes(), 1)
 
 
 # ---- decoding ---------------------------------------------------------------------------------------------------------
 
 
 class Channel:
-    """Restores tokens; table: character_counts()."""
+    """Restores tokens; packed: character_counts()."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, packed: bytes):
+        table = np.frombuffer(zlib.decompress(packed), np.int64).reshape(ORDER, -1)
         self.table, self.total = table, max(1, int(table[0].sum()))
-        self.log = lru_cache(200_000)(self._log)
+        self.log = lru_cache(50_000)(self._log)
 
     def count(self, gram: bytes) -> int:
         n = len(gram)
@@ -302,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column="doc_id", text_column="
     sums = rows.mapInArrow(_fit_rows(spark.sparkContext.broadcast(table), text_column), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     # Bounded: each text of the bounded sample has so many features, and few are this one-sided.
-    known = {r["feature"]: (r["pos"], r["neg"]) for r in sums.where((F.col("pos") >= MIN_DOCS) & (ratio >= HEAVY)).toLocalIterator()}
+    known = {r["feature"]: (r["pos"], r["neg"]) for r in sums.where((F.col("pos") >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (ratio >= HEAVY)).toLocalIterator()}
     got = rows.mapInArrow(_summaries(spark.sparkContext.broadcast((table, known, n_pos, n_neg)), text_column), "toxic int, x array<double>").toArrow()
     y = got.column("toxic").to_numpy().astype(np.float64)
     x = np.array(got.column("x").to_pylist())
@@ -312,43 +301,63 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column="doc_id", text_column="
     return table, weights, b
 
 
-def _scored(shared, text: str, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights, b = shared.value
-        channel = Channel(table)
-        young: dict[int, float] = {}
-        old: dict[int, float] = {}
+class Scorer:
+    """What a worker keeps from task to task: the channel and, in two generations of bounded size, the weights of tokens."""
+
+    def __init__(self, model):
+        packed, self.weights, self.b = model
+        self.channel = Channel(packed)
+        self.young: dict[int, float] = {}
+        self.old: dict[int, float] = {}
+
+    def heavy(self, own: list[str]) -> float:
+        return max((self.weights.get(f, 0.0) for x in own for f in features(x)), default=0.0)
+
+    def tokens(self, w: words.Words, u: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Weights of the distinct tokens u, which first occur at the words `first`."""
+        out = np.zeros(len(u))
+        for i, h in enumerate(u.tolist()):
+            if (x := self.young.get(h)) is None:
+                if (x := self.old.get(h)) is None:
+                    x = self.heavy(plain_words(w.word(first[i]).decode("utf-8", "replace"), self.channel))
+                self.young[h] = x
+            out[i] = x
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        return out
+
+    def scores(self, texts: pa.Array) -> list[float]:
+        w = words.split(texts, lower=True)
+        found: dict[int, list[float]] = {}
+        if self.weights and len(w.starts):
+            u, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            each = self.tokens(w, u, first)[back]
+            on = np.flatnonzero(each >= HEAVY)
+            for row, x in zip((np.searchsorted(w.first, on, "right") - 1).tolist(), each[on].tolist(), strict=True):
+                found.setdefault(row, []).append(x)
+            for a, z in spaced_runs(w):
+                x = max((self.heavy([y]) for y in plain_words_of_run(run_text(w, a, z), self.channel)), default=0.0)
+                if x >= HEAVY:
+                    found.setdefault(int(np.searchsorted(w.first, a, "right")) - 1, []).append(x)
+        if isinstance(self.b, float):
+            return [self.b] * len(texts)
+        return [1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(self.b, summary(found.get(row, []), n))))))) for row, n in enumerate(w.counts.tolist())]
+
 
-        def heavy(own: list[str]) -> float:
-            return max((weights.get(f, 0.0) for x in own for f in features(x)), default=0.0)
+_scorers: dict[str, Scorer] = {}
 
+
+def _scored(shared, text: str, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, model = shared.value
+        if name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = Scorer(model)
         for batch in batches:
-            scores = np.zeros(len(batch))
+            scores: list[float] = []
             for lo, hi in words.slices(batch.column(text)):
-                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
-                u, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                each = np.zeros(len(u))
-                if weights:
-                    for i, h in enumerate(u.tolist()):
-                        x = young.get(h)
-                        if x is None:
-                            x = old.get(h)
-                            if x is None:
-                                x = heavy(plain_words(w.word(first[i]).decode("utf-8", "replace"), channel))
-                            young[h] = x
-                        each[i] = x
-                    if len(young) > CACHE:
-                        young, old = {}, young
-                on = np.flatnonzero(each[back] >= HEAVY) if len(u) else np.zeros(0, np.int64)
-                found: dict[int, list[float]] = {}
-                for row, x in zip((np.searchsorted(w.first, on, "right") - 1).tolist(), each[back[on]].tolist() if len(on) else [], strict=True):
-                    found.setdefault(row, []).append(x)
-                for a, z in spaced_runs(w) if weights else []:
-                    if (x := max((heavy([y]) for y in plain_words_of_run(run_text(w, a, z), channel)), default=0.0)) >= HEAVY:
-                        found.setdefault(int(np.searchsorted(w.first, a, "right")) - 1, []).append(x)
-                for row, n in enumerate(w.counts.tolist()):
-                    scores[lo + row] = b if isinstance(b, float) else 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(b, summary(found.get(row, []), n)))))))
-            made = {"score": pa.array(scores)}
+                scores += _scorers[name].scores(batch.column(text).slice(lo, hi - lo))
+            made = {"score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in columns], columns)
 
     return run
@@ -381,7 +390,7 @@ def _restored(shared, text: str, columns: list[str]):
     return run
 
 
-def deobfuscate(docs: DataFrame, table: np.ndarray, *, text_column="text") -> DataFrame:
+def deobfuscate(docs: DataFrame, table: bytes, *, text_column="text") -> DataFrame:
     """docs with restored texts: tokens that may be disguised are replaced by the likeliest letters, all else stays."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     return docs.mapInArrow(_restored(shared, text_column, docs.columns), docs.schema)
@@ -391,6 +400,13 @@ def score_toxicity(docs: DataFrame, model, *, text_column="text", keep: list[str
     """keep (all columns by default) with score and predicted. model: what fit() returns."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     inner = docs.select(*dict.fromkeys([*kept, text_column]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double"])
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
     return inner.mapInArrow(_scored(shared, text_column, [*kept, "score"]), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model, *, text_column="text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    row = docs.select(F.col(text_column).alias(text_column), F.struct("*").alias(f"{INNER}row"))
+    kept = score_toxicity(row, model, text_column=text_column, keep=[f"{INNER}row"], threshold=threshold).where("predicted = 0")
+    return kept.select(*(F.col(f"{INNER}row")[c].alias(c) for c in docs.columns))
