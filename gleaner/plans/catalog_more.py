@@ -108,12 +108,12 @@ def serp_generic(spark, sf_dir):
 
 @query()
 def make_snippet(spark, sf_dir):
-    @F.pandas_udf("string")
-    def cut(s: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([html.snippet(x, list(t)) for x, t in zip(s, terms, strict=True)])
+    def cut(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"sid": pdf.sid, "snippet": [html.snippet(x, list(t)) for x, t in zip(pdf.content, pdf.terms, strict=True)]})
 
     docs = i.corpus(spark, sf_dir).select("sid", "content", F.slice(text.content_tokens(F.col("title")), 1, 3).alias("terms"))
-    return docs.select("sid", cut("content", "terms").alias("snippet"))
+    return docs.mapInPandas(cut, "sid long, snippet string")
 
 
 # ---- sequential choices -----------------------------------------------------------------------------------------------
