@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..operators import evidence as ev
 from ..operators import planning, selection
+from .store import stored
 
 
 @dataclass(frozen=True)
@@ -55,9 +56,9 @@ def read_config(source: str) -> dict:
     return out
 
 
-def search(spark: SparkSession, questions: DataFrame, engine: Callable[[DataFrame], DataFrame], pages: Callable[[DataFrame], DataFrame], config: Config = Config(), store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.persist()) -> dict[str, DataFrame]:
+def search(spark: SparkSession, questions: DataFrame, engine: Callable[[DataFrame], DataFrame], pages: Callable[[DataFrame], DataFrame], config: Config = Config(), store: Callable[[DataFrame, str], DataFrame] = stored) -> dict[str, DataFrame]:
     """questions(qid, query). engine: tasks(qid, engine_id, sent) to hits(qid, engine_id, query, position, title, url, snippet);
-    pages: (url) to (url, html). store keeps a round's table (a written table on a cluster). Returns the tables of a report."""
+    pages: (url) to (url, html). store keeps a round's table. Returns the tables of a report."""
     q = store(questions.withColumn("intent", ev.intent(F.col("query"))), "questions")
     engines = ev.engines_table(spark)
     plan = store(planning.plan(q, config.breadth), "plan")
@@ -86,7 +87,7 @@ def search(spark: SparkSession, questions: DataFrame, engine: Callable[[DataFram
         if plan.isEmpty():
             break
         asked = asked.unionByName(plan)
-    return {"questions": q, "plan": asked, "sources": sources, **finish(sources, q, config)}
+    return {"questions": q, "plan": asked, "sources": sources, **finish(sources, q, config, store)}
 
 
 def fetched(ranked: DataFrame, pages: Callable[[DataFrame], DataFrame], config: Config) -> DataFrame:
@@ -104,15 +105,17 @@ def unfetched(ranked: DataFrame) -> DataFrame:
     return ranked.select("qid", F.xxhash64("key").alias("sid"), "url", "title", "snippet", F.lit("").alias("content"), "engines", empty.alias("queries"), empty.alias("facets"), F.lit("").alias("published"), F.when(F.col("snippet") != "", "ok").otherwise("empty").alias("status"))
 
 
-def finish(sources: DataFrame, questions: DataFrame, config: Config) -> dict[str, DataFrame]:
+def finish(sources: DataFrame, questions: DataFrame, config: Config, store: Callable[[DataFrame, str], DataFrame] = stored) -> dict[str, DataFrame]:
     """What a report needs of the sources of all rounds."""
     stands = selection.dedupe(sources, config.title_threshold, config.fingerprint_distance).where("NOT merged")
     kept = sources.drop("engines", "queries", "facets", "snippet").join(stands.select("qid", "sid", "engines", "queries", "facets", "snippet"), ["qid", "sid"])
+    kept = store(kept, "kept")
     scored = ev.score_sources(kept.dropDuplicates(["sid"]), kept.select("qid", "sid"), questions, config.now_year).join(kept.select("qid", "sid", "status", "snippet"), ["qid", "sid"])
     scored = scored.where((F.col("status") == "ok") | (F.col("snippet") != "")).drop("status", "snippet")
     scored = scored.withColumn("idx", F.row_number().over(W.partitionBy("qid").orderBy("idx"))).where(F.col("idx") <= config.max_sources)
-    best = scored.select("qid", "sid", "idx", "score").join(kept, ["qid", "sid"])
-    summary = selection.extractive_summary(best, questions, config.summary_sentences)
+    scored = store(scored, "scored")
+    best = store(scored.select("qid", "sid", "idx", "score").join(kept, ["qid", "sid"]), "best")
+    summary = store(selection.extractive_summary(best, questions, config.summary_sentences), "summary")
     return {"scored": scored, "corpus": kept.dropDuplicates(["sid"]), "summary": summary, "quotes": selection.select_quotes(best, questions), "divergences": ev.divergences(summary), "coverage": ev.coverage_report(best, config.now_year), "facets": ev.facet_coverage(best.where(F.length("content") >= 200).withColumnRenamed("content", "text"))}
 
 
