@@ -37,7 +37,7 @@ def configured(args: argparse.Namespace):
     from .plans.session import Config, read_config
 
     found = read_config(Path(args.config).read_text("utf-8")) if args.config and Path(args.config).exists() else {}
-    return Config.of(found.get("deep_search") if isinstance(found.get("deep_search"), dict) else found, vars(args))
+    return Config.of(*(v for v in found.values() if isinstance(v, dict)), found, vars(args))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -85,7 +85,7 @@ def as_markdown(bundle: dict, with_sources: bool = True, with_summary: bool = Tr
     if get("warnings"):
         sections.append(("warnings", [f"- {w}" for w in get("warnings")]))
     meta = f"用时 {_seconds(bundle.get('elapsed_seconds', 0))} · 轮次 {len(get('rounds'))} · 来源 {cov.get('sources_with_content', 0)}/{cov.get('sources_total', 0)} 条有正文 · 独立域名 {cov.get('distinct_domains', 0)} · 正文合计 {cov.get('total_chars', 0):,} 字"
-    out = [f"# 深度搜索报告：{bundle.get('query', '')}\n", f"> {meta}\n", f"> 意图：`{bundle.get('intent', '')}`　生成于 {bundle.get('generated_at', '')}\n"]
+    out = [f"# 证据报告：{bundle.get('query', '')}\n", f"> {meta}\n", f"> 意图：`{bundle.get('intent', '')}`　生成于 {bundle.get('generated_at', '')}\n"]
     for n, (key, lines) in enumerate(sections):
         out += [f"\n## {NUMBERS[n] if n < len(NUMBERS) else n + 1}、{HEADINGS[key]}\n", *lines, ""]
     return "\n".join(out)

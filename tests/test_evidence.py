@@ -329,8 +329,8 @@ def test_warnings(spark):
 
 def test_config_and_command_line(tmp_path, capsys):
     path = tmp_path / "c.yaml"
-    path.write_text("# comment\ndeep_search:\n  max_rounds: 3 # three\n  breadth: 2\n  unknown: x\nother: 'text'\n", "utf-8")
-    assert session.read_config(path.read_text("utf-8")) == {"deep_search": {"max_rounds": 3, "breadth": 2, "unknown": "x"}, "other": "text"} and session.read_config("no") == {}
+    path.write_text("# comment\nsettings:\n  max_rounds: 3 # three\n  breadth: 2\n  unknown: x\nother: 'text'\n", "utf-8")
+    assert session.read_config(path.read_text("utf-8")) == {"settings": {"max_rounds": 3, "breadth": 2, "unknown": "x"}, "other": "text"} and session.read_config("no") == {}
     c = cli.configured(cli.parser().parse_args(["q", "-c", str(path), "-b", "7"]))
     assert (c.max_rounds, c.breadth, c.max_sources) == (3, 7, 14)
     assert cli.main(["--list-engines"]) == 0 and cli.main(["--show-config"]) == 0 and cli.main([]) == 2
