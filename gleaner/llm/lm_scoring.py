@@ -300,7 +300,7 @@ def _counted(shared, text: str):
                         known[k] = [w.word(f), int(own[f]), c]
                     else:
                         x[2] += c
-                if len(known) > 400_000:
+                if len(known) > 250_000:
                     yield out()
                     known.clear()
                     ends[:] = 0

@@ -202,7 +202,7 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     keyed = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias(text_column)).withColumn(f"{INNER}fp", F.xxhash64(F.col(text_column)))
     signed = written(keyed.mapInArrow(_signatures(text_column, id_column, shingle), f"id {id_type}, fp long, node binary, bands array<long>"), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "fp")).alias("one"), F.min("bands").alias("bands"))
-    placed = written(nodes.select("node", "one", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("node", "band")), "buckets")
+    placed = written(nodes.select("node", "one", F.posexplode("bands").alias("band", "bucket")).withColumn("turn", F.xxhash64("node")), "buckets")
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "node")).alias("first")).where("n > 1")
     # Written, so that each side of the join is a plain shuffle whose large partitions Spark can split.
     shared = written(shared.select("band", "bucket", F.col("first.node").alias("leader")), "buckets-shared")

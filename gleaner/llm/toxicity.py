@@ -41,16 +41,22 @@ ORDER, TABLE_BITS = 4, 20
 BEAM, HEAVY = 12, 2.5
 #: A feature is in at least so many toxic documents of the sample, and in such a share of them.
 MIN_DOCS, MIN_SHARE = 2, 0.002
-CACHE = 150_000
+CACHE = 100_000
 #: What a digit or symbol may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
 #: Log probabilities of the channel.
 SAME, ALIKE, GONE, DOUBLED, JOINED, APART = -3.0, -1.2, -2.5, -0.7, -0.5, -1.5
 EDGE = ".,;:?\"'`()[]{}<>«»“”„…-_*#%&=/\\~^"
+LATE = "!$|+@€£"
 ODD = re.compile(r"[^\W\d_][\d\W_]|[\d\W_][^\W\d_]|(.)\1\1")
 _U = np.uint64
 
 
+#: What a worker keeps from task to task, of one model at a time.
+_fits: dict[str, tuple[Channel, dict]] = {}
+_scorers: dict[str, Scorer] = {}
+
+
 # ---- character counts -------------------------------------------------------------------------------------------------
 
 
@@ -58,6 +64,14 @@ def _slots(grams: np.ndarray, n: int) -> np.ndarray:
     return (words.mix(grams + _U(n * 0x9E3779B97F4A7C15 & words.MASK)) >> _U(64 - TABLE_BITS)).astype(np.int64)
 
 
+def _slot(gram: int, n: int) -> int:
+    """_slots() of one gram, without arrays."""
+    x = gram + n * 0x9E3779B97F4A7C15 & words.MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & words.MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & words.MASK
+    return (x ^ x >> 31) >> 64 - TABLE_BITS
+
+
 def gram_counts(texts: pa.Array, into: np.ndarray) -> None:
     """Adds the counts of 1- to ORDER-grams of bytes, A-Z lower-cased, any white space as one space on either side of a word."""
     w = words.split(texts, lower=True)
@@ -76,9 +90,11 @@ def gram_counts(texts: pa.Array, into: np.ndarray) -> None:
 
 def _counts(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _fits.clear()  # of models before
+        _scorers.clear()
         table = np.zeros((ORDER, 1 << TABLE_BITS), np.int64)
         for batch in batches:
-            for lo, hi in words.slices(batch.column(text), 2 << 20):
+            for lo, hi in words.slices(batch.column(text)):
                 gram_counts(batch.column(text).slice(lo, hi - lo), table)
         yield from tables.pieces(table)
 
@@ -99,12 +115,12 @@ class Channel:
 
     def __init__(self, packed: bytes):
         table = np.frombuffer(zlib.decompress(packed), np.int64).reshape(ORDER, -1)
-        self.table, self.total = table, max(1, int(table[0].sum()))
-        self.log = lru_cache(50_000)(self._log)
+        self.table, self.total = np.minimum(table, 2**31 - 1).astype(np.int32), max(1, int(table[0].sum()))  # half the memory
+        self.log = lru_cache(20_000)(self._log)
 
     def count(self, gram: bytes) -> int:
         n = len(gram)
-        return int(self.table[n - 1, _slots(np.array([int.from_bytes(gram, "big")], np.uint64), n)[0]])
+        return int(self.table[n - 1, _slot(int.from_bytes(gram, "big"), n)])
 
     def _log(self, before: str, c: str) -> float:
         """Log probability of the character's bytes after the characters before; shorter contexts fill in."""
@@ -147,17 +163,20 @@ class Channel:
 
 
 def core(token: str) -> str:
-    return token.strip(EDGE).rstrip("!$|+@€£").strip(EDGE) if len(token.rstrip("!$|+@€£")) < len(token) - 2 else token.strip(EDGE).rstrip("!").strip(EDGE)
+    """The token without marks around it. Of symbols that look like letters, one or two at the end stay, exclamation marks go."""
+    inner = token.strip(EDGE)
+    if inner[-1:] in LATE:
+        bare = inner.rstrip(LATE)
+        inner = (bare if len(bare) < len(inner) - 2 else inner.rstrip("!")).strip(EDGE)
+    return inner
 
 
 def plain_words(token: str, channel: Channel) -> list[str]:
     """Words of a token, restored where it may be disguised."""
     inner = core(token)
-    if not inner:
-        return []
-    if ODD.search(inner):
-        inner = channel.restore(inner)
-    return [x for x in (core(y) for y in inner.split(" ")) if x]
+    if not ODD.search(inner):
+        return [inner] if inner else []
+    return [x for x in (core(y) for y in channel.restore(inner).split(" ")) if x]
 
 
 def spaced_runs(w: words.Words) -> list[tuple[int, int]]:
@@ -213,11 +232,25 @@ def summary(weights: list[float] | np.ndarray, n_words: int) -> list[float]:
     return [1.0, *(top + [0.0] * 3)[:3], math.log1p(len(top)), math.log1p(n_words)]
 
 
+
+
+def _fitting(name: str, packed: bytes) -> tuple[Channel, dict]:
+    """The channel and the restored tokens of a worker, from task to task."""
+    if name not in _fits:
+        _fits.clear()
+        _scorers.clear()
+        _fits[name] = Channel(packed), {}
+    channel, cache = _fits[name]
+    if len(cache) > CACHE:
+        cache.clear()
+    return channel, cache
+
+
 def _fit_rows(shared, text: str):
     """For each labelled text its distinct features: sums of labels in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, cache = Channel(shared.value), {}
+        channel, cache = _fitting(*shared.value)
         for batch in batches:
             sums: dict[str, list[int]] = {}
             labels = batch.column("toxic").to_pylist()
@@ -235,8 +268,8 @@ def _summaries(shared, text: str):
     """Inputs of the regression for labelled texts, without their own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, n_pos, n_neg = shared.value
-        channel, cache = Channel(table), {}
+        name, table, known, n_pos, n_neg = shared.value
+        channel, cache = _fitting(name, table)
         for batch in batches:
             labels, rows = batch.column("toxic").to_pylist(), []
             for lo, hi in words.slices(batch.column(text)):
@@ -288,11 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column="doc_id", text_column="
         return table, {}, share
     # Small partitions: restoring is the work here.
     rows = rows.repartition(max(8, (n_pos + n_neg) // 256))
-    sums = rows.mapInArrow(_fit_rows(spark.sparkContext.broadcast(table), text_column), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    name = uuid.uuid4().hex
+    sums = rows.mapInArrow(_fit_rows(spark.sparkContext.broadcast((name, table)), text_column), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     # Bounded: each text of the bounded sample has so many features, and few are this one-sided.
     known = {r["feature"]: (r["pos"], r["neg"]) for r in sums.where((F.col("pos") >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (ratio >= HEAVY)).toLocalIterator()}
-    got = rows.mapInArrow(_summaries(spark.sparkContext.broadcast((table, known, n_pos, n_neg)), text_column), "toxic int, x array<double>").toArrow()
+    got = rows.mapInArrow(_summaries(spark.sparkContext.broadcast((name, table, known, n_pos, n_neg)), text_column), "toxic int, x array<double>").toArrow()
     y = got.column("toxic").to_numpy().astype(np.float64)
     x = np.array(got.column("x").to_pylist())
     b = logistic(x, y)
@@ -307,11 +341,13 @@ class Scorer:
     def __init__(self, model):
         packed, self.weights, self.b = model
         self.channel = Channel(packed)
+        self.heads = {f.removeprefix("=")[:4] for f in self.weights}
         self.young: dict[int, float] = {}
         self.old: dict[int, float] = {}
 
     def heavy(self, own: list[str]) -> float:
-        return max((self.weights.get(f, 0.0) for x in own for f in features(x)), default=0.0)
+        """All features of a word begin as it does, so most words need one look."""
+        return max((self.weights.get(f, 0.0) for x in own if x[:4] in self.heads for f in features(x)), default=0.0)
 
     def tokens(self, w: words.Words, u: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Weights of the distinct tokens u, which first occur at the words `first`."""
@@ -344,14 +380,12 @@ class Scorer:
         return [1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(self.b, summary(found.get(row, []), n))))))) for row, n in enumerate(w.counts.tolist())]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scored(shared, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, model = shared.value
         if name not in _scorers:
             _scorers.clear()
+            _fits.clear()
             _scorers[name] = Scorer(model)
         for batch in batches:
             scores: list[float] = []
@@ -407,6 +441,8 @@ def score_toxicity(docs: DataFrame, model, *, text_column="text", keep: list[str
 
 def drop_toxic(docs: DataFrame, model, *, text_column="text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    row = docs.select(F.col(text_column).alias(text_column), F.struct("*").alias(f"{INNER}row"))
+    if not {"score", "predicted"} & set(docs.columns):
+        return score_toxicity(docs, model, text_column=text_column, threshold=threshold).where("predicted = 0").select(*docs.columns)
+    row = docs.select(F.col(text_column), F.struct("*").alias(f"{INNER}row"))  # columns with these names stay as they are
     kept = score_toxicity(row, model, text_column=text_column, keep=[f"{INNER}row"], threshold=threshold).where("predicted = 0")
     return kept.select(*(F.col(f"{INNER}row")[c].alias(c) for c in docs.columns))
