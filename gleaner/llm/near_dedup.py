@@ -13,7 +13,7 @@ verified exactly, in tiles of two blocks of about BLOCK nodes each, in two round
 connects most near copies; then only what that left apart, the blocks of nodes outside the largest component with all blocks.
 Pairs that are connected already are not compared again, a task holds one tile, and a tile gives at most a link for each node.
 
-Components are found by label propagation with pointer jumping over written tables. Nothing of all documents is collected.
+Components are found by hooking, pointer jumping and contraction over written tables. Nothing of all documents is collected.
 
 Defined cases: a document without words (null, empty or only white space) is in a class of its own. Repeated rows and exact
 copies are in one class. A null doc_id is allowed: class_id is the smallest doc_id of the class, null if it has none. An
@@ -178,17 +178,20 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     if labels is not None:  # links between components
         own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         links = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
-    now = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        near = both.join(now.select(F.col("node").alias("v"), F.col("label")), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = written(now.join(near, "node").select("node", F.least("label", "near").alias("next"), "label"), "labels-step")
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = written(step.join(jump, "next").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        now = new.select("node", "label")
-        if not moved:
-            break
+    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    now = None
+    while now is None or edges.limit(1).count():
+        # Every node hooks to its smallest neighbour, trees become stars, and links between stars are all that is left.
+        near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"))
+        star, moved = written(near, "labels"), 1
+        while moved:
+            far = star.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            step = written(star.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
+            moved, star = step.where("moved").limit(1).count(), step.select("node", "label")
+        of = lambda c: star.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
+        left = edges.join(of("u"), "u").join(of("v"), "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
+        now = star if now is None else written(now.join(star.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        edges = written(left, "links")
     if labels is None:
         return now
     moved = now.select(F.col("node").alias("label"), F.col("label").alias("to"))
