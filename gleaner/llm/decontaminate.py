@@ -6,13 +6,18 @@ between the copies, small if few words were edited. Each of `REPEATS` repetition
 inside the item from which the walk starts, so that no edited word spoils all repetitions) and its own sample of steps; step
 0 is always in the sample. Each place of each document is taken as the anchor of an item-sized window; its sampled copies are
 matched, one sampled step after another, with those of all items, and it drops out as soon as no item has them. That gives
-the same candidates as a table of whole keys, without walking the rest of the way.
+the same candidates as a table of whole keys, without walking the rest of the way. Walks have STEPS steps from their anchor,
+not the item's length.
+
+Items of fewer than SHORT words leave no room for anchors. They are cut into one piece more than the edits they may have; an
+edit spoils one piece, so a passage within the distance has a piece whole, and runs of words equal to a piece are candidates.
 
 A candidate (place, item) is checked exactly: first with the number of item words in the window (a bound that loses nothing),
 then with the edit distance of the item to the best substring around the place. A match has distance <= (1 - similarity) *
 words of the item. Items go to the workers in blocks of at most MOST_ITEMS; more items mean more passes, none is left out.
 
-Recall: copies without edits are always found; tests measure it for random edits up to the threshold.
+Recall: copies without edits are always found, and of items of fewer than SHORT words all copies up to the threshold; of longer
+ones, tests measure it for random edits up to the threshold.
 
 Defined cases: null or empty texts of documents have no match; null or empty items and items of fewer than MIN_WORDS words
 are no evidence and are not searched; equal items are found each by its own item_id. A null doc_id is kept. Repeated rows give
@@ -38,6 +43,8 @@ SIMILARITY, MIN_WORDS = 0.8, 5
 REPEATS, SAMPLES, STEPS = 32, 4, 10
 #: Anchors drawn for each item and repetition; the walk whose sampled words are rarest in the benchmark is taken.
 PROPOSALS = 4
+#: Items of fewer words are searched by pieces.
+SHORT = 15
 MOST_ITEMS = 20_000
 #: Bits of the table that says which copies any item has.
 TABLE_BITS = 18
@@ -46,7 +53,7 @@ _END = _U(0x5851F42D4C957F2D)
 
 
 class Items:
-    """Items with their walks, made once in each worker."""
+    """Items with their walks or pieces, made once in each worker."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float):
         self.ids = ids
@@ -58,28 +65,47 @@ class Items:
         self.masks = [{int(v): sum(1 << int(i) for i in np.flatnonzero(x == v)) for v in np.unique(x)} for x in self.hashes]
         often = dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True))
         rng = np.random.Generator(np.random.PCG64(7))
+        self.pieces = self._pieces(words.Grams(h), w.first)
+        long = np.flatnonzero(w.counts >= SHORT)
         self.repeats = []
-        for _ in range(REPEATS):
+        for _ in range(REPEATS if len(long) else 0):
             salt = _U(int(rng.integers(1, 2**63)))
             sample = [0, *sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())]
             anchor, keys = np.zeros(len(self.hashes), np.int64), []
             draws = rng.random(PROPOSALS)
-            for i, x in enumerate(self.hashes):
-                best = -1.0
+            for i in long.tolist():
+                x, best = self.hashes[i], -1.0
                 for a in {int(d * max(1, len(x) - STEPS)) for d in draws}:
                     copies, own = self._walk(np.append(x[a:], np.full(STEPS, _END)), salt, sample)
                     rare = sum(math.log(len(w.starts) / often.get(c, 1)) for c in set(copies))
                     if rare > best:
                         best, anchor[i], walked = rare, a, own
                 keys.append(walked)
-            keys = np.array(keys, np.uint64).reshape(len(self.hashes), SAMPLES)
+            keys = np.array(keys, np.uint64).reshape(len(long), SAMPLES)
             stages = []
             for s in range(SAMPLES):
                 table = np.zeros(1 << TABLE_BITS, bool)
                 table[(keys[:, s] >> _U(64 - TABLE_BITS)).astype(np.int64)] = True
                 stages.append((sample[s], table))
-            order = np.argsort(keys[:, -1], kind="stable") if len(keys) else np.zeros(0, np.int64)
-            self.repeats.append((salt, stages, keys[order, -1], order, anchor))
+            order = np.argsort(keys[:, -1], kind="stable")
+            self.repeats.append((salt, stages, keys[order, -1], long[order], anchor))
+
+    def _pieces(self, grams: words.Grams, first: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length of pieces: a table of which hashes any has; sorted hashes, with their items and places in these."""
+        own = []
+        for i, x in enumerate(self.hashes):
+            if 0 < len(x) < SHORT:
+                cuts = np.arange(self.most[i] + 2) * len(x) // (self.most[i] + 1)
+                own += [(b - a, i, a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        out = []
+        for size in sorted({x[0] for x in own}):
+            which, place = np.array([x[1:] for x in own if x[0] == size], np.int64).T
+            keys = grams.of(first[which] + place, first[which] + place + size)
+            order = np.argsort(keys, kind="stable")
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[(keys >> _U(64 - TABLE_BITS)).astype(np.int64)] = True
+            out.append((size, table, keys[order], which[order], place[order]))
+        return out
 
     @staticmethod
     def _walk(x: np.ndarray, salt: np.uint64, sample: list[int]) -> tuple[list[int], list[np.uint64]]:
@@ -112,6 +138,24 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarr
     padded = np.append(h, np.full(1, _END))
     most = max(len(x) for x in items.hashes)
     found = []
+
+    def add(start: np.ndarray, key: np.ndarray, keys: np.ndarray, order: np.ndarray, back: np.ndarray) -> None:
+        """Places whose key items have; back: of each sorted key, the words of its item before the place."""
+        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        hit = np.flatnonzero(hi > lo)
+        many = (hi - lo)[hit]
+        place = np.repeat(start[hit], many)
+        at = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        # A place may lie before the document's start; its anchor says which document it is of.
+        doc = np.searchsorted(first, place, "right") - 1
+        found.append(((place - back[at] - first[doc] + most) * len(items.ids) + order[at]) * (len(first) - 1) + doc)
+
+    grams = words.Grams(h) if items.pieces else None
+    for size, table, keys, which, back in items.pieces:
+        start = words.window_starts(first, size)
+        key = grams.of(start, start + size)
+        on = np.flatnonzero(table[(key >> _U(64 - TABLE_BITS)).astype(np.int64)])
+        add(start[on], key[on], keys, which, back)
     for salt, stages, keys, order, anchor in items.repeats:
         at = start = None
         key = words.mix(h)  # chain() with key 0 and step 0
@@ -125,14 +169,7 @@ def candidates(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarr
             key = chain(key, here, j1)
             on = np.flatnonzero(table[(key >> _U(64 - TABLE_BITS)).astype(np.int64)])
             start, key, at, here, end = start[on], key[on], at[on], here[on], end[on]
-        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        hit = np.flatnonzero(hi > lo)
-        many = (hi - lo)[hit]
-        place = np.repeat(start[hit], many)
-        which = order[np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        # A place may lie before the document's start; its anchor says which document it is of.
-        doc = np.searchsorted(first, place, "right") - 1
-        found.append(((place - anchor[which] - first[doc] + most) * len(items.ids) + which) * (len(first) - 1) + doc)
+        add(start, key, keys, order, anchor[order])
     every, doc = np.divmod(np.unique(np.concatenate(found)), len(first) - 1)
     start, which = np.divmod(every, len(items.ids))
     return np.stack([doc, which], axis=1), start - most + first[doc]

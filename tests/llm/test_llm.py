@@ -128,6 +128,28 @@ def test_leak_recall_at_the_threshold():
     assert len(found & want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("n", range(5, 16))
+def test_leak_recall_of_short_items(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{int(rng.paretovariate(1))}" for _ in range(4000)]
+    items = [" ".join(rng.choices(vocabulary, k=n)) for _ in range(30)]
+    made = decontaminate.Items(list(range(30)), items, 0.8)
+    for kind in ("first", "random"):
+        texts = []
+        for x in items:
+            part = x.split()
+            if kind == "first":
+                part[:1] = ["zz"] * rng.randint(0, 1)
+            for _ in range(n // 5 if kind == "random" else 0):
+                k = rng.randrange(len(part))
+                part[k : k + rng.randint(0, 1)] = ["zz"] * rng.randint(0, 1)
+            texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + part + rng.choices(vocabulary, k=rng.randint(0, 30))))
+        w = words.split(pa.array(texts), lower=True)
+        found = {(d, i): k for d, i, _, _, k in decontaminate.matches(w.hashes(), w.first, made)}
+        want = {(d, i): k for d, t in enumerate(texts) for i, x in enumerate(items) if (k := edit_distance_in(x.split(), t.split())) <= n // 5}
+        assert len(want) >= 30 and (found == want if n < 15 else len(found) >= 0.97 * len(want))
+
+
 def test_leak_cases(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, None), (3, "one two"), (4, ""), (5, "alpha beta gamma delta epsilon"), (None, "zeta eta theta iota kappa")], "item_id long, text string")
     docs = docs_of(spark, [*EDGE, (7, "x Alpha BETA gamma delta epsilon", "a"), (None, "zeta eta theta iota kappa", "a")])
