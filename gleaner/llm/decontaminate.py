@@ -19,8 +19,8 @@ words of the item. Items go to the workers in blocks of at most MOST_ITEMS; more
 Recall: copies without edits are always found, and of items of fewer than SHORT words all copies up to the threshold; of longer
 ones, tests measure it for random edits up to the threshold.
 
-Defined cases: null or empty texts of documents have no match; null or empty items and items of fewer than MIN_WORDS words
-are no evidence and are not searched; equal items are found each by its own item_id. A null doc_id is kept. Repeated rows give
+Defined cases: null or empty texts of documents have no match; null or empty items and items of fewer than `min_words` words
+are no evidence and are not searched (op1 and the pipeline search all; up to four words no edit is allowed); equal items are found each by its own item_id. A null doc_id is kept. Repeated rows give
 repeated results. Texts of any length are walked whole. An empty table on either side gives no match.
 """
 
@@ -267,9 +267,9 @@ def _clean(shared, similarity: float, text: str):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, list, list[str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, min_words: int) -> Iterator[tuple[str, list, list[str]]]:
     """Items in blocks of bounded size: by count, parts of a hash of the item."""
-    usable = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_WORDS)
+    usable = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")) >= max(1, min_words))
     n = usable.count()
     parts = -(-n // (MOST_ITEMS // 2)) if n > MOST_ITEMS else 1
     for part in range(parts):
@@ -278,18 +278,18 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[str
             yield uuid.uuid4().hex, [r["i"] for r in rows], [r["t"] for r in rows]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_column="doc_id", text_column="text", item_id="item_id", item_text="text", similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_column="doc_id", text_column="text", item_id="item_id", item_text="text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document row and item that it has: ids, first_word (from 0), n_words, distance and item_words."""
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc", docs.schema[id_column].dataType), T.StructField("item", benchmark.schema[item_id].dataType), *[T.StructField(c, T.LongType()) for c in ("first_word", "n_words", "distance", "item_words")]])
     out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark, item_id, item_text):
+    for block in _blocks(benchmark, item_id, item_text, min_words):
         out = out.unionByName(docs.select(id_column, text_column).mapInArrow(_found(spark.sparkContext.broadcast(block), similarity, text_column, id_column), schema))
     return out.withColumnsRenamed({"doc": id_column, "item": item_id})
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_column="text", item_id="item_id", item_text="text", similarity: float = SIMILARITY) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_column="text", item_id="item_id", item_text="text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs in which no item is found."""
-    for block in _blocks(benchmark, item_id, item_text):
+    for block in _blocks(benchmark, item_id, item_text, min_words):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), similarity, text_column), docs.schema)
     return docs

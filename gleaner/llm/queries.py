@@ -21,7 +21,7 @@ from .toxicity import fit, held_out, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), min_words=1)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

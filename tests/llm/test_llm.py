@@ -160,6 +160,14 @@ def test_leak_cases(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 == decontaminate.find_leaks(docs, bench.limit(0)).count()
 
 
+def test_leaks_of_items_of_one_to_four_words(spark):
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "one two"), (3, "a b c"), (4, "p q r s"), (5, " "), (6, None)], "item_id long, text string")
+    docs = docs_of(spark, [(1, "x ALPHA one\ttwo one two", "s"), (2, "one three two alphas a b", "s"), (3, "c a b c p q r s", "s"), (4, "p q r", "s"), (5, None, "s")])
+    got = decontaminate.find_leaks(docs, bench, min_words=1).collect()
+    assert sorted(tuple(r)[:5] for r in got) == [(1, 1, 1, 1, 0), (1, 2, 2, 2, 0), (3, 3, 1, 3, 0), (3, 4, 4, 4, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench, min_words=1).collect()) == [2, 4, 5]
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------------
 
 
