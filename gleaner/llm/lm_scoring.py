@@ -1,22 +1,24 @@
 """LM scoring with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-The model. A token's context is a class of its text so far and whether a sentence has just ended. Classes are learned: the
+The model. A token's restaurant (a room) is that of the preceding word within a class of the text so far. Classes are learned: the
 FREQUENT words that training texts use most, clustered by how often one follows another (spectral clustering); the class is the
-cluster that most of the text's frequent words so far belong to. The restaurant of a context shares its parent, the class's
-restaurant, with the class's other contexts; those share the word restaurant; its base is uniform over the V known words and
-one unknown word. Each table sends one customer to the parent. Predictive probabilities sum to 1 over the V + 1 words.
+cluster that most of the text's frequent words so far belong to. A room's parent is the context: the class and whether a
+sentence has just ended; its parent is the class's restaurant; those share the word restaurant, whose base is uniform over the V
+known words and one unknown word. Each table sends one customer to the parent. Predictive probabilities sum to 1 over V + 1 words.
 
 Seating. In each sweep all customers of a dish (a word in a restaurant) leave and are seated again, one after another under
 the Chinese-restaurant rule (join a table: customers - discount * tables; open one: (strength + discount * all tables) *
 parent's probability), with the rest as the sweep before left it. The first 64 customers of a dish are seated one by one, the
 others in blocks whose new tables are Poisson. Draws depend only on the word, the restaurant and the sweep, so a lost task
-draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN sweeps, the predictive probabilities
-of SAMPLES sweeps are averaged; their logs are summed to scores and give perplexities.
+draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN sweeps, the probabilities that SAMPLES
+sweeps give in contexts are averaged, and so are the tables of rooms; both together give a token's probability (it is linear
+in the tables, so it sums to 1). Its logs are summed to scores and give perplexities.
 
-Scale. Training tokens are counted in each task before they are shuffled (once, by word). All dishes of a word are in one row,
-so a sweep is a map over words which needs the number of tables of each restaurant from the sweeps before, and returns it: a
-few numbers. For scoring, words as frequent as the MOST_HEAD most frequent ones are broadcast; all others go through a
-join on the word's hash. Nothing is dropped: all words count, and all tokens are scored.
+Scale. Pairs (room, word) are counted in each task, then in parts by room, in arrays. A pair of one token always has one table:
+only pairs of more tokens are seated. They are rows, which meet by room to count its tables and by word to be seated; a word's
+row holds them and its dishes in contexts, classes and the word restaurant. Tokens to score go to the parts by room; what
+contexts give to words as frequent as the MOST_HEAD most frequent ones is broadcast; all others go through a join on the
+word's hash. A word of one token has one table on each level, so its row stays out of the sweeps. Nothing is dropped: all words and pairs count, and all tokens are scored.
 
 Defined cases: a null text is empty, its only token is the end. A null doc_id is a training document. Repeated rows count
 each. Without training tokens N = V = 0, and all probabilities are 1. Other columns pass only if in `keep`. An empty table
@@ -25,6 +27,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables, words
-from .common import INNER, forget, written
+from .common import INNER, forget, release, written
 
-BURN_IN, SAMPLES, STRENGTH = 1, 2, 1.0
+BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
 FREQUENT, CLUSTERS, TASK_WORDS = 1024, 8, 4096
 MOST_HEAD = 1 << 19
 ONE_BY_ONE, BLOCK = 64, 1.25
 _U = np.uint64
 _END_HASH = 0
+#: Stands before a text's first word.
+_START = _U(1)
+#: Tokens that a task sends at once.
+SENT = 500_000
+BLOB = "part int, kind int, data binary"
 
 
 # ---- contexts ---------------------------------------------------------------------------------------------------------
@@ -85,6 +93,16 @@ class Contexts:
         return best(seen[:-1] - seen[w.first[:-1]][row]) * 2 + after, best(seen[w.first[1:]] - seen[w.first[:-1]]) * 2 + ends
 
 
+def rooms_of(w: words.Words, h: np.ndarray, own: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Room of each word and of each text's end, by the word before and the context."""
+    before, end, full = np.full(len(h), _START), np.full(len(last), _START), w.counts > 0
+    before[1:] = h[:-1]
+    before[w.first[:-1][full]] = _START
+    end[full] = h[w.first[1:][full] - 1]
+    room = lambda x, c: words.mix(x * words._GRAM + c.astype(np.uint64))
+    return room(before, own), room(end, last)
+
+
 def clustered(follows: np.ndarray, n: int) -> np.ndarray:
     """Spectral clusters of words by how often they are neighbours; without randomness. Degrees get their mean added, and
     centres weigh words by degree and start at common words, so that a few words that keep to themselves make no cluster."""
@@ -199,6 +217,11 @@ class Dishes:
         self.t2, self.t1, self.t0 = np.ones(len(rows)), np.ones(len(cell)), np.ones(self.n)
         self.carry()
 
+    def context_probability(self, model: Model, total) -> np.ndarray:
+        """Of the dishes in contexts."""
+        p1 = self.class_probability(model, total, self.word_probability(model, total))
+        return model.down(2, total, self.context, p1[self.up]) + (self.counts - model.discounts[2] * self.t2) / (model.customers(2, total)[self.context] + STRENGTH)
+
     def carry(self) -> None:
         self.c1 = np.bincount(self.up, self.t2, len(self.rows1))
         self.c0 = np.bincount(self.rows1, self.t1, self.n)
@@ -235,22 +258,21 @@ class Dishes:
         return p2
 
     def totals(self, contexts: int) -> np.ndarray:
-        """Tables of all restaurants, one after the other: word, classes, contexts."""
-        return np.concatenate([[self.t0.sum()], np.bincount(self.class1, self.t1, contexts // 2), np.bincount(self.context, self.t2, contexts)]).astype(np.int64)
+        """Tables of all restaurants, one after the other: word, classes, contexts; then the contexts' customers."""
+        return np.concatenate([[self.t0.sum()], np.bincount(self.class1, self.t1, contexts // 2), np.bincount(self.context, self.t2, contexts), np.bincount(self.context, self.counts, contexts)]).astype(np.int64)
 
 
 class Model:
-    def __init__(self, contexts: int, n: int, v: int, tokens: np.ndarray, discounts: list[float]):
-        """tokens: training tokens of each context."""
-        self.contexts, self.n, self.v, self.tokens, self.discounts = contexts, n, v, tokens.astype(np.float64), discounts
-        self.history: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, contexts: int, n: int, v: int, discounts: list[float]):
+        self.contexts, self.n, self.v, self.discounts = contexts, n, v, discounts
+        self.history: list[tuple[np.ndarray, ...]] = []
 
     def add(self, totals: np.ndarray) -> None:
         k = self.contexts // 2
-        self.history.append((totals[:1].astype(np.float64), totals[1 : 1 + k].astype(np.float64), totals[1 + k :].astype(np.float64)))
+        self.history.append(tuple(np.split(totals.astype(np.float64), [1, 1 + k, 1 + k + self.contexts])))
 
     def customers(self, level: int, total) -> np.ndarray:
-        return self.tokens if level == 2 else total[2].reshape(-1, 2).sum(axis=1)
+        return total[3] if level == 2 else total[2].reshape(-1, 2).sum(axis=1)
 
     def down(self, level: int, total, restaurant: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """What a restaurant gives to a dish through its parent."""
@@ -274,48 +296,115 @@ def discount_of(n1: float, n2: float) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
 
 
-def _counted(shared, text: str):
-    """Words and contexts of training tokens, summed in the task; an empty word is a text's end."""
+def _blobs(parts: int, kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the rooms, or of the texts where no rooms are given. In its arrays, sorted by room, each room stands
+    once with its context and the number of its rows, and each text once."""
+    key = columns["room"] if "room" in columns else columns["doc"].view(np.uint64)
+    part = (key >> _U(40)) % _U(parts)
+    order = np.lexsort((key, part))
+    part, columns = part[order], {k: v[order] for k, v in columns.items()}
+    own, at = np.unique(part, return_index=True)
+    out = []
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)][: len(at)], strict=True):
+        x = {k: v[a:b] for k, v in columns.items()}
+        if "room" in x:
+            first = np.flatnonzero(np.append(True, x["room"][1:] != x["room"][:-1]))
+            x |= {"room": x["room"][first], "size": np.diff(np.append(first, b - a)), **({"context": x["context"][first].astype(np.uint8)} if "context" in x else {})}
+            if "doc" in x:
+                x["doc"], x["text"] = np.unique(x["doc"], return_inverse=True)
+        for k in ("n", "size", "text"):
+            if k in x:
+                x[k] = x[k].astype(np.min_scalar_type(int(x[k].max())))
+        out.append(pickle.dumps({k: _packed(v) for k, v in x.items()}, 5))
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), kind, np.int32)), pa.array(out, pa.binary())], ["part", "kind", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = shared.value
-        known: dict[int, list] = {}
-        ends = np.zeros(contexts.n, np.int64)
 
-        def out():
-            at = np.flatnonzero(ends)
-            rows = list(known.values())
-            made = [pa.array([b""] * len(at) + [x[0] for x in rows], pa.binary()), pa.array([*at.tolist(), *(x[1] for x in rows)], pa.int32()), pa.array([*ends[at].tolist(), *(x[2] for x in rows)], pa.int64())]
-            return pa.RecordBatch.from_arrays(made, ["word", "context", "n"])
+def _packed(x: np.ndarray) -> tuple[str, int, bytes]:
+    """Small numbers compress well; hashes do not."""
+    return (x.dtype.str, len(x), pa.compress(x.tobytes(), "zstd", asbytes=True) if x.dtype.itemsize < 8 else x.tobytes())
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    x = {}
+    for k, (kind, n, raw) in pickle.loads(data).items():
+        size = np.dtype(kind).itemsize
+        x[k] = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True) if size < 8 else raw, kind)
+    if "size" in x:
+        x |= {k: np.repeat(x[k], x["size"]) for k in ("room", "context") if k in x}
+        if "text" in x:
+            x["doc"] = x["doc"][x["text"]]
+    return {k: v.astype(np.int64) if k in ("n", "context") else v for k, v in x.items()}
+
+
+def _arrays(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    for data in batch.column("data"):
+        x = _unpacked(data.as_py())
+        yield tuple(x[k] for k in names)
 
+
+def pair_key(h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    return words.mix(h * words._GRAM + room)
+
+
+def _merge(waiting: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Pairs (h, room, context, n), each once."""
+    h, room, context, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+    _, first, at = np.unique(pair_key(h, room), return_index=True, return_inverse=True)
+    return h[first], room[first], context[first], np.bincount(at, n, len(first)).astype(np.int64)
+
+
+def _counted(shared, text: str, parts: int):
+    """Pairs of training tokens, summed in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = shared.value
+        waiting, size, merged = [], 0, 0
         for batch in batches:
             for lo, hi in words.slices(batch.column(text)):
                 w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
                 h = w.hashes()
                 own, last = contexts.of(w, h)
-                ends += np.bincount(last, minlength=contexts.n)
-                u, first, n = np.unique(h + own.astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
-                for k, f, c in zip(u.tolist(), first.tolist(), n.tolist(), strict=True):
-                    if (x := known.get(k)) is None:
-                        known[k] = [w.word(f), int(own[f]), c]
-                    else:
-                        x[2] += c
-                if len(known) > 250_000:
-                    yield out()
-                    known.clear()
-                    ends[:] = 0
-        yield out()
+                room, end = rooms_of(w, h, own, last)
+                waiting.append((np.append(h, np.full(len(last), _U(_END_HASH))), np.append(room, end), np.append(own, last), np.ones(len(h) + len(last), np.int64)))
+                size += len(h) + len(last)
+                if size - merged > SENT:
+                    waiting = [_merge(waiting)]
+                    size = merged = len(waiting[0][0])
+                    if size > 2 * SENT:
+                        h, room, context, n = waiting[0]
+                        yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
+                        waiting, size, merged = [], 0, 0
+        if waiting:
+            h, room, context, n = _merge(waiting)
+            yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
 
     return run
 
 
-def word_hashes(tokens: pa.Array) -> np.ndarray:
-    """As words.split() hashes them; the end (no bytes) has 0."""
-    out = np.zeros(len(tokens), np.uint64)
-    for lo, hi in words.slices(tokens):
-        w = words.split(tokens.slice(lo, hi - lo))
-        out[lo:hi][w.counts > 0] = w.hashes()
-    return out
+def _summed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = [x for b in batches for x in _arrays(b, "h", "room", "context", "n")]
+        if waiting:
+            h, room, context, n = _merge(waiting)
+            yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
+
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each word and context: tokens, pairs, and pairs of one token."""
+    for h, context, n in (x for batch in batches for x in _arrays(batch, "h", "context", "n")):
+        _, first, at = np.unique(h + context.astype(np.uint64) * words._GRAM, return_index=True, return_inverse=True)
+        sums = [np.bincount(at, x, len(first)).astype(np.int64) for x in (n, np.ones(len(n)), n == 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(context[first], pa.int32()), *map(pa.array, sums)], ["h", "context", "c", "n", "one"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of more tokens than one; ones: the room's other pairs. A row has whole rooms."""
+    for h, room, context, n in (x for batch in batches for x in _arrays(batch, "h", "room", "context", "n")):
+        u, at = np.unique(room, return_inverse=True)
+        ones, on = np.bincount(at, n == 1, len(u)).astype(np.int64)[at], n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(context[on], pa.int32()), pa.array(room[on].view(np.int64)), pa.array(n[on], pa.int64()), pa.array(ones[on])], ["h", "context", "room", "n", "ones"])
 
 
 def _dishes(batch: pa.RecordBatch) -> Dishes:
@@ -331,13 +420,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first(contexts: int):
-    """Before the first sweep: tables, tokens of contexts, and how many dishes of each level have one and two customers."""
+    """Before the first sweep: tables, and how many dishes of each level have one and two customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = _dishes(batch)
             few = [(x == k).sum() for x in (d.c0, d.c1, d.counts) for k in (1, 2)]
-            row = np.concatenate([d.totals(contexts), np.bincount(d.context, d.counts, contexts), few]).astype(np.int64)
+            row = np.concatenate([d.totals(contexts), few]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row)).astype(np.int32)), pa.array(row)], ["k", "n"])
 
     return run
@@ -380,29 +469,131 @@ def _sums(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def pairs_of(docs: DataFrame, contexts: Contexts, text_column: str = "text") -> tuple[DataFrame, int]:
+    """All pairs (h, room, context, n), in rows of arrays with whole rooms, and the number of parts; written."""
+    shared, parts = docs.sparkSession.sparkContext.broadcast(contexts), max(16, 4 * docs.rdd.getNumPartitions())
+    counted = docs.select(text_column).mapInArrow(_counted(shared, text_column, parts), BLOB)
+    return written(counted.repartition(parts, "part").mapInArrow(_summed(parts), BLOB), "pairs"), parts
+
+
+def words_of(pairs: DataFrame) -> DataFrame:
+    """h (hash), c (training tokens) and cells (context, n pairs, `one` of them of one token) of each word and the end; written."""
+    each = pairs.mapInArrow(_cells, "h long, context int, c long, n long, one long").groupBy("h", "context").agg(*[F.sum(x).alias(x) for x in ("c", "n", "one")])
+    return written(each.groupBy("h").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct("context", "n", "one"))).alias("cells")), "vocabulary")
+
+
 def vocabulary_of(docs: DataFrame, contexts: Contexts, text_column: str = "text") -> DataFrame:
-    """h (hash), c (training tokens) and cells (context, n) of each word and the end; written."""
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
-    counted = docs.select(text_column).mapInArrow(_counted(shared, text_column), "word binary, context int, n long")
-    # One shuffle by word serves both sums; each task has summed its own tokens.
-    each = counted.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    words_ = each.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("context", "n")).alias("cells"))
-    return written(words_.mapInArrow(_hashed, "h long, c long, cells array<struct<context:int,n:long>>"), "vocabulary")
+    return words_of(pairs_of(docs, contexts, text_column)[0])
 
 
-def fit(vocabulary: DataFrame, contexts: Contexts) -> Model:
-    spark = vocabulary.sparkSession
+def started(vocabulary: DataFrame, contexts: Contexts) -> Model:
+    """Every dish has one table."""
     n, v = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
-    size = 1 + contexts.n // 2 + contexts.n
-    first = _sums(vocabulary.mapInArrow(_first(contexts.n), "k int, n long"), size + contexts.n + 6)
+    first = _sums(vocabulary.mapInArrow(_first(contexts.n), "k int, n long"), 1 + contexts.n // 2 + 2 * contexts.n + 6)
     few = first[-6:]
-    model = Model(contexts.n, n or 0, v, first[size:-6], [discount_of(*few[i : i + 2]) for i in (0, 2, 4)])
-    model.add(first[:size])
+    model = Model(contexts.n, n or 0, v, [discount_of(*few[i : i + 2]) for i in (0, 2, 4)])
+    model.add(first[:-6])
+    return model
+
+
+def fit(vocabulary: DataFrame, contexts: Contexts) -> Model:
+    """Contexts, classes and words alone, with one table for each pair."""
+    model = started(vocabulary, contexts)
     for s in range(1, BURN_IN + SAMPLES + 1):
-        model.add(_sums(vocabulary.mapInArrow(_swept(spark.sparkContext.broadcast(model), s), "k int, n long"), size))
+        model.add(_sums(vocabulary.mapInArrow(_swept(vocabulary.sparkSession.sparkContext.broadcast(model), s), "k int, n long"), len(np.concatenate(model.history[0]))))
     return model
 
 
+PAIR = "struct<context:int,room:long,n:long,ones:long,t:long,sum:long,all:long>"
+STATE = f"h long, c long, cells array<struct<context:int,n:long,one:long>>, t2 array<double>, t1 array<double>, t0 double, lp array<float>, pairs array<{PAIR}>, totals array<long>"
+
+
+def _stated(batch: pa.RecordBatch) -> Dishes:
+    d = _dishes(batch)
+    if batch.column("t0").null_count < len(batch):
+        d.t2, d.t1, d.t0 = batch.column("t2").flatten().to_numpy(), batch.column("t1").flatten().to_numpy(), batch.column("t0").to_numpy()
+        d.carry()
+    return d
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=n))).astype(np.int32)), values)
+
+
+def _seated(shared, s: int):
+    """Sweep s of words' pairs and dishes. What contexts gave in sweep s - 1 is added to lp if that was a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, d3 = shared.value
+        for batch in batches:
+            d, n, total = _stated(batch), len(batch), model.history[s - 1]
+            lp = batch.column("lp")
+            if s - 1 > BURN_IN:
+                p = d.predictive(model, total)
+                p += batch.column("lp").flatten().to_numpy().reshape(n, -1) if s - 2 > BURN_IN else 0
+                lp = _lists(np.repeat(np.arange(n), model.contexts), n, pa.array(p.ravel().astype(np.float32)))
+            cells, pairs = batch.column("cells"), batch.column("pairs")
+            rows = np.repeat(np.arange(n), pa.compute.fill_null(pa.compute.list_value_length(pairs), 0).to_numpy(zero_copy_only=False))
+            x = {f: pairs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("context", "room", "n", "ones", "t", "sum", "all")}
+            order = np.lexsort((x["room"], rows))
+            x, rows = {k: v[order] for k, v in x.items()}, rows[order]
+            cell = np.searchsorted(d.rows * 64 + d.context, rows * 64 + x["context"])
+            seeds = words.mix(d.word[rows] + words.mix(x["room"].view(np.uint64) + _U(s)))
+            t = seat(x["n"].astype(np.float64), (STRENGTH + d3 * x["all"]) * d.context_probability(model, total)[cell], d3, seeds)
+            d.counts = cells.flatten().field("one").to_numpy() + np.bincount(cell, t, len(d.rows))
+            d.sweep(model, s)
+            x["t"], x["sum"] = t.astype(np.int64), x["sum"] + (t.astype(np.int64) if s > BURN_IN else 0)
+            values = pa.StructArray.from_arrays([pa.array(v, pa.int32() if k == "context" else pa.int64()) for k, v in x.items()], list(x))
+            new = pa.StructArray.from_arrays([pa.array(d.context, pa.int32()), pa.array(d.counts.astype(np.int64)), cells.flatten().field("one")], ["context", "n", "one"])
+            totals = pa.array([d.totals(model.contexts).tolist(), *[None] * (n - 1)], pa.list_(pa.int64()))
+            made = [batch.column("h"), batch.column("c"), _lists(d.rows, n, new), _lists(d.rows, n, pa.array(d.t2)), _lists(d.rows1, n, pa.array(d.t1)), pa.array(d.t0), lp, _lists(rows, n, values), totals]
+            yield pa.RecordBatch.from_arrays(made, ["h", "c", "cells", "t2", "t1", "t0", "lp", "pairs", "totals"])
+
+    return run
+
+
+def _types(shared):
+    """Averages over the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            if "t0" in batch.schema.names:
+                d = _stated(batch)
+                p = d.predictive(model, model.history[-1]) + (batch.column("lp").flatten().to_numpy().reshape(d.n, -1) if SAMPLES > 1 else 0)
+            else:  # words of one token
+                d = _dishes(batch)
+                p = sum(d.predictive(model, model.history[i]) for i in model.samples())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), _lists(np.repeat(np.arange(d.n), model.contexts), d.n, pa.array(np.log10(p / SAMPLES).astype(np.float32).ravel()))], ["h", "c", "lp"])
+
+    return run
+
+
+def sampled(pairs: DataFrame, vocabulary: DataFrame, contexts: Contexts) -> tuple[Model, float, DataFrame]:
+    """The model, the discount of rooms, and the state of words of more tokens than one after the last sweep."""
+    spark = pairs.sparkSession
+    model = started(vocabulary, contexts)
+    repeated = written(pairs.mapInArrow(_repeated, "h long, context int, room long, n long, ones long"), "repeated")
+    once = _sums(vocabulary.where("c = 1").mapInArrow(_first(contexts.n), "k int, n long"), len(np.concatenate(model.history[0])) + 6)[:-6]
+    ones = vocabulary.select(F.explode("cells.one").alias("x")).agg(F.sum("x")).first()[0] or 0
+    d3 = discount_of(ones, repeated.where("n = 2").count())
+    each = repeated.selectExpr("h", "context", "room", "n", "ones", "1L AS t", "0L AS sum")
+    state = vocabulary.where("c > 1").selectExpr("h", "c", "cells", "CAST(NULL AS array<double>) AS t2", "CAST(NULL AS array<double>) AS t1", "CAST(NULL AS double) AS t0", "CAST(NULL AS array<float>) AS lp")
+    last = repeated
+    for s in range(1, BURN_IN + SAMPLES + 1):
+        tables_ = each.groupBy("room").agg(F.sum("t").alias("t_all"))
+        met = each.join(tables_, "room").select("h", F.struct("context", "room", "n", "ones", "t", "sum", (F.col("ones") + F.col("t_all")).alias("all")).alias("pair"))
+        rows = state.join(met.groupBy("h").agg(F.collect_list("pair").alias("pairs")), "h", "left").select("h", "c", "cells", "t2", "t1", "t0", "lp", "pairs")
+        done = written(rows.mapInArrow(_seated(spark.sparkContext.broadcast((model, d3)), s), STATE), "sweep")
+        forget(last)
+        last, state = done, done.drop("pairs", "totals")
+        each = done.select("h", F.explode("pairs").alias("p")).select("h", *[f"p.{x}" for x in ("context", "room", "n", "ones", "t", "sum")])
+        model.add(once + _sums(done.where("totals IS NOT NULL").select(F.posexplode("totals").alias("k", "n")), len(once)))
+        del rows, met, tables_, done
+        release(spark)
+    return model, d3, last
+
+
 # ---- scores -----------------------------------------------------------------------------------------------------------
 
 
@@ -410,32 +601,107 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def _scored(shared, text: str, id_column: str):
-    """Of each text the sums over head words (h is null), and a row for each other word and context."""
+def _asked(shared, text: str, parts: int):
+    """Tokens by room: head words by number, the end after them (kind 1), other words by hash (kind 4); and texts with their sums (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, head, base, lp, end_base, end_lp, end_known = shared.value
+        waiting, size = [], 0
+
+        def out():
+            for kind, own in zip((1, 4), zip(*waiting, strict=True), strict=True):
+                yield _blobs(parts, kind, **{k: np.concatenate([x[k] for x in own]) for k in own[0]})
+
         for batch in batches:
             for lo, hi in words.slices(batch.column(text)):
                 w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
                 h = w.hashes()
                 own, last = contexts.of(w, h)
+                room, end = rooms_of(w, h, own, last)
                 at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
                 hit = head[at] == h if len(head) else np.zeros(len(h), bool)
                 n, row = hi - lo, w.rows
-                found = row[hit]
-                sums = [w.counts + 1, np.bincount(found, minlength=n) + end_known, np.bincount(found, base[at[hit]], n) + end_base, np.bincount(found, lp[at[hit], own[hit]], n) + end_lp[last]]
-                rest = np.flatnonzero(~hit)
-                _, one, m = np.unique(h[rest] + (row[rest] * 64 + own[rest]).astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
-                rest = rest[one]
-                docs = pa.array(np.concatenate([np.arange(n), row[rest]]) + lo)
-                later = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)])  # noqa: B023, E731
-                pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(len(rest), kind)])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_column).take(docs), batch.column(f"{INNER}fp").take(docs), later(h[rest].view(np.int64), pa.int64()), later(own[rest].astype(np.int32), pa.int32()), later(m.astype(np.int32), pa.int32())]
-                    + [pad(x, kind) for x, kind in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                    ["id", "fp", "h", "context", "m", "n_tokens", "n_known", "base", "score"],
-                )
+                doc = batch.column(f"{INNER}doc").slice(lo, n).to_numpy()
+                yield _blobs(parts, 2, doc=doc, tokens=w.counts + 1, n=np.bincount(row[hit], minlength=n) + end_known, base=np.bincount(row[hit], base[at[hit]], n) + end_base)
+                _, one, m = np.unique(pair_key(h, room) + row.astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
+                first, rest, m = one[hit[one]], one[~hit[one]], m.astype(np.int64)
+                new = {"doc": (doc[row[first]], doc), "at": (at[first].astype(np.uint32), np.full(n, len(head), np.uint32)), "room": (room[first], end), "context": (own[first], last), "n": (m[hit[one]], np.ones(n, np.int64))}
+                waiting.append(({k: np.concatenate(x) for k, x in new.items()}, {"doc": doc[row[rest]], "h": h[rest], "room": room[rest], "context": own[rest], "n": m[~hit[one]]}))
+                size += len(one) + n
+                if size > SENT:
+                    yield from out()
+                    waiting, size = [], 0
+        if waiting:
+            yield from out()
+
+    return run
+
+
+def _tables(parts: int):
+    """Pairs of more tokens than one with their tables in the samples (kind 3), from words' rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = batch.column("pairs")
+            rows = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(pairs).to_numpy(zero_copy_only=False))
+            x = pairs.flatten()
+            if len(rows):
+                yield _blobs(parts, 3, h=batch.column("h").to_numpy().view(np.uint64)[rows], room=x.field("room").to_numpy().view(np.uint64), n=x.field("sum").to_numpy())
+
+    return run
+
+
+def _answered(shared, d3: float):
+    """Of each text the sums over head words (h is null), and for each other token what its pair (a) and room (b) give."""
+
+    def rows_of(doc, h=None, context=None, m=None, a=None, b=None, s=None, n_tokens=None, n_known=None, base=None):
+        given = [doc, h, context, m, a, b, s, n_tokens, n_known, base]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), k) if x is None else pa.array(x, k) for x, k in zip(given, kinds, strict=True)], ["doc", "h", "context", "m", "a", "b", "s", "n_tokens", "n_known", "base"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, head, _, lp, _, end_lp, _ = shared.value
+        kept: dict[int, list] = {0: [], 1: [], 3: [], 4: []}
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(kinds).tolist():
+                own = batch.filter(pa.array(kinds == kind))
+                if kind == 2:
+                    for doc, tokens, known, base in _arrays(own, "doc", "tokens", "n", "base"):
+                        yield rows_of(doc, n_tokens=tokens.astype(np.int64), n_known=known, base=base)
+                else:
+                    kept[kind] += own.column("data").to_pylist()
+        of = lambda kind, *names: (tuple(x[k] for k in names) for x in map(_unpacked, kept[kind]))
+        h, room, n = (np.concatenate(x) for x in zip(*of(0, "h", "room", "n"), strict=True)) if kept[0] else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))
+        key = pair_key(h, room)
+        order = np.argsort(key)
+        key, room, n = key[order], room[order], n[order].astype(np.float64)
+        made = np.ones(len(key))
+        for h, own, t in of(3, "h", "room", "n"):
+            made[np.searchsorted(key, pair_key(h, own))] = t / SAMPLES
+        rooms, at = np.unique(room, return_inverse=True)
+        customers, opened = np.bincount(at, n, len(rooms)), np.bincount(at, made, len(rooms))
+
+        def given(h, own):
+            """What the pairs and the rooms of tokens give."""
+            a, b, seen = np.zeros(len(h)), np.ones(len(h)), pair_key(h, own)
+            if len(key):
+                i, j = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((rooms, own), (key, seen)))
+                inside, hit = rooms[i] == own, key[j] == seen
+                b[inside] = ((STRENGTH + d3 * opened[i]) / (customers[i] + STRENGTH))[inside]
+                a[hit] = ((n[j] - d3 * made[j]) / (customers[i] + STRENGTH))[hit]
+            return a, b
+
+        for at, own, doc, context, m in of(1, "at", "room", "doc", "context", "n"):
+            end = at == len(head)
+            h, p = np.full(len(at), _U(_END_HASH)), end_lp[context].astype(np.float64)
+            h[~end], p[~end] = head[at[~end]], lp[at[~end], context[~end]]
+            a, b = given(h, own)
+            u, to = np.unique(doc, return_inverse=True)
+            yield rows_of(u, s=np.bincount(to, m * np.log10(a + b * 10.0**p), len(u)))
+        for h, own, doc, context, m in of(4, "h", "room", "doc", "context", "n"):
+            a, b = given(h, own)
+            yield rows_of(doc, h=h.view(np.int64), context=context.astype(np.int32), m=m, a=a, b=b)
 
     return run
 
@@ -448,10 +714,17 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     id_type = docs.schema[id_column].dataType.simpleString()
     train = docs.where(~held_out(F.col(id_column), folds, fold))
     contexts = learn_contexts(train, text_column)
-    vocabulary = vocabulary_of(train, contexts, text_column)
-    model = fit(vocabulary, contexts)
-    types = written(vocabulary.mapInArrow(_probabilities(spark.sparkContext.broadcast(model)), "h long, c long, lp array<float>"), "types")
+    pairs, parts = pairs_of(train, contexts, text_column)
+    vocabulary = words_of(pairs)
+    model, d3, state = sampled(pairs, vocabulary, contexts)
+    typed = _types(spark.sparkContext.broadcast(model))
+    types = [x.mapInArrow(typed, "h long, c long, lp array<float>") for x in (state.drop("pairs", "totals"), vocabulary.where("c = 1"))]
+    types = written(types[0].union(types[1]), "types")
     forget(vocabulary)
+    told = written(state.select("h", "pairs").mapInArrow(_tables(parts), BLOB), "tables")
+    forget(state)
+    del vocabulary, state, typed
+    release(spark)
     least, upto = 1 << 62, 0
     for c, k in types.where(f"h <> {_END_HASH}").groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
         if (upto := upto + k) > most_head:
@@ -466,20 +739,19 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     end = types.where(f"h = {_END_HASH}").first()
     end = (float(np.log10(end["c"] + 1.0)) - log_all, np.array(end["lp"]), 1) if end else (-log_all, unknown, 0)
     shared = spark.sparkContext.broadcast((contexts, h[order], np.log10(c[order] + 1.0) - log_all, lp[order], *end))
-    keyed = docs.withColumn(f"{INNER}fp", F.xxhash64(F.col(text_column)))
-    rows = keyed.select(id_column, text_column, f"{INNER}fp").mapInArrow(_scored(shared, text_column, id_column), f"id {id_type}, fp long, h long, context int, m int, n_tokens long, n_known long, base double, score double")
-    rows = written(rows, "scored")
-    rest = rows.where("h IS NOT NULL").select("id", "fp", "h", "context", "m")
+    keyed = docs.withColumn(f"{INNER}doc", F.xxhash64(F.col(id_column), F.col(text_column)))
+    asked = keyed.select(text_column, f"{INNER}doc").mapInArrow(_asked(shared, text_column, parts), BLOB)
+    rows = asked.union(pairs).union(told).repartition(parts, "part")
+    rows = written(rows.mapInArrow(_answered(shared, d3), "doc long, h long, context int, m long, a double, b double, s double, n_tokens long, n_known long, base double"), "scored")
+    rest = rows.where("h IS NOT NULL").select("doc", "h", "context", "m", "a", "b")
     tail = types.where((F.col("c") < least) & (F.col("h") != _END_HASH))
     place = F.col("context") + 1
-    found = rest.join(tail, "h", "left").select("id", "fp", "m", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.element_at("lp", place).cast("double"), F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), place)).alias("lp"))
-    sums = found.groupBy("id", "fp").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(F.col("m") * (F.log10(F.col("c") + 1.0) - log_all)).alias("b"), F.sum(F.col("m") * F.col("lp")).alias("s"))
-    # Equal rows (same id and text) have equal sums; the rest's sums are over all of them.
-    heads = rows.where("h IS NULL").groupBy("id", "fp").agg(F.count(F.lit(1)).alias("r"), *[F.max(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
-    heads, sums = heads.alias("x"), sums.alias("y")
-    every = heads.join(sums, F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.fp") == F.col("y.fp")), "left")
-    part = lambda a: F.coalesce(F.col(f"y.{a}") / F.col("r"), F.lit(0.0))
-    done = every.select(F.col("x.id").alias(f"{INNER}id"), F.col("x.fp").alias(f"{INNER}f"), "n_tokens", (F.col("n_known") + part("k")).cast("long").alias("n_known"), (F.col("base") + part("b")).alias("base_score"), (F.col("score") + part("s")).alias("score"))
-    done = written(done, "scores")
-    out = keyed.select(*dict.fromkeys([*keep, id_column]), f"{INNER}fp").join(done, keyed[id_column].eqNullSafe(done[f"{INNER}id"]) & (F.col(f"{INNER}fp") == F.col(f"{INNER}f")))
+    lp = F.coalesce(F.element_at("lp", place).cast("double"), F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), place))
+    found = rest.join(tail, "h", "left").select("doc", "m", F.coalesce("c", F.lit(0)).alias("c"), F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), lp)).alias("s"))
+    sums = found.select("doc", (F.col("m") * F.col("s")).alias("s"), F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * (F.log10(F.col("c") + 1.0) - log_all)).alias("base"))
+    # Equal rows (same id and text) have equal sums; these are over all of them.
+    every = rows.where("h IS NULL").select("doc", "s", "n_tokens", "n_known", "base").union(sums).groupBy("doc").agg(F.count("n_tokens").alias("r"), *[F.sum(x).alias(x) for x in ("s", "n_tokens", "n_known", "base")])
+    part = lambda x: F.coalesce(F.col(x), F.lit(0)) / F.col("r")
+    done = written(every.select(F.col("doc").alias(f"{INNER}d"), part("n_tokens").cast("long").alias("n_tokens"), part("n_known").cast("long").alias("n_known"), part("base").alias("base_score"), part("s").alias("score")), "scores")
+    out = keyed.select(*dict.fromkeys([*keep, id_column]), f"{INNER}doc").join(done, F.col(f"{INNER}doc") == F.col(f"{INNER}d"))
     return out.withColumns({"held_out": held_out(F.col(id_column), folds, fold), "train_tokens": F.lit(model.n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))}).select(*keep, *made)

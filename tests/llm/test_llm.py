@@ -460,6 +460,17 @@ def test_model_beats_base_on_held_out_texts_and_sums_to_one(spark):
     assert np.allclose((10.0 ** np.stack(types.lp)).sum(axis=0) + 10.0 ** model.unknown(), 1, atol=1e-4)
 
 
+def test_preceding_words_count(spark):
+    """Two words are as frequent after each of two others, but for the order."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(("a b", "c d")) for _ in range(30))) for i in range(300)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "a b " * 20 + "c d " * 20), (held[1], "a d " * 20 + "c b " * 20)]
+    got = {r["doc_id"]: r["perplexity"] for r in lm_scoring.score_texts(docs_of(spark, [(*r, "s") for r in rows])).collect()}
+    assert got[held[0]] < 2 and got[held[1]] > 5 * got[held[0]]
+    assert lm_scoring.BURN_IN >= 2 and lm_scoring.SAMPLES >= 3
+
+
 def test_seating():
     c = np.array([0, 1, 2, 50, 5000, 10**7])
     t = lm_scoring.seat(c, np.full(6, 5.0), 0.5, words.mix(np.arange(6).astype(np.uint64)))
