@@ -1,28 +1,28 @@
 """LM scoring with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-The model. A token's restaurant (a room) is that of the preceding word within a class of the text so far. Classes are learned: the
-FREQUENT words that training texts use most, clustered by how often one follows another (spectral clustering); the class is the
-cluster that most of the text's frequent words so far belong to. A room's parent is the context: the class and whether a
-sentence has just ended; its parent is the class's restaurant; those share the word restaurant, whose base is uniform over the V
-known words and one unknown word. Each table sends one customer to the parent. Predictive probabilities sum to 1 over V + 1 words.
+The model. Each word that stands before another (or the start of a text) is a restaurant, a room; its customers are the tokens
+that come next, words or the end of the text. All rooms share one parent, the word restaurant, whose base is uniform over the V
+known words (the end is one) and one unknown word. Each table of a room sends one customer to the word restaurant. Predictive
+probabilities of a room sum to 1 over V + 1 words; a room that training has not seen gives what its parent gives.
 
 Seating. In each sweep all customers of a dish (a word in a restaurant) leave and are seated again, one after another under
 the Chinese-restaurant rule (join a table: customers - discount * tables; open one: (strength + discount * all tables) *
-parent's probability), with the rest as the sweep before left it. The first 64 customers of a dish are seated one by one, the
-others in blocks whose new tables are Poisson. Draws depend only on the word, the restaurant and the sweep, so a lost task
-draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN sweeps, the probabilities that SAMPLES
-sweeps give in contexts are averaged, and so are the tables of rooms; both together give a token's probability (it is linear
-in the tables, so it sums to 1). Its logs are summed to scores and give perplexities.
-
-Scale. Pairs (room, word) are counted in each task, then in parts by room, in arrays. A pair of one token always has one table:
-only pairs of more tokens are seated. They are rows, which meet by room to count its tables and by word to be seated; a word's
-row holds them and its dishes in contexts, classes and the word restaurant. Tokens to score go to the parts by room; what
-contexts give to words as frequent as the MOST_HEAD most frequent ones is broadcast; all others go through a join on the
-word's hash. A word of one token has one table on each level, so its row stays out of the sweeps. Nothing is dropped: all words and pairs count, and all tokens are scored.
+parent's probability), with the rest as the sweep before left it. Beyond the first 64 customers of a dish the number of those
+who join before the next table opens is drawn at once, by inversion of its distribution. Draws depend only on the word, the
+room and the sweep, so a lost task draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN
+sweeps the predictive probabilities of SAMPLES sweeps are averaged. Their logs are summed to scores and give perplexities.
+
+Scale. Pairs (room, word) are counted in each task, then by room in parts; a room with many tokens is split over parts by
+word. A pair of one token always has one table: only pairs of more tokens are drawn. Pairs are written once. In a sweep the
+parts send the tables of each word to the word's part, which seats the word restaurant and answers with its state: no pair moves
+between parts, and no vector of all words comes to one place. Which rooms are split is decided by a sample of texts; that only
+spreads work. Scores: pairs as frequent as the MOST_PAIRS most frequent ones, and words as the MOST_HEAD ones, are broadcast with
+what they give; all other tokens go to the part of their pair. Of a pair that no training text has, what the room and the word
+give is multiplied, from the broadcast or else by joins. Nothing is dropped: all words and pairs count, all tokens are scored.
 
 Defined cases: a null text is empty, its only token is the end. A null doc_id is a training document. Repeated rows count
-each. Without training tokens N = V = 0, and all probabilities are 1. Other columns pass only if in `keep`. An empty table
-gives an empty table.
+each. Without training tokens N = V = 0, and all probabilities are 1. Texts are taken whole, however long. Other columns pass
+only if in `keep`, and result columns replace those of their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,726 +32,695 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import tables, words
+from . import words
 from .common import INNER, forget, release, written
 
 BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
-FREQUENT, CLUSTERS, TASK_WORDS = 1024, 8, 4096
-MOST_HEAD = 1 << 19
-ONE_BY_ONE, BLOCK = 64, 1.25
-_U = np.uint64
-_END_HASH = 0
-#: Stands before a text's first word.
-_START = _U(1)
+LAST = BURN_IN + SAMPLES
+MOST_HEAD, MOST_PAIRS = 1 << 19, 1 << 20
+#: Customers of a dish that are seated with a draw each.
+ONE_BY_ONE = 64
+#: One text in so many, by a hash, tells which rooms to split.
+HOT_SAMPLE = 64
 #: Tokens that a task sends at once.
-SENT = 500_000
-BLOB = "part int, kind int, data binary"
-
-
-# ---- contexts ---------------------------------------------------------------------------------------------------------
-
-
-class Contexts:
-    """classes: cluster of each frequent word (sorted hashes)."""
-
-    def __init__(self, hashes: np.ndarray, classes: np.ndarray):
-        self.hashes, self.classes = hashes, classes
-        self.clusters = int(classes.max()) + 1 if len(classes) else 0
-        self.n = 2 * (self.clusters + 1)  # the last class: no frequent word yet
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of frequent words, -1 for others."""
-        if not len(self.hashes) or not len(h):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-    def of(self, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context of each word and of each text's end: class * 2 + (a sentence has just ended or the text begins)."""
-        at = self.place(h)
-        seen = np.zeros((len(h) + 1, max(1, self.clusters)), np.int32)
-        on = np.flatnonzero(at >= 0)
-        seen[on + 1, self.classes[at[on]]] = 1
-        np.cumsum(seen, axis=0, out=seen)
-        row = w.rows
-
-        def best(count: np.ndarray) -> np.ndarray:
-            return np.where(count.any(axis=1), count.argmax(axis=1), self.clusters)
-
-        last = w.data[w.ends - 1] if len(h) else np.zeros(0, np.uint8)
-        stop = (last == 46) | (last == 33) | (last == 63)  # . ! ?
-        after = np.zeros(len(h), np.int64)
-        after[1:] = stop[:-1]
-        after[w.first[:-1][w.counts > 0]] = 1
-        ends = np.ones(len(w.first) - 1, np.int64)
-        full = w.counts > 0
-        ends[full] = stop[w.first[1:][full] - 1]
-        return best(seen[:-1] - seen[w.first[:-1]][row]) * 2 + after, best(seen[w.first[1:]] - seen[w.first[:-1]]) * 2 + ends
-
-
-def rooms_of(w: words.Words, h: np.ndarray, own: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Room of each word and of each text's end, by the word before and the context."""
-    before, end, full = np.full(len(h), _START), np.full(len(last), _START), w.counts > 0
-    before[1:] = h[:-1]
-    before[w.first[:-1][full]] = _START
-    end[full] = h[w.first[1:][full] - 1]
-    room = lambda x, c: words.mix(x * words._GRAM + c.astype(np.uint64))
-    return room(before, own), room(end, last)
-
-
-def clustered(follows: np.ndarray, n: int) -> np.ndarray:
-    """Spectral clusters of words by how often they are neighbours; without randomness. Degrees get their mean added, and
-    centres weigh words by degree and start at common words, so that a few words that keep to themselves make no cluster."""
-    a = (follows + follows.T).astype(np.float64)
-    degree = a.sum(axis=1)
-    scale = 1 / np.sqrt(degree + max(1.0, degree.mean()))
-    _, vectors = np.linalg.eigh(a * scale[:, None] * scale[None])
-    x = vectors[:, -n:]
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    common = np.argsort(-degree, kind="stable")[: max(n, len(a) // 8)]
-    chosen = [int(common[0])]
-    while len(chosen) < n:  # farthest points first
-        chosen.append(int(common[(x[common] @ x[chosen].T).max(axis=1).argmin()]))
-    centres = x[chosen]
-    for _ in range(50):
-        own = (x @ centres.T).argmax(axis=1)
-        centres = np.array([(x * degree[:, None])[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(n)])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return np.unique(own, return_inverse=True)[1]
-
-
-def _often(text: str):
-    """The most frequent words of a task."""
+SENT = 1 << 20
+_U = np.uint64
+#: The end of a text as a word, and its start as a room.
+END, START = _U(0), _U(1)
+BLOB = "part int, kind int, data binary, sums array<long>"
+#: Kinds of rows: pairs of a task; a part's repeated pairs and its other ones; what a part tells a word part; the answer; a word
+#: part's state; tables of a part's rooms; of split rooms; a part's probabilities; those of frequent pairs; what rooms give; tokens
+#: with broadcast words, other tokens; documents' sums.
+COUNTED, PAIRS, ONES, TOLD, ANSWER, STATE, ROOMS, SPLIT, MODEL, FREQUENT, GIVEN, ASKED, OTHERS, SUMS = range(14)
+
+
+# ---- rows of arrays ---------------------------------------------------------------------------------------------------
+
+
+def packed(**columns: np.ndarray) -> bytes:
+    """Arrays as bytes: integers in the least width, and compressed; hashes and fractions as they are."""
+    out = {}
+    for k, x in columns.items():
+        if x.dtype.kind in "iu" and x.dtype != np.uint64 and len(x) and x.min() >= 0:
+            x = x.astype(np.min_scalar_type(int(x.max())))
+        raw = np.ascontiguousarray(x).tobytes()
+        out[k] = (x.dtype.str, x.shape, raw if x.dtype.itemsize == 8 else pa.compress(raw, "zstd", asbytes=True), len(raw))
+    return pickle.dumps(out, 5)
+
+
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    """What packed() got; integers are 64 bits wide."""
+    out = {}
+    for k, (kind, shape, raw, size) in pickle.loads(data).items():
+        kind = np.dtype(kind)
+        x = np.frombuffer(raw if kind.itemsize == 8 else pa.decompress(raw, size, "zstd", asbytes=True), kind).reshape(shape)
+        out[k] = x.astype(np.int64) if kind.kind in "iu" and kind != np.uint64 else x
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-        def merged():
-            h, at = np.unique(np.concatenate([u, *(x for x, _ in waiting)]), return_inverse=True)
-            return h, np.bincount(at, np.concatenate([n, *(y for _, y in waiting)]), len(h)).astype(np.int64)
+def rows_of(rows: list[tuple[int, int, bytes, list[int] | None]]) -> pa.Table:
+    part, kind, data, sums = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.Table.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(sums, pa.list_(pa.int64()))], ["part", "kind", "data", "sums"])
 
-        for batch in batches:
-            for lo, hi in words.slices(batch.column(text)):
-                waiting.append(np.unique(words.split(batch.column(text).slice(lo, hi - lo), lower=True).hashes(), return_counts=True))
-                if len(waiting) == 16:
-                    u, n = merged()
-                    waiting = []
-        u, n = merged()
-        top = np.argsort(-n, kind="stable")[:TASK_WORDS]
-        yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(n[top])], ["h", "n"])
 
-    return run
+def groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places that have it, in order."""
+    order = np.argsort(part, kind="stable")
+    heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True) if len(heads) else ():
+        yield int(part[order[a]]), order[a:b]
 
 
-def _follows(shared, text: str):
-    """How often a frequent word comes next after another, with any other words between."""
+def blobs(table: pa.Table, kind: int) -> Iterator[dict[str, np.ndarray]]:
+    for k, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
+        if k == kind:
+            yield unpacked(data.as_py())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = Contexts(shared.value, np.zeros(0, np.int64))
-        size = len(contexts.hashes)
-        table = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for lo, hi in words.slices(batch.column(text)):
-                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
-                at = contexts.place(w.hashes())
-                on = np.flatnonzero(at >= 0)
-                row = np.searchsorted(w.first, on, "right")
-                same = row[1:] == row[:-1]
-                pairs = at[on]
-                u, n = np.unique(pairs[:-1][same] * size + pairs[1:][same], return_counts=True)
-                table[u] += n
-        yield from tables.pieces(table)
 
-    return run
+def word_part(h: np.ndarray, n: int) -> np.ndarray:
+    return ((words.mix(h) >> _U(32)) % _U(n)).astype(np.int64)
 
 
-def learn_contexts(docs: DataFrame, text_column: str = "text") -> Contexts:
-    spark = docs.sparkSession
-    often = docs.select(text_column).mapInArrow(_often(text_column), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    hashes = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-    if not len(hashes):
-        return Contexts(hashes, np.zeros(0, np.int64))
-    follows = tables.total(docs.select(text_column).mapInArrow(_follows(spark.sparkContext.broadcast(hashes), text_column), tables.SCHEMA), len(hashes) ** 2)
-    return Contexts(hashes, clustered(follows.reshape(len(hashes), -1), min(CLUSTERS, len(hashes))))
+# ---- tokens and pairs -------------------------------------------------------------------------------------------------
 
 
-# ---- the model --------------------------------------------------------------------------------------------------------
+def laid_out(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens in order, each text's end after its words: hashes, the rooms they sit in, their texts, and where texts begin."""
+    n = len(w.first) - 1
+    v = np.full(len(w.starts) + n, END)
+    row = w.rows
+    v[np.arange(len(w.starts)) + row] = w.hashes()
+    heads = w.first[:-1] + np.arange(n)
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[heads] = START
+    return v, u, np.repeat(np.arange(n), w.counts + 1), heads
 
 
-def seat(customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
-    """Tables of dishes with so many customers, where opening a table has weight `new`. seeds: 64 bits for each dish."""
-    made = np.minimum(customers, 1).astype(np.float64)
-    on = np.flatnonzero(customers > 1)
-    for n in range(1, ONE_BY_ONE):
-        if not len(on):
-            return made
-        draw = (words.mix(seeds[on] + _U(n * 0x9E3779B97F4A7C15 & words.MASK)) >> _U(11)).astype(np.float64) * 2.0**-53
-        made[on] += draw * (n - discount * made[on] + new[on]) < new[on]
-        on = on[customers[on] > n + 1]
-    if len(on):
-        rng = np.random.Generator(np.random.PCG64([int(x) for x in words.mix(seeds[on[:1]])]))
-        at = np.full(len(on), float(ONE_BY_ONE))
-        while len(on):
-            to = np.minimum(customers[on], np.ceil(at * BLOCK))
-            x, shift = at - discount * made[on], (new[on] - 1) / 2
-            more = rng.poisson(np.maximum(0, new[on] * np.log(np.maximum(to - discount * made[on] + shift, 1e-9) / np.maximum(x + shift, 1e-9))))
-            made[on] += np.minimum(more, to - at)
-            keep = customers[on] > to
-            on, at = on[keep], to[keep]
-    return made
-
-
-class Dishes:
-    """The dishes of some words on three levels: in contexts, in classes and in the word restaurant."""
-
-    def __init__(self, hashes: np.ndarray, rows: np.ndarray, context: np.ndarray, counts: np.ndarray):
-        """rows, context, counts: of each word and context; rows ascend."""
-        self.word, self.n = hashes, len(hashes)
-        self.rows, self.context, self.counts = rows, context, counts.astype(np.float64)
-        cell, self.up = np.unique(rows * 64 + (context >> 1), return_inverse=True)
-        self.rows1, self.class1 = cell >> 6, cell & 63
-        self.t2, self.t1, self.t0 = np.ones(len(rows)), np.ones(len(cell)), np.ones(self.n)
-        self.carry()
-
-    def context_probability(self, model: Model, total) -> np.ndarray:
-        """Of the dishes in contexts."""
-        p1 = self.class_probability(model, total, self.word_probability(model, total))
-        return model.down(2, total, self.context, p1[self.up]) + (self.counts - model.discounts[2] * self.t2) / (model.customers(2, total)[self.context] + STRENGTH)
-
-    def carry(self) -> None:
-        self.c1 = np.bincount(self.up, self.t2, len(self.rows1))
-        self.c0 = np.bincount(self.rows1, self.t1, self.n)
-
-    def sweep(self, model: Model, s: int) -> None:
-        """One Gibbs sweep; the restaurants' tables are those of sweep s - 1."""
-        d, total = model.discounts, model.history[s - 1]
-        p0 = self.word_probability(model, total)
-        p1 = self.class_probability(model, total, p0)
-        seed = lambda rows, place, level: words.mix(self.word[rows] + (place.astype(np.uint64) << _U(8)) + _U(s * 4 + level))
-        self.t2 = seat(self.counts, (STRENGTH + d[2] * total[2][self.context]) * p1[self.up], d[2], seed(self.rows, self.context, 2))
-        self.c1 = np.bincount(self.up, self.t2, len(self.rows1))
-        self.t1 = seat(self.c1, (STRENGTH + d[1] * total[1][self.class1]) * p0[self.rows1], d[1], seed(self.rows1, self.class1, 1))
-        self.c0 = np.bincount(self.rows1, self.t1, self.n)
-        every = np.arange(self.n)
-        self.t0 = seat(self.c0, np.full(self.n, (STRENGTH + d[0] * total[0][0]) / (model.v + 1)), d[0], seed(every, every * 0, 0))
-
-    def word_probability(self, model: Model, total) -> np.ndarray:
-        return (self.c0 - model.discounts[0] * self.t0 + (STRENGTH + model.discounts[0] * total[0][0]) / (model.v + 1)) / (total[1].sum() + STRENGTH)
-
-    def class_probability(self, model: Model, total, p0: np.ndarray) -> np.ndarray:
-        """Of the dishes in classes."""
-        return model.down(1, total, self.class1, p0[self.rows1]) + (self.c1 - model.discounts[1] * self.t1) / (model.customers(1, total)[self.class1] + STRENGTH)
-
-    def predictive(self, model: Model, total) -> np.ndarray:
-        """Of each word in each context."""
-        p0 = self.word_probability(model, total)
-        k = np.arange(model.contexts // 2)
-        p1 = model.down(1, total, k[None], p0[:, None])
-        p1[self.rows1, self.class1] += (self.c1 - model.discounts[1] * self.t1) / (model.customers(1, total)[self.class1] + STRENGTH)
-        c = np.arange(model.contexts)
-        p2 = model.down(2, total, c[None], np.repeat(p1, 2, axis=1))
-        p2[self.rows, self.context] += (self.counts - model.discounts[2] * self.t2) / (model.customers(2, total)[self.context] + STRENGTH)
-        return p2
-
-    def totals(self, contexts: int) -> np.ndarray:
-        """Tables of all restaurants, one after the other: word, classes, contexts; then the contexts' customers."""
-        return np.concatenate([[self.t0.sum()], np.bincount(self.class1, self.t1, contexts // 2), np.bincount(self.context, self.t2, contexts), np.bincount(self.context, self.counts, contexts)]).astype(np.int64)
-
-
-class Model:
-    def __init__(self, contexts: int, n: int, v: int, discounts: list[float]):
-        self.contexts, self.n, self.v, self.discounts = contexts, n, v, discounts
-        self.history: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, totals: np.ndarray) -> None:
-        k = self.contexts // 2
-        self.history.append(tuple(np.split(totals.astype(np.float64), [1, 1 + k, 1 + k + self.contexts])))
-
-    def customers(self, level: int, total) -> np.ndarray:
-        return total[3] if level == 2 else total[2].reshape(-1, 2).sum(axis=1)
-
-    def down(self, level: int, total, restaurant: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """What a restaurant gives to a dish through its parent."""
-        return (STRENGTH + self.discounts[level] * total[level][restaurant]) * parent / (self.customers(level, total)[restaurant] + STRENGTH)
-
-    def samples(self) -> range:
-        return range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
-
-    def unknown(self) -> np.ndarray:
-        """log10 probability of an unknown word in each context."""
-        nobody = np.zeros(0, np.int64)
-        p = np.zeros(self.contexts)
-        for s in self.samples():
-            d = Dishes(np.zeros(1, np.uint64), nobody, nobody, nobody)
-            d.t0, d.c0 = np.zeros(1), np.zeros(1)
-            p += d.predictive(self, self.history[s])[0]
-        return np.log10(p / SAMPLES)
-
-
-def discount_of(n1: float, n2: float) -> float:
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
-
+def pair_key(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return words.mix(v * words._GRAM + u)
 
-def _blobs(parts: int, kind: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each part of the rooms, or of the texts where no rooms are given. In its arrays, sorted by room, each room stands
-    once with its context and the number of its rows, and each text once."""
-    key = columns["room"] if "room" in columns else columns["doc"].view(np.uint64)
-    part = (key >> _U(40)) % _U(parts)
-    order = np.lexsort((key, part))
-    part, columns = part[order], {k: v[order] for k, v in columns.items()}
-    own, at = np.unique(part, return_index=True)
-    out = []
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)][: len(at)], strict=True):
-        x = {k: v[a:b] for k, v in columns.items()}
-        if "room" in x:
-            first = np.flatnonzero(np.append(True, x["room"][1:] != x["room"][:-1]))
-            x |= {"room": x["room"][first], "size": np.diff(np.append(first, b - a)), **({"context": x["context"][first].astype(np.uint8)} if "context" in x else {})}
-            if "doc" in x:
-                x["doc"], x["text"] = np.unique(x["doc"], return_inverse=True)
-        for k in ("n", "size", "text"):
-            if k in x:
-                x[k] = x[k].astype(np.min_scalar_type(int(x[k].max())))
-        out.append(pickle.dumps({k: _packed(v) for k, v in x.items()}, 5))
-    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), kind, np.int32)), pa.array(out, pa.binary())], ["part", "kind", "data"])
 
+class Parts:
+    """Where pairs are: a room is in one part, or with some of its words in each of several."""
 
-def _packed(x: np.ndarray) -> tuple[str, int, bytes]:
-    """Small numbers compress well; hashes do not."""
-    return (x.dtype.str, len(x), pa.compress(x.tobytes(), "zstd", asbytes=True) if x.dtype.itemsize < 8 else x.tobytes())
+    def __init__(self, n: int, hot: np.ndarray, slices: np.ndarray):
+        """hot: sorted hashes of the rooms that are split, and into how many slices."""
+        self.n, self.hot, self.slices = n, hot, slices
 
+    def split(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of split rooms (0 for others) and which are."""
+        at = np.minimum(np.searchsorted(self.hot, u), max(0, len(self.hot) - 1))
+        return at, self.hot[at] == u if len(self.hot) else np.zeros(len(u), bool)
 
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
-    x = {}
-    for k, (kind, n, raw) in pickle.loads(data).items():
-        size = np.dtype(kind).itemsize
-        x[k] = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True) if size < 8 else raw, kind)
-    if "size" in x:
-        x |= {k: np.repeat(x[k], x["size"]) for k in ("room", "context") if k in x}
-        if "text" in x:
-            x["doc"] = x["doc"][x["text"]]
-    return {k: v.astype(np.int64) if k in ("n", "context") else v for k, v in x.items()}
+    def of(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        at, on = self.split(u)
+        part = word_part(u + words._STEP, self.n)
+        if on.any():
+            part[on] = (part[on] + word_part(v[on] + words._GRAM, 1 << 30) % self.slices[at[on]]) % self.n
+        return part
 
 
-def _arrays(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
-    for data in batch.column("data"):
-        x = _unpacked(data.as_py())
-        yield tuple(x[k] for k in names)
+def _before(text: str):
+    """How often each word (or start) of a task's texts is a room."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in words.slices(batch.column(text)):
+                u, n = np.unique(laid_out(words.split(batch.column(text).slice(lo, hi - lo), lower=True))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["u", "n"])
 
-def pair_key(h: np.ndarray, room: np.ndarray) -> np.ndarray:
-    return words.mix(h * words._GRAM + room)
+    return run
 
 
-def _merge(waiting: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Pairs (h, room, context, n), each once."""
-    h, room, context, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
-    _, first, at = np.unique(pair_key(h, room), return_index=True, return_inverse=True)
-    return h[first], room[first], context[first], np.bincount(at, n, len(first)).astype(np.int64)
+def parts_of(docs: DataFrame, text: str) -> Parts:
+    """About as many parts as 32 MB of input make; rooms with more than half a part's share of tokens are split."""
+    split = int(docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    n = max(16, docs.rdd.getNumPartitions() * max(1, split >> 25))
+    some = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(HOT_SAMPLE)) == 0).select(text)
+    counts = written(some.mapInArrow(_before(text), "u long, n long").groupBy("u").agg(F.sum("n").alias("n")), "rooms")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = sorted((np.int64(r["u"]).view(np.uint64), -(-2 * n * r["n"] // total)) for r in counts.where(F.col("n") * (2 * n) > total).collect())  # at most 2 n rooms
+    forget(counts)
+    return Parts(n, np.array([h for h, _ in hot], np.uint64), np.array([min(k, n) for _, k in hot], np.int64))
 
 
-def _counted(shared, text: str, parts: int):
-    """Pairs of training tokens, summed in the task."""
+def _counted(shared, text: str):
+    """Pairs of training tokens, summed in the task over SENT tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = shared.value
-        waiting, size, merged = [], 0, 0
+        parts, waiting, size = shared.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            v = np.concatenate([x for x, _ in waiting])
+            heads = np.concatenate([x for _, x in waiting])
+            known, iv = np.unique(v, return_inverse=True)
+            iu = np.empty_like(iv)
+            iu[1:] = iv[:-1]
+            iu[heads] = len(known)
+            known = np.append(known, START)
+            pair, n = np.unique(iu * len(known) + iv, return_counts=True)
+            iu, iv = np.divmod(pair, len(known))
+            rows = []
+            for part, own in groups(parts.of(known[iu], known[iv])):
+                w, at = np.unique(iv[own], return_inverse=True)
+                u, sizes = np.unique(iu[own], return_counts=True)
+                rows.append((part, COUNTED, packed(u=known[u], size=sizes, w=known[w], at=at, n=n[own]), None))
+            return rows_of(rows).combine_chunks().to_batches()[0]
+
         for batch in batches:
             for lo, hi in words.slices(batch.column(text)):
-                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
-                h = w.hashes()
-                own, last = contexts.of(w, h)
-                room, end = rooms_of(w, h, own, last)
-                waiting.append((np.append(h, np.full(len(last), _U(_END_HASH))), np.append(room, end), np.append(own, last), np.ones(len(h) + len(last), np.int64)))
-                size += len(h) + len(last)
-                if size - merged > SENT:
-                    waiting = [_merge(waiting)]
-                    size = merged = len(waiting[0][0])
-                    if size > 2 * SENT:
-                        h, room, context, n = waiting[0]
-                        yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
-                        waiting, size, merged = [], 0, 0
-        if waiting:
-            h, room, context, n = _merge(waiting)
-            yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
-
-    return run
-
-
-def _summed(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = [x for b in batches for x in _arrays(b, "h", "room", "context", "n")]
+                v, _, _, heads = laid_out(words.split(batch.column(text).slice(lo, hi - lo), lower=True))
+                waiting.append((v, heads + size))
+                size += len(v)
+                if size >= SENT:
+                    yield out()
+                    waiting, size = [], 0
         if waiting:
-            h, room, context, n = _merge(waiting)
-            yield _blobs(parts, 0, h=h, room=room, context=context, n=n)
+            yield out()
 
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word and context: tokens, pairs, and pairs of one token."""
-    for h, context, n in (x for batch in batches for x in _arrays(batch, "h", "context", "n")):
-        _, first, at = np.unique(h + context.astype(np.uint64) * words._GRAM, return_index=True, return_inverse=True)
-        sums = [np.bincount(at, x, len(first)).astype(np.int64) for x in (n, np.ones(len(n)), n == 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(context[first], pa.int32()), *map(pa.array, sums)], ["h", "context", "c", "n", "one"])
+def _joined(table: pa.Table) -> pa.Table:
+    """A part's pairs. PAIRS has its words and rooms, each with its tokens and its pairs of one token, and the pairs of more."""
+    own = list(blobs(table, COUNTED))
+    u, iu = np.unique(np.concatenate([x["u"] for x in own]), return_inverse=True)
+    w, iw = np.unique(np.concatenate([x["w"] for x in own]), return_inverse=True)
+    iu = np.repeat(iu, np.concatenate([x["size"] for x in own]))
+    offsets = np.cumsum([0, *(len(x["w"]) for x in own)])
+    iw = iw[np.concatenate([x["at"] + at for x, at in zip(own, offsets, strict=False)])]
+    pair, at = np.unique(iu * len(w) + iw, return_inverse=True)
+    n = np.bincount(at, np.concatenate([x["n"] for x in own]), len(pair)).astype(np.int64)
+    iu, iw = np.divmod(pair, len(w))
+    one = n == 1
+    count = lambda at, size, x=None: np.bincount(at, x, size).astype(np.int64)
+    pairs = packed(u=u, w=w, customers=count(iu, len(u), n), count=count(iw, len(w), n), ones_u=count(iu[one], len(u)), ones_w=count(iw[one], len(w)), size=count(iu[~one], len(u)), at=iw[~one], n=n[~one])
+    part = table.column("part")[0].as_py()
+    return rows_of([(part, PAIRS, pairs, [int(one.sum()), int((n == 2).sum())]), (part, ONES, packed(size=count(iu[one], len(u)), at=iw[one]), None)])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of more tokens than one; ones: the room's other pairs. A row has whole rooms."""
-    for h, room, context, n in (x for batch in batches for x in _arrays(batch, "h", "room", "context", "n")):
-        u, at = np.unique(room, return_inverse=True)
-        ones, on = np.bincount(at, n == 1, len(u)).astype(np.int64)[at], n > 1
-        yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(context[on], pa.int32()), pa.array(room[on].view(np.int64)), pa.array(n[on], pa.int64()), pa.array(ones[on])], ["h", "context", "room", "n", "ones"])
+# ---- seating ----------------------------------------------------------------------------------------------------------
 
 
-def _dishes(batch: pa.RecordBatch) -> Dishes:
-    cells = batch.column("cells")
-    rows = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False))
-    flat = cells.flatten()
-    return Dishes(batch.column("h").to_numpy().view(np.uint64), rows, flat.field("context").to_numpy().astype(np.int64), flat.field("n").to_numpy())
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x >= 1."""
+    y = x + 6.0
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
+    return (y - 0.5) * np.log(y) - y + 0.91893853320467274 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(batch.column("word")).view(np.int64)), batch.column("c"), batch.column("cells")], ["h", "c", "cells"])
-
-
-def _first(contexts: int):
-    """Before the first sweep: tables, and how many dishes of each level have one and two customers."""
+def seat(customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
+    """Tables of dishes with so many customers, where opening a table has weight `new`. seeds: 64 bits for each dish."""
+    made = np.minimum(customers, 1).astype(np.float64)
+    on, n, later = np.flatnonzero(customers > 1), 1, []
+    draw = lambda at, k: ((words.mix(seeds[at] + _U(k * 0x9E3779B97F4A7C15 & words.MASK)) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    while len(on):
+        if n >= ONE_BY_ONE:  # the weight of a new table is small by now, or else it waits
+            small = new[on] * 4 <= n
+            later.append((on[small], np.full(int(small.sum()), float(n))))
+            on = on[~small]
+        made[on] += draw(on, n) * (n - discount * made[on] + new[on]) < new[on]
+        n += 1
+        on = on[customers[on] > n]
+    on, at = (np.concatenate([x[i] for x in later]) for i in (0, 1)) if later else (on, on)
+    while len(on):
+        # k more join with probability G(a + k) G(a + b) / (G(a) G(a + k + b)); one opens a table after the last k with more than a draw.
+        a, b, left = at - discount * made[on], new[on], customers[on] - at
+        u = draw(on, n)
+        goal = np.log(u) + log_gamma(a) - log_gamma(a + b)
+        above = lambda k: log_gamma(a + k) - log_gamma(a + k + b) > goal  # noqa: B023, E731
+        with np.errstate(over="ignore"):
+            k = np.minimum(np.floor((a + (b - 1) / 2) * np.expm1(-np.log(u) / np.maximum(b, 1e-300))), left)
+        kept = (k == left) & above(left)  # all join
+        off = ~kept & ~(above(k) & ~above(np.minimum(k + 1, left)) & (k < left))
+        if off.any():
+            low, high = np.zeros(len(on)), left.astype(np.float64)
+            kept |= off & above(high)
+            while (off & (high - low > 1)).any():
+                middle = np.floor((low + high) / 2)
+                up = above(middle)
+                low, high = np.where(up, middle, low), np.where(up, high, middle)
+            k = np.where(off, low, k)
+        made[on] += ~kept
+        at = at + k + 1
+        stay = ~kept & (at < customers[on])
+        on, at, n = on[stay], at[stay], n + 1
+    return made
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = _dishes(batch)
-            few = [(x == k).sum() for x in (d.c0, d.c1, d.counts) for k in (1, 2)]
-            row = np.concatenate([d.totals(contexts), few]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row)).astype(np.int32)), pa.array(row)], ["k", "n"])
 
-    return run
+def discount_of(n1: float, n2: float) -> float:
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
 
 
-def _swept(shared, s: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            d = _dishes(batch)
-            for i in range(1, s + 1):
-                d.sweep(model, i)
-            row = d.totals(model.contexts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(row)).astype(np.int32)), pa.array(row)], ["k", "n"])
+class Level:
+    """What a sweep leaves that all must know: numbers of the word restaurant and the tables of split rooms."""
+
+    def __init__(self, v: int, discounts: tuple[float, float], customers: int, tables: int, split: np.ndarray):
+        self.v, self.discounts, self.customers, self.tables, self.split = v, discounts, customers, tables, split
+
+    def base(self) -> float:
+        return (STRENGTH + self.discounts[0] * self.tables) / (self.v + 1)
+
+    def words(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probabilities that the word restaurant gives; a word without customers is unknown."""
+        return (customers - self.discounts[0] * tables + self.base()) / (self.customers + STRENGTH)
+
+    def rooms(self, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """What rooms give to a word through the word restaurant."""
+        return (STRENGTH + self.discounts[1] * tables) / (customers + STRENGTH)
+
+
+class Part:
+    """A part's pairs of more tokens than one, and its words and rooms."""
+
+    def __init__(self, table: pa.Table, parts: Parts):
+        self.table, self.parts = table, parts
+        x = next(blobs(table, PAIRS))
+        self.u, self.w, self.customers, self.count, self.ones_u, self.ones_w, self.size = (x[k] for k in ("u", "w", "customers", "count", "ones_u", "ones_w", "size"))
+        self.iu, self.iw, self.n = np.repeat(np.arange(len(self.u)), x["size"]), x["at"], x["n"]
+        self.home = list(groups(word_part(self.w, parts.n)))
+        self.hot, self.is_hot = parts.split(self.u)
+        self.told: dict[int, list] = {}
+        for x in blobs(table, ANSWER):
+            self.told.setdefault(int(x["from"][1]), []).append(x)
+
+    def answers(self, sweep: int, *names: str) -> tuple[np.ndarray, ...]:
+        """What word parts answered in a sweep, for each of its words."""
+        out = tuple(np.zeros(len(self.w), np.int64) for _ in names)
+        where = dict(self.home)
+        for x in self.told[sweep]:
+            for o, k in zip(out, names, strict=True):
+                o[where[int(x["from"][0])]] = x[k]
+        return out
+
+    def tables(self, sweep: int, split: np.ndarray) -> np.ndarray:
+        """Tables of its rooms after a sweep; split rooms' ones are known to all."""
+        out = next(x["t"] for x in blobs(self.table, ROOMS) if x["sweep"][0] == sweep).copy()
+        out[self.is_hot] = split[self.hot[self.is_hot]]
+        return out
+
+    def seated(self, sweep: int, before: Level) -> np.ndarray:
+        """Tables of its pairs in a sweep."""
+        p = before.words(*self.answers(sweep - 1, "c", "t"))
+        new = (STRENGTH + before.discounts[1] * self.tables(sweep - 1, before.split))[self.iu] * p[self.iw]
+        return seat(self.n, new, before.discounts[1], words.mix(pair_key(self.w[self.iw], self.u[self.iu]) + _U(sweep)))
+
+
+def _told(shared, sweep: int):
+    """A part's sweep: what it tells the word parts, and the tables of its rooms. Sweep 0: one table for each pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, before = shared.value
+        own = Part(table, parts)
+        t = own.seated(sweep, before) if sweep else np.ones(len(own.n))
+        rooms, dishes = own.ones_u + np.bincount(own.iu, t, len(own.u)).astype(np.int64), own.ones_w + np.bincount(own.iw, t, len(own.w)).astype(np.int64)
+        part = table.column("part")[0].as_py()
+        more = {} if sweep else {"count": own.count}
+        out = [(q, TOLD, packed(w=own.w[at], c=dishes[at], source=np.array([part]), **{k: x[at] for k, x in more.items()}), None) for q, at in own.home]
+        out.append((part, ROOMS, packed(t=rooms, sweep=np.array([sweep])), None))
+        if len(parts.hot):
+            on = np.flatnonzero(own.is_hot)
+            sums = np.zeros((2, len(parts.hot)), np.int64)
+            sums[:, own.hot[on]] = rooms[on], own.customers[on]
+            out.append((part, SPLIT, b"", sums.ravel().tolist()))
+        return rows_of(out)
 
     return run
 
 
-def _probabilities(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            d = _dishes(batch)
-            p = np.zeros((d.n, model.contexts))
-            for s in range(1, BURN_IN + SAMPLES + 1):
-                d.sweep(model, s)
-                if s > BURN_IN:
-                    p += d.predictive(model, model.history[s])
-            lp = np.log10(p / SAMPLES).astype(np.float32)
-            offsets = pa.array(np.arange(d.n + 1, dtype=np.int32) * model.contexts)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.ListArray.from_arrays(offsets, pa.array(lp.ravel()))], ["h", "c", "lp"])
+def _answered(shared, sweep: int):
+    """A word part's sweep: it seats the word restaurant and answers the parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, before = shared.value
+        kinds = table.column("kind").to_numpy()
+        passed = table.filter(pa.array((kinds == ROOMS) | (kinds == SPLIT)))
+        own = list(blobs(table, TOLD))
+        if not own:
+            return passed
+        w, at = np.unique(np.concatenate([x["w"] for x in own]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x["c"] for x in own]), len(w)).astype(np.int64)
+        t = (seat(c, np.full(len(w), before.base()), before.discounts[0], words.mix(w + _U(sweep << 8))) if sweep else np.minimum(c, 1)).astype(np.int64)
+        state = {"c": c, "t": t}
+        if not sweep:
+            state["count"] = np.bincount(at, np.concatenate([x["count"] for x in own]), len(w)).astype(np.int64)
+        q, out, end = table.column("part")[0].as_py(), [], 0
+        for x in own:
+            mine = at[end : (end := end + len(x["w"]))]
+            out.append((int(x["source"][0]), ANSWER, packed(**{"from": np.array([q, sweep])}, **{k: s[mine] for k, s in state.items()}), None))
+        known = [len(w), int(state["count"].sum())] if not sweep else [0, 0]
+        out.append((q, STATE, packed(w=w, sweep=np.array([sweep]), **state), [int(c.sum()), int(t.sum()), int((c == 1).sum()), int((c == 2).sum()), *known]))
+        return pa.concat_tables([rows_of(out), passed])
 
     return run
 
 
-def _sums(rows: DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    for k, x in rows.groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[k] = x
+def summed(rows: DataFrame, kind: int) -> np.ndarray:
+    """Sums of the numbers that rows of a kind carry."""
+    got = rows.where(F.col("kind") == kind).select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(got), np.int64)
+    for r in got:
+        out[r["k"]] = r["n"]
     return out
 
 
-def pairs_of(docs: DataFrame, contexts: Contexts, text_column: str = "text") -> tuple[DataFrame, int]:
-    """All pairs (h, room, context, n), in rows of arrays with whole rooms, and the number of parts; written."""
-    shared, parts = docs.sparkSession.sparkContext.broadcast(contexts), max(16, 4 * docs.rdd.getNumPartitions())
-    counted = docs.select(text_column).mapInArrow(_counted(shared, text_column, parts), BLOB)
-    return written(counted.repartition(parts, "part").mapInArrow(_summed(parts), BLOB), "pairs"), parts
+class Fitted:
+    """levels: after each sweep; tokens; customers of split rooms; pairs and sweeps as written."""
 
+    def __init__(self, parts: Parts, pairs: DataFrame):
+        self.parts, self.pairs = parts, pairs
+        self.levels: list[Level | None] = []
+        self.sweeps: list[DataFrame] = []
+        self.tokens, self.split_customers = 0, np.zeros(0, np.int64)
 
-def words_of(pairs: DataFrame) -> DataFrame:
-    """h (hash), c (training tokens) and cells (context, n pairs, `one` of them of one token) of each word and the end; written."""
-    each = pairs.mapInArrow(_cells, "h long, context int, c long, n long, one long").groupBy("h", "context").agg(*[F.sum(x).alias(x) for x in ("c", "n", "one")])
-    return written(each.groupBy("h").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct("context", "n", "one"))).alias("cells")), "vocabulary")
+    def of(self, *sweeps: int) -> DataFrame:
+        """The parts' pairs with what those sweeps answered."""
+        out = self.pairs.where(F.col("kind") == PAIRS)
+        for s in sweeps:
+            out = out.union(self.sweeps[s].where(F.col("kind").isin(ANSWER, ROOMS)))
+        return out
 
 
-def vocabulary_of(docs: DataFrame, contexts: Contexts, text_column: str = "text") -> DataFrame:
-    return words_of(pairs_of(docs, contexts, text_column)[0])
+def fit(docs: DataFrame, text_column: str = "text") -> Fitted:
+    spark = docs.sparkSession
+    parts = parts_of(docs, text_column)
+    counted = docs.select(text_column).mapInArrow(_counted(spark.sparkContext.broadcast(parts), text_column), BLOB)
+    model = Fitted(parts, written(counted.groupBy("part").applyInArrow(_joined, BLOB), "pairs"))
+    release(spark)
+    few = summed(model.pairs, PAIRS)
+    for s in range(LAST + 1):
+        shared = spark.sparkContext.broadcast((parts, model.levels[-1] if s else None))
+        told = model.of(*([s - 1] if s else [])).groupBy("part").applyInArrow(_told(shared, s), BLOB)
+        done = written(told.groupBy("part").applyInArrow(_answered(shared, s), BLOB), "sweep")
+        del told
+        release(spark)
+        sums, split = summed(done, STATE), summed(done, SPLIT)
+        sums = sums if len(sums) else np.zeros(6, np.int64)
+        if not s:
+            v, model.tokens, discounts = int(sums[4]), int(sums[5]), (discount_of(*sums[2:4]), discount_of(*(few if len(few) else (0, 0))))
+            model.split_customers = split[len(parts.hot) :]
+        model.levels.append(Level(v, discounts, int(sums[0]), int(sums[1]), split[: len(parts.hot)]))
+        model.sweeps.append(done)
+        if 0 < s - 1 < BURN_IN:
+            forget(model.sweeps[s - 1])
+    return model
 
 
-def started(vocabulary: DataFrame, contexts: Contexts) -> Model:
-    """Every dish has one table."""
-    n, v = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
-    first = _sums(vocabulary.mapInArrow(_first(contexts.n), "k int, n long"), 1 + contexts.n // 2 + 2 * contexts.n + 6)
-    few = first[-6:]
-    model = Model(contexts.n, n or 0, v, [discount_of(*few[i : i + 2]) for i in (0, 2, 4)])
-    model.add(first[:-6])
-    return model
+# ---- probabilities ----------------------------------------------------------------------------------------------------
+
+
+def _modelled(shared, least: int):
+    """A part's pairs with their log10 probabilities; those of `least` tokens or more once more; what its rooms give."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, levels, split_customers = shared.value
+        own = Part(table, parts)
+        (counts,) = own.answers(0, "count")
+        ones = next(blobs(table, ONES))
+        one_u, one_w = np.repeat(np.arange(len(own.u)), ones["size"]), ones["at"]
+        customers = own.customers.copy()
+        customers[own.is_hot] = split_customers[own.hot[own.is_hot]]
+        p, q, given = np.zeros(len(own.n)), np.zeros(len(one_u)), []
+        for s in range(BURN_IN + 1, LAST + 1):
+            level, d = levels[s], levels[s].discounts[1]
+            word, room = level.words(*own.answers(s, "c", "t")), level.rooms(own.tables(s, level.split), customers)
+            p += (own.n - d * own.seated(s, levels[s - 1])) / (customers[own.iu] + STRENGTH) + room[own.iu] * word[own.iw]
+            q += (1 - d) / (customers[one_u] + STRENGTH) + room[one_u] * word[one_w]
+            given.append(room)
+        p, q = np.log10(p / SAMPLES), np.log10(q / SAMPLES)
+        iu, iw, lp = np.concatenate([own.iu, one_u]), np.concatenate([own.iw, one_w]), np.concatenate([p, q]).astype(np.float32)
+        order = np.argsort(iu * len(own.w) + iw)
+        part = table.column("part")[0].as_py()
+        out = [(part, MODEL, packed(u=own.u, w=own.w, count=counts, size=own.size + ones["size"], at=iw[order], lp=lp[order]), None)]
+        often = own.n >= least
+        out.append((part, FREQUENT, packed(key=pair_key(own.w[own.iw[often]], own.u[own.iu[often]]), lp=p[often].astype(np.float32)), None))
+        given = np.stack(given, axis=1).astype(np.float32)
+        out += [(to, GIVEN, packed(u=own.u[at], room=given[at]), None) for to, at in groups(word_part(own.u, parts.n))]
+        return rows_of(out)
 
+    return run
 
-def fit(vocabulary: DataFrame, contexts: Contexts) -> Model:
-    """Contexts, classes and words alone, with one table for each pair."""
-    model = started(vocabulary, contexts)
-    for s in range(1, BURN_IN + SAMPLES + 1):
-        model.add(_sums(vocabulary.mapInArrow(_swept(vocabulary.sparkSession.sparkContext.broadcast(model), s), "k int, n long"), len(np.concatenate(model.history[0]))))
-    return model
 
+def _types(shared):
+    """c, what the word as a room gives, and what it gets from the word restaurant, in each sample."""
+
+    def run(table: pa.Table) -> pa.Table:
+        levels = shared.value
+        states = {int(x["sweep"][0]): x for x in blobs(table, STATE)}
+        rooms = list(blobs(table, GIVEN))
+        w = states[0]["w"] if states else np.zeros(0, np.uint64)
+        u, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x["u"] for x in rooms)]), return_index=True)
+        h = np.union1d(w, u)
+        at, place = np.searchsorted(h, w), np.searchsorted(h, u)
+        c = np.zeros(len(h), np.int64)
+        room, word = np.ones((len(h), SAMPLES)), np.zeros((len(h), SAMPLES))
+        if len(u):
+            room[place] = np.concatenate([x["room"] for x in rooms])[first]
+        for i, s in enumerate(range(BURN_IN + 1, LAST + 1)):
+            word[:, i] = levels[s].words(0, 0)
+            if states:
+                word[at, i] = levels[s].words(states[s]["c"], states[s]["t"])
+        if states:
+            c[at] = states[0]["count"]
+        return pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c), *(pa.array(x[:, i].astype(np.float32)) for x in (room, word) for i in range(SAMPLES))], ["h", "c", *_GIVES])
 
-PAIR = "struct<context:int,room:long,n:long,ones:long,t:long,sum:long,all:long>"
-STATE = f"h long, c long, cells array<struct<context:int,n:long,one:long>>, t2 array<double>, t1 array<double>, t0 double, lp array<float>, pairs array<{PAIR}>, totals array<long>"
+    return run
 
 
-def _stated(batch: pa.RecordBatch) -> Dishes:
-    d = _dishes(batch)
-    if batch.column("t0").null_count < len(batch):
-        d.t2, d.t1, d.t0 = batch.column("t2").flatten().to_numpy(), batch.column("t1").flatten().to_numpy(), batch.column("t0").to_numpy()
-        d.carry()
-    return d
+_GIVES = [f"{x}{i}" for x in ("room", "word") for i in range(SAMPLES)]
 
 
-def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=n))).astype(np.int32)), values)
+def _of_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs have so many tokens."""
+    for batch in batches:
+        for data in batch.column("data"):
+            n, pairs = np.unique(unpacked(data.as_py())["n"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(pairs)], ["n", "pairs"])
 
 
-def _seated(shared, s: int):
-    """Sweep s of words' pairs and dishes. What contexts gave in sweep s - 1 is added to lp if that was a sample."""
+def _least(counts: DataFrame, n: str, k: str, most: int) -> int:
+    """The least n such that all with n or more, k of each, are at most `most`."""
+    least, upto = 1 << 62, 0
+    for r in counts.orderBy(F.desc(n)).toLocalIterator():
+        if (upto := upto + r[k]) > most:
+            break
+        least = r[n]
+    return least
+
+
+def probabilities(model: Fitted, most_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Rows MODEL and FREQUENT of the parts, and types (h, c, room0.., word0..); written."""
+    spark = model.pairs.sparkSession
+    counts = model.pairs.where(F.col("kind") == PAIRS).select("data").mapInArrow(_of_tokens, "n long, pairs long").groupBy("n").agg(F.sum("pairs").alias("pairs"))
+    least = _least(counts, "n", "pairs", most_pairs)
+    rows = model.of(0, *range(BURN_IN, LAST + 1)).union(model.pairs.where(F.col("kind") == ONES))
+    shared = spark.sparkContext.broadcast((model.parts, model.levels, model.split_customers))
+    done = written(rows.groupBy("part").applyInArrow(_modelled(shared, least), BLOB), "model")
+    release(spark)
+    rows = done.where(F.col("kind") == GIVEN)
+    for s in (0, *range(BURN_IN + 1, LAST + 1)):
+        rows = rows.union(model.sweeps[s].where(F.col("kind") == STATE))
+    schema = "h long, c long, " + ", ".join(f"{x} float" for x in _GIVES)
+    types = written(rows.groupBy("part").applyInArrow(_types(spark.sparkContext.broadcast(model.levels)), schema), "types")
+    for x in (model.pairs, model.sweeps[0], *model.sweeps[BURN_IN:]):
+        forget(x)
+    release(spark)
+    return done, types
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, d3 = shared.value
-        for batch in batches:
-            d, n, total = _stated(batch), len(batch), model.history[s - 1]
-            lp = batch.column("lp")
-            if s - 1 > BURN_IN:
-                p = d.predictive(model, total)
-                p += batch.column("lp").flatten().to_numpy().reshape(n, -1) if s - 2 > BURN_IN else 0
-                lp = _lists(np.repeat(np.arange(n), model.contexts), n, pa.array(p.ravel().astype(np.float32)))
-            cells, pairs = batch.column("cells"), batch.column("pairs")
-            rows = np.repeat(np.arange(n), pa.compute.fill_null(pa.compute.list_value_length(pairs), 0).to_numpy(zero_copy_only=False))
-            x = {f: pairs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("context", "room", "n", "ones", "t", "sum", "all")}
-            order = np.lexsort((x["room"], rows))
-            x, rows = {k: v[order] for k, v in x.items()}, rows[order]
-            cell = np.searchsorted(d.rows * 64 + d.context, rows * 64 + x["context"])
-            seeds = words.mix(d.word[rows] + words.mix(x["room"].view(np.uint64) + _U(s)))
-            t = seat(x["n"].astype(np.float64), (STRENGTH + d3 * x["all"]) * d.context_probability(model, total)[cell], d3, seeds)
-            d.counts = cells.flatten().field("one").to_numpy() + np.bincount(cell, t, len(d.rows))
-            d.sweep(model, s)
-            x["t"], x["sum"] = t.astype(np.int64), x["sum"] + (t.astype(np.int64) if s > BURN_IN else 0)
-            values = pa.StructArray.from_arrays([pa.array(v, pa.int32() if k == "context" else pa.int64()) for k, v in x.items()], list(x))
-            new = pa.StructArray.from_arrays([pa.array(d.context, pa.int32()), pa.array(d.counts.astype(np.int64)), cells.flatten().field("one")], ["context", "n", "one"])
-            totals = pa.array([d.totals(model.contexts).tolist(), *[None] * (n - 1)], pa.list_(pa.int64()))
-            made = [batch.column("h"), batch.column("c"), _lists(d.rows, n, new), _lists(d.rows, n, pa.array(d.t2)), _lists(d.rows1, n, pa.array(d.t1)), pa.array(d.t0), lp, _lists(rows, n, values), totals]
-            yield pa.RecordBatch.from_arrays(made, ["h", "c", "cells", "t2", "t1", "t0", "lp", "pairs", "totals"])
 
-    return run
+# ---- scores -----------------------------------------------------------------------------------------------------------
 
 
-def _types(shared):
-    """Averages over the samples."""
+def held_out(doc_id: Column, folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            if "t0" in batch.schema.names:
-                d = _stated(batch)
-                p = d.predictive(model, model.history[-1]) + (batch.column("lp").flatten().to_numpy().reshape(d.n, -1) if SAMPLES > 1 else 0)
-            else:  # words of one token
-                d = _dishes(batch)
-                p = sum(d.predictive(model, model.history[i]) for i in model.samples())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), _lists(np.repeat(np.arange(d.n), model.contexts), d.n, pa.array(np.log10(p / SAMPLES).astype(np.float32).ravel()))], ["h", "c", "lp"])
 
-    return run
+class Shared:
+    """What is broadcast: the most frequent words (and the end and the start) and pairs, each with what it gives."""
 
+    def __init__(self, parts: Parts, log_all: float, h, c, room, word, keys, lp):
+        self.parts, self.log_all, self.h, self.c, self.room, self.word, self.keys, self.lp = parts, log_all, h, c, room, word, keys, lp
+        self.base = np.log10(c + 1.0) - log_all
 
-def sampled(pairs: DataFrame, vocabulary: DataFrame, contexts: Contexts) -> tuple[Model, float, DataFrame]:
-    """The model, the discount of rooms, and the state of words of more tokens than one after the last sweep."""
-    spark = pairs.sparkSession
-    model = started(vocabulary, contexts)
-    repeated = written(pairs.mapInArrow(_repeated, "h long, context int, room long, n long, ones long"), "repeated")
-    once = _sums(vocabulary.where("c = 1").mapInArrow(_first(contexts.n), "k int, n long"), len(np.concatenate(model.history[0])) + 6)[:-6]
-    ones = vocabulary.select(F.explode("cells.one").alias("x")).agg(F.sum("x")).first()[0] or 0
-    d3 = discount_of(ones, repeated.where("n = 2").count())
-    each = repeated.selectExpr("h", "context", "room", "n", "ones", "1L AS t", "0L AS sum")
-    state = vocabulary.where("c > 1").selectExpr("h", "c", "cells", "CAST(NULL AS array<double>) AS t2", "CAST(NULL AS array<double>) AS t1", "CAST(NULL AS double) AS t0", "CAST(NULL AS array<float>) AS lp")
-    last = repeated
-    for s in range(1, BURN_IN + SAMPLES + 1):
-        tables_ = each.groupBy("room").agg(F.sum("t").alias("t_all"))
-        met = each.join(tables_, "room").select("h", F.struct("context", "room", "n", "ones", "t", "sum", (F.col("ones") + F.col("t_all")).alias("all")).alias("pair"))
-        rows = state.join(met.groupBy("h").agg(F.collect_list("pair").alias("pairs")), "h", "left").select("h", "c", "cells", "t2", "t1", "t0", "lp", "pairs")
-        done = written(rows.mapInArrow(_seated(spark.sparkContext.broadcast((model, d3)), s), STATE), "sweep")
-        forget(last)
-        last, state = done, done.drop("pairs", "totals")
-        each = done.select("h", F.explode("pairs").alias("p")).select("h", *[f"p.{x}" for x in ("context", "room", "n", "ones", "t", "sum")])
-        model.add(once + _sums(done.where("totals IS NOT NULL").select(F.posexplode("totals").alias("k", "n")), len(once)))
-        del rows, met, tables_, done
-        release(spark)
-    return model, d3, last
+    @staticmethod
+    def place(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Places in a sorted array, -1 where it is not there."""
+        if not len(of):
+            return np.full(len(x), -1)
+        at = np.minimum(np.searchsorted(of, x), len(of) - 1)
+        return np.where(of[at] == x, at, -1)
 
 
-# ---- scores -----------------------------------------------------------------------------------------------------------
+SUM_NAMES = ("doc", "rows", "tokens", "known", "base", "s")
 
 
-def held_out(doc_id: Column, folds: int, fold: int) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
+def _sums_to(parts: int, doc: np.ndarray, **x: np.ndarray) -> list[tuple]:
+    return [(to, SUMS, packed(doc=doc[at].view(np.uint64), **{k: v[at] for k, v in x.items()}), None) for to, at in groups(word_part(doc.view(np.uint64), parts))]
 
 
-def _asked(shared, text: str, parts: int):
-    """Tokens by room: head words by number, the end after them (kind 1), other words by hash (kind 4); and texts with their sums (kind 2)."""
+def _asked(shared, text: str):
+    """Texts' sums over what is broadcast, and their other tokens by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, head, base, lp, end_base, end_lp, end_known = shared.value
+        known = shared.value
         waiting, size = [], 0
 
-        def out():
-            for kind, own in zip((1, 4), zip(*waiting, strict=True), strict=True):
-                yield _blobs(parts, kind, **{k: np.concatenate([x[k] for x in own]) for k in own[0]})
+        def out() -> pa.RecordBatch:
+            doc, u, v, iu, iv, m, part = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            rows = []
+            both = (iu >= 0) & (iv >= 0)
+            for kind, on in ((ASKED, np.flatnonzero(both)), (OTHERS, np.flatnonzero(~both))):
+                if kind == ASKED:
+                    on = on[np.argsort(iu[on] * len(known.h) + iv[on])]
+                for to, at in groups(part[on]):
+                    at = on[at]
+                    docs, place = np.unique(doc[at], return_inverse=True)
+                    x = {"docs": docs.view(np.uint64), "doc": place, "m": m[at]}
+                    if kind == ASKED:
+                        heads = np.flatnonzero(np.diff(iu[at], prepend=-1))
+                        x |= {"u": iu[at[heads]], "size": np.diff(np.append(heads, len(at))), "v": iv[at]}
+                    else:
+                        x |= {"u": u[at], "v": v[at], "open": (iv[at] < 0).astype(np.uint8)}
+                    rows.append((to, kind, packed(**x), None))
+            return rows_of(rows).combine_chunks().to_batches()[0]
 
         for batch in batches:
             for lo, hi in words.slices(batch.column(text)):
-                w = words.split(batch.column(text).slice(lo, hi - lo), lower=True)
-                h = w.hashes()
-                own, last = contexts.of(w, h)
-                room, end = rooms_of(w, h, own, last)
-                at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-                hit = head[at] == h if len(head) else np.zeros(len(h), bool)
-                n, row = hi - lo, w.rows
-                doc = batch.column(f"{INNER}doc").slice(lo, n).to_numpy()
-                yield _blobs(parts, 2, doc=doc, tokens=w.counts + 1, n=np.bincount(row[hit], minlength=n) + end_known, base=np.bincount(row[hit], base[at[hit]], n) + end_base)
-                _, one, m = np.unique(pair_key(h, room) + row.astype(np.uint64) * words._GRAM, return_index=True, return_counts=True)
-                first, rest, m = one[hit[one]], one[~hit[one]], m.astype(np.int64)
-                new = {"doc": (doc[row[first]], doc), "at": (at[first].astype(np.uint32), np.full(n, len(head), np.uint32)), "room": (room[first], end), "context": (own[first], last), "n": (m[hit[one]], np.ones(n, np.int64))}
-                waiting.append(({k: np.concatenate(x) for k, x in new.items()}, {"doc": doc[row[rest]], "h": h[rest], "room": room[rest], "context": own[rest], "n": m[~hit[one]]}))
-                size += len(one) + n
-                if size > SENT:
-                    yield from out()
+                v, u, row, heads = laid_out(words.split(batch.column(text).slice(lo, hi - lo), lower=True))
+                doc = batch.column(f"{INNER}doc").slice(lo, hi - lo).to_numpy()
+                at = known.place(v, known.h)
+                seen = at >= 0
+                near = np.empty_like(at)
+                near[1:] = at[:-1]
+                near[heads] = known.place(np.array([START]), known.h)[0]
+                n = hi - lo
+                key = pair_key(v, u)
+                often = known.place(key, known.keys)
+                hit = often >= 0
+                sums = {"rows": np.ones(n, np.int64), "tokens": np.bincount(row, minlength=n), "known": np.bincount(row[seen], known.c[at[seen]] > 0, n).astype(np.int64), "base": np.bincount(row[seen], known.base[at[seen]], n), "s": np.bincount(row[hit], known.lp[often[hit]].astype(np.float64), n)}
+                if rows := _sums_to(known.parts.n, doc, **sums):
+                    yield rows_of(rows).combine_chunks().to_batches()[0]
+                rest = np.flatnonzero(~hit)
+                _, one, m = np.unique(key[rest] + row[rest].astype(np.uint64) * words._STEP, return_index=True, return_counts=True)
+                one = rest[one]
+                if len(one):
+                    waiting.append((doc[row[one]], u[one], v[one], near[one], at[one], m, known.parts.of(u[one], v[one])))
+                    size += len(one)
+                if size >= SENT:
+                    yield out()
                     waiting, size = [], 0
         if waiting:
-            yield from out()
+            yield out()
 
     return run
 
 
-def _tables(parts: int):
-    """Pairs of more tokens than one with their tables in the samples (kind 3), from words' rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = batch.column("pairs")
-            rows = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(pairs).to_numpy(zero_copy_only=False))
-            x = pairs.flatten()
-            if len(rows):
-                yield _blobs(parts, 3, h=batch.column("h").to_numpy().view(np.uint64)[rows], room=x.field("room").to_numpy().view(np.uint64), n=x.field("sum").to_numpy())
+SCORED = f"{BLOB}, doc long, u long, v long, m long, open boolean"
+
+
+def _given(shared):
+    """Sums over the tokens of a part, by document; tokens of unseen pairs with words that are not broadcast remain."""
+
+    def run(table: pa.Table) -> pa.Table:
+        known, kinds = shared.value, table.column("kind").to_numpy()
+
+        def more(rows: pa.Table, *rest) -> pa.Table:
+            rest = [pa.array(r) for r in rest] or [pa.nulls(rows.num_rows, k) for k in (*[pa.int64()] * 4, pa.bool_())]
+            return pa.Table.from_arrays([*rows.columns, *rest], [*rows.column_names, "doc", "u", "v", "m", "open"])
+
+        out = [more(table.filter(pa.array(kinds == SUMS)))]
+        x = next(blobs(table, MODEL), None) or {k: np.zeros(0, np.uint64 if k in "uw" else np.float32 if k == "lp" else np.int64) for k in ("u", "w", "count", "size", "at", "lp")}
+        u, w, count, lp = x["u"], x["w"], x["count"], x["lp"]
+        keys = np.repeat(np.arange(len(u)), x["size"]) * max(1, len(w)) + x["at"]
+        of_u, of_w = known.place(known.h, u), known.place(known.h, w)
+        docs, sums = [], []
+
+        def found(iu, iw):
+            at = known.place(np.where((iu >= 0) & (iw >= 0), iu * max(1, len(w)) + iw, -1), keys)
+            return at, at >= 0
+
+        for x in blobs(table, ASKED):
+            nu, nv = np.repeat(x["u"], x["size"]), x["v"]
+            at, hit = found(of_u[nu], of_w[nv])
+            s = np.empty(len(at))
+            s[hit] = lp[at[hit]]
+            s[~hit] = np.log10((known.room[nu[~hit]].astype(np.float64) * known.word[nv[~hit]]).mean(axis=1))
+            size = len(x["docs"])
+            docs.append(x["docs"].view(np.int64))
+            sums.append((np.bincount(x["doc"], x["m"] * s, size), np.zeros(size), np.zeros(size)))
+        for x in blobs(table, OTHERS):
+            iw = known.place(x["v"], w)
+            at, hit = found(known.place(x["u"], u), iw)
+            size, m, told = len(x["docs"]), x["m"], hit & (x["open"] > 0)
+            docs.append(x["docs"].view(np.int64))
+            sums.append((np.bincount(x["doc"][hit], m[hit] * lp[at[hit]].astype(np.float64), size), np.bincount(x["doc"][told], m[told] * (np.log10(count[iw[told]] + 1.0) - known.log_all), size), np.bincount(x["doc"][told], m[told], size)))
+            if not hit.all():
+                left = rows_of([(-1, OTHERS, None, None)] * int((~hit).sum()))
+                out.append(more(left, x["docs"].view(np.int64)[x["doc"][~hit]], x["u"][~hit].view(np.int64), x["v"][~hit].view(np.int64), m[~hit], x["open"][~hit] > 0))
+        if docs:
+            doc, at = np.unique(np.concatenate(docs), return_inverse=True)
+            s, base, seen = (np.bincount(at, np.concatenate(x), len(doc)) for x in zip(*sums, strict=True))
+            nobody = np.zeros(len(doc), np.int64)
+            out.append(more(rows_of(_sums_to(known.parts.n, doc, rows=nobody, tokens=nobody, known=seen.astype(np.int64), base=base, s=s))))
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
 
-def _answered(shared, d3: float):
-    """Of each text the sums over head words (h is null), and for each other token what its pair (a) and room (b) give."""
-
-    def rows_of(doc, h=None, context=None, m=None, a=None, b=None, s=None, n_tokens=None, n_known=None, base=None):
-        given = [doc, h, context, m, a, b, s, n_tokens, n_known, base]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), k) if x is None else pa.array(x, k) for x, k in zip(given, kinds, strict=True)], ["doc", "h", "context", "m", "a", "b", "s", "n_tokens", "n_known", "base"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, head, _, lp, _, end_lp, _ = shared.value
-        kept: dict[int, list] = {0: [], 1: [], 3: [], 4: []}
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for kind in np.unique(kinds).tolist():
-                own = batch.filter(pa.array(kinds == kind))
-                if kind == 2:
-                    for doc, tokens, known, base in _arrays(own, "doc", "tokens", "n", "base"):
-                        yield rows_of(doc, n_tokens=tokens.astype(np.int64), n_known=known, base=base)
-                else:
-                    kept[kind] += own.column("data").to_pylist()
-        of = lambda kind, *names: (tuple(x[k] for k in names) for x in map(_unpacked, kept[kind]))
-        h, room, n = (np.concatenate(x) for x in zip(*of(0, "h", "room", "n"), strict=True)) if kept[0] else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))
-        key = pair_key(h, room)
-        order = np.argsort(key)
-        key, room, n = key[order], room[order], n[order].astype(np.float64)
-        made = np.ones(len(key))
-        for h, own, t in of(3, "h", "room", "n"):
-            made[np.searchsorted(key, pair_key(h, own))] = t / SAMPLES
-        rooms, at = np.unique(room, return_inverse=True)
-        customers, opened = np.bincount(at, n, len(rooms)), np.bincount(at, made, len(rooms))
-
-        def given(h, own):
-            """What the pairs and the rooms of tokens give."""
-            a, b, seen = np.zeros(len(h)), np.ones(len(h)), pair_key(h, own)
-            if len(key):
-                i, j = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((rooms, own), (key, seen)))
-                inside, hit = rooms[i] == own, key[j] == seen
-                b[inside] = ((STRENGTH + d3 * opened[i]) / (customers[i] + STRENGTH))[inside]
-                a[hit] = ((n[j] - d3 * made[j]) / (customers[i] + STRENGTH))[hit]
-            return a, b
-
-        for at, own, doc, context, m in of(1, "at", "room", "doc", "context", "n"):
-            end = at == len(head)
-            h, p = np.full(len(at), _U(_END_HASH)), end_lp[context].astype(np.float64)
-            h[~end], p[~end] = head[at[~end]], lp[at[~end], context[~end]]
-            a, b = given(h, own)
-            u, to = np.unique(doc, return_inverse=True)
-            yield rows_of(u, s=np.bincount(to, m * np.log10(a + b * 10.0**p), len(u)))
-        for h, own, doc, context, m in of(4, "h", "room", "doc", "context", "n"):
-            a, b = given(h, own)
-            yield rows_of(doc, h=h.view(np.int64), context=context.astype(np.int32), m=m, a=a, b=b)
+def _totals(table: pa.Table) -> pa.Table:
+    own = list(blobs(table, SUMS))
+    doc, at = np.unique(np.concatenate([x["doc"] for x in own]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([x[k] for x in own]), len(doc)) for k in SUM_NAMES[1:]]
+    return pa.Table.from_arrays([pa.array(doc.view(np.int64)), *(pa.array(x.astype(np.int64) if k in ("rows", "tokens", "known") else x) for k, x in zip(SUM_NAMES[1:], sums, strict=True))], list(SUM_NAMES))
 
-    return run
 
-
-def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep: list[str] | None = None, folds: int = 7, fold: int = 2, most_head: int = MOST_HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep: list[str] | None = None, folds: int = 7, fold: int = 2, most_head: int = MOST_HEAD, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """keep (the id by default) with held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
     made = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     keep = [c for c in (keep or [id_column]) if c not in made]
-    id_type = docs.schema[id_column].dataType.simpleString()
-    train = docs.where(~held_out(F.col(id_column), folds, fold))
-    contexts = learn_contexts(train, text_column)
-    pairs, parts = pairs_of(train, contexts, text_column)
-    vocabulary = words_of(pairs)
-    model, d3, state = sampled(pairs, vocabulary, contexts)
-    typed = _types(spark.sparkContext.broadcast(model))
-    types = [x.mapInArrow(typed, "h long, c long, lp array<float>") for x in (state.drop("pairs", "totals"), vocabulary.where("c = 1"))]
-    types = written(types[0].union(types[1]), "types")
-    forget(vocabulary)
-    told = written(state.select("h", "pairs").mapInArrow(_tables(parts), BLOB), "tables")
-    forget(state)
-    del vocabulary, state, typed
-    release(spark)
-    least, upto = 1 << 62, 0
-    for c, k in types.where(f"h <> {_END_HASH}").groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
-        if (upto := upto + k) > most_head:
-            break
-        least = c
-    log_all = float(np.log10(model.n + model.v + 1))
-    head = types.where((F.col("c") >= least) & (F.col("h") != _END_HASH)).toArrow().combine_chunks()
-    h, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    lp = head.column("lp").combine_chunks().flatten().to_numpy().reshape(len(h), -1) if len(h) else np.zeros((0, contexts.n), np.float32)
+    model = fit(docs.where(~held_out(F.col(id_column), folds, fold)), text_column)
+    table, types = probabilities(model, most_pairs)
+    level, parts = model.levels[-1], model.parts
+    log_all = float(np.log10(model.tokens + level.v + 1))
+    always = F.col("h").isin(int(END), int(START))
+    least = _least(types.where(~always & (F.col("c") > 0)).groupBy("c").count(), "c", "count", most_head)
+    head = types.where(always | (F.col("c") >= least)).toArrow().combine_chunks()
+    column = lambda x: head.column(x).to_numpy()
+    absent = [x for x in (END, START) if x not in column("h").view(np.uint64)]  # only without training texts
+    h, c = np.append(column("h").view(np.uint64), np.array(absent, np.uint64)), np.append(column("c"), np.zeros(len(absent), np.int64))
+    unknown = [float(model.levels[s].words(0, 0)) for s in range(BURN_IN + 1, LAST + 1)]
+    gives = lambda x, other: np.concatenate([np.stack([column(f"{x}{i}") for i in range(SAMPLES)], axis=1), np.tile(np.array(other, np.float32), (len(absent), 1))])
     order = np.argsort(h)
-    unknown = model.unknown()
-    end = types.where(f"h = {_END_HASH}").first()
-    end = (float(np.log10(end["c"] + 1.0)) - log_all, np.array(end["lp"]), 1) if end else (-log_all, unknown, 0)
-    shared = spark.sparkContext.broadcast((contexts, h[order], np.log10(c[order] + 1.0) - log_all, lp[order], *end))
+    pairs = [unpacked(r["data"]) for r in table.where(F.col("kind") == FREQUENT).select("data").toLocalIterator()]
+    keys, lp = (np.concatenate([np.zeros(0, k), *(x[f] for x in pairs)]) for f, k in (("key", np.uint64), ("lp", np.float32)))
+    by = np.argsort(keys)
+    shared = spark.sparkContext.broadcast(Shared(parts, log_all, h[order], c[order], gives("room", [1.0] * SAMPLES)[order], gives("word", unknown)[order], keys[by], lp[by]))
     keyed = docs.withColumn(f"{INNER}doc", F.xxhash64(F.col(id_column), F.col(text_column)))
-    asked = keyed.select(text_column, f"{INNER}doc").mapInArrow(_asked(shared, text_column, parts), BLOB)
-    rows = asked.union(pairs).union(told).repartition(parts, "part")
-    rows = written(rows.mapInArrow(_answered(shared, d3), "doc long, h long, context int, m long, a double, b double, s double, n_tokens long, n_known long, base double"), "scored")
-    rest = rows.where("h IS NOT NULL").select("doc", "h", "context", "m", "a", "b")
-    tail = types.where((F.col("c") < least) & (F.col("h") != _END_HASH))
-    place = F.col("context") + 1
-    lp = F.coalesce(F.element_at("lp", place).cast("double"), F.element_at(F.array(*[F.lit(float(x)) for x in unknown]), place))
-    found = rest.join(tail, "h", "left").select("doc", "m", F.coalesce("c", F.lit(0)).alias("c"), F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), lp)).alias("s"))
-    sums = found.select("doc", (F.col("m") * F.col("s")).alias("s"), F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * (F.log10(F.col("c") + 1.0) - log_all)).alias("base"))
+    asked = keyed.select(text_column, f"{INNER}doc").mapInArrow(_asked(shared, text_column), BLOB)
+    rows = asked.union(table.where(F.col("kind") == MODEL)).groupBy("part").applyInArrow(_given(shared), SCORED)
+    rows = written(rows, "scored")
+    forget(table)
+    del asked
+    release(spark)
+    # Unseen pairs with words beyond the broadcast: what the room and the word give comes by joins.
+    rest = rows.where(F.col("kind") == OTHERS).select("doc", "u", "v", "m", "open")
+    room = types.select(F.col("h").alias("u"), *[f"room{i}" for i in range(SAMPLES)])
+    word = types.select(F.col("h").alias("v"), "c", *[f"word{i}" for i in range(SAMPLES)])
+    met = rest.join(room, "u", "left").join(word, "v", "left")
+    p = sum((F.coalesce(F.col(f"room{i}").cast("double"), F.lit(1.0)) * F.coalesce(F.col(f"word{i}").cast("double"), F.lit(unknown[i])) for i in range(SAMPLES)), F.lit(0.0)) / SAMPLES
+    seen, count = F.col("open").cast("int") * F.col("m"), F.coalesce("c", F.lit(0))
+    met = met.select("doc", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("tokens"), F.when(count > 0, seen).otherwise(0).cast("long").alias("known"), (seen * (F.log10(count + 1.0) - log_all)).alias("base"), (F.col("m") * F.log10(p)).alias("s"))
+    totals = rows.where(F.col("kind") == SUMS).select("part", "kind", "data").groupBy("part").applyInArrow(_totals, "doc long, rows long, tokens long, known long, base double, s double")
     # Equal rows (same id and text) have equal sums; these are over all of them.
-    every = rows.where("h IS NULL").select("doc", "s", "n_tokens", "n_known", "base").union(sums).groupBy("doc").agg(F.count("n_tokens").alias("r"), *[F.sum(x).alias(x) for x in ("s", "n_tokens", "n_known", "base")])
-    part = lambda x: F.coalesce(F.col(x), F.lit(0)) / F.col("r")
-    done = written(every.select(F.col("doc").alias(f"{INNER}d"), part("n_tokens").cast("long").alias("n_tokens"), part("n_known").cast("long").alias("n_known"), part("base").alias("base_score"), part("s").alias("score")), "scores")
+    every = totals.union(met).groupBy("doc").agg(*[F.sum(x).alias(x) for x in SUM_NAMES[1:]])
+    each = lambda x: F.col(x) / F.col("rows")
+    done = written(every.select(F.col("doc").alias(f"{INNER}d"), each("tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), each("base").alias("base_score"), each("s").alias("score")), "scores")
+    forget(rows)
+    forget(types)
     out = keyed.select(*dict.fromkeys([*keep, id_column]), f"{INNER}doc").join(done, F.col(f"{INNER}doc") == F.col(f"{INNER}d"))
-    return out.withColumns({"held_out": held_out(F.col(id_column), folds, fold), "train_tokens": F.lit(model.n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))}).select(*keep, *made)
+    return out.withColumns({"held_out": held_out(F.col(id_column), folds, fold), "train_tokens": F.lit(model.tokens).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))}).select(*keep, *made)

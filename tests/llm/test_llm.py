@@ -436,10 +436,10 @@ def test_token_counts_same_as_library(spark):
 # ---- 9 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most_head", [0, 300, 1 << 19])
-def test_base_scores_same_as_brute_force(spark, most_head):
+@pytest.mark.parametrize("most_head,most_pairs", [(0, 0), (300, 5), (1 << 19, 1 << 20)])
+def test_base_scores_same_as_brute_force(spark, most_head, most_pairs):
     rows = texts_of(spark)[:60] + [(i, t) for i, t, _ in EDGE]
-    got = lm_scoring.score_texts(docs_of(spark, [(*r, "s") for r in rows]), most_head=most_head).collect()
+    got = lm_scoring.score_texts(docs_of(spark, [(*r, "s") for r in rows]), most_head=most_head, most_pairs=most_pairs).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     own = {r: [*tokens(lower(r[1])), None] for r in rows}
     c = Counter(t for r in rows if not held(r[0]) for t in own[r])
@@ -449,15 +449,87 @@ def test_base_scores_same_as_brute_force(spark, most_head):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_model_beats_base_on_held_out_texts_and_sums_to_one(spark):
+def brute_model(texts):
+    """Seating and probabilities with plain loops: all customers of all dishes, one after another. Returns p(word, room)."""
+    hashed = lambda x: int(words.split(pa.array([x])).hashes()[0]) if x is not None else 0
+    uniform = lambda seed, k: ((mixed(seed + k * 0x9E3779B97F4A7C15) >> 11) + 0.5) * 2.0**-53
+
+    def mixed(x):
+        x &= words.MASK
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & words.MASK
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & words.MASK
+        return x ^ x >> 31
+
+    def tables(n, new, discount, seed):
+        made = 1
+        for k in range(1, n):
+            made += uniform(seed, k) * (k - discount * made + new) < new
+        return made if n else 0
+
+    pairs = Counter((a, b) for t in texts for a, b in zip(["start", *t], [*t, None], strict=True))
+    n1, n2 = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    rooms, vocabulary = defaultdict(int), {b for _, b in pairs}
+    for (a, _), n in pairs.items():
+        rooms[a] += n
+    t, d0, states = dict.fromkeys(pairs, 1), None, []
+    d1 = lm_scoring.discount_of(n1, n2)
+    for sweep in range(lm_scoring.LAST + 1):
+        if sweep:
+            new = {p: (1 + d1 * states[-1][1][p[0]]) * states[-1][0](p[1]) for p in pairs}
+            t = {p: tables(n, new[p], d1, mixed(mixed(hashed(p[1]) * int(words._GRAM) + (1 if p[0] == "start" else hashed(p[0]))) + sweep)) for p, n in pairs.items()}
+        opened, served = defaultdict(int), Counter()
+        for (a, b), k in t.items():
+            opened[a] += k
+            served[b] += k
+        if not sweep:
+            d0 = lm_scoring.discount_of(sum(c == 1 for c in served.values()), sum(c == 2 for c in served.values()))
+            mine = {b: min(1, c) for b, c in served.items()}
+        else:
+            base = states[-1][2]
+            mine = {b: tables(c, base, d0, mixed(hashed(b) + (sweep << 8))) for b, c in served.items()}
+        base = (1 + d0 * sum(mine.values())) / (len(vocabulary) + 1)
+        word = lambda b, served=served, mine=mine, base=base: (served.get(b, 0) - d0 * mine.get(b, 0) + base) / (sum(served.values()) + 1)
+        states.append((word, opened, base, dict(t)))
+
+    def probability(b, a):
+        out = 0.0
+        for word, opened, _, t in states[lm_scoring.BURN_IN + 1 :]:
+            own = pairs.get((a, b), 0)
+            out += (own - d1 * t.get((a, b), 0)) / (rooms.get(a, 0) + 1) + (1 + d1 * opened.get(a, 0)) / (rooms.get(a, 0) + 1) * word(b)
+        return out / lm_scoring.SAMPLES
+
+    return probability, vocabulary
+
+
+@pytest.mark.parametrize("most_head,most_pairs", [(0, 0), (30, 4), (1 << 19, 1 << 20)])
+def test_scores_same_as_plain_loops(spark, most_head, most_pairs):
+    rng = random.Random(6)  # no dish has more customers than are seated one by one
+    rows = [(i, " ".join(f"W{rng.choice((rng.randrange(9), rng.randrange(60)))}" for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(2, "w1 w1 w2 unheard w1 unheard"), (200, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    probability, vocabulary = brute_model([tokens(lower(t)) for i, t in rows if not held(i)])
+    want = sorted((i, t or "", round(sum(math.log10(probability(b, a)) for a, b in zip(["start", *tokens(lower(t))], [*tokens(lower(t)), None], strict=True)), 4)) for i, t in rows)
+    got = lm_scoring.score_texts(docs_of(spark, [(*r, "s") for r in rows]), most_head=most_head, most_pairs=most_pairs, keep=["doc_id", "text"]).collect()
+    got = sorted((r["doc_id"], r["text"] or "", r["score"]) for r in got)
+    assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 2e-4 for x, y in zip(got, want, strict=True))
+    for room in ("start", "w1", "w2", "unheard"):
+        assert abs(sum(probability(b, room) for b in vocabulary) + probability("nobody says this", room) - 1) < 1e-9
+
+
+def test_model_beats_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm_scoring.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-    contexts = lm_scoring.learn_contexts(docs)
-    vocabulary = lm_scoring.vocabulary_of(docs, contexts)
-    model = lm_scoring.fit(vocabulary, contexts)
-    types = vocabulary.mapInArrow(lm_scoring._probabilities(spark.sparkContext.broadcast(model)), "h long, c long, lp array<float>").toPandas()
-    assert np.allclose((10.0 ** np.stack(types.lp)).sum(axis=0) + 10.0 ** model.unknown(), 1, atol=1e-4)
+    assert got[0] > 0.9 * got[1]
+
+
+def test_split_rooms_change_nothing(spark, monkeypatch):
+    """A room with a third of all tokens, split over parts or whole."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(x for _ in range(20) for x in ("the", f"n{int(rng.paretovariate(0.6))}"))) for i in range(120)]
+    own = lambda: sorted((r["doc_id"], round(r["score"], 6)) for r in lm_scoring.score_texts(docs_of(spark, [(*r, "s") for r in rows]), most_pairs=10).collect())
+    monkeypatch.setattr(lm_scoring, "HOT_SAMPLE", 1)
+    split = own()
+    monkeypatch.setattr(lm_scoring, "parts_of", lambda docs, text: lm_scoring.Parts(16, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert split == own()
 
 
 def test_preceding_words_count(spark):
@@ -479,6 +551,18 @@ def test_seating():
     assert abs(many.mean() - sum(3 / (3 + i) for i in range(200))) < 0.3
 
 
+@pytest.mark.parametrize("n,new,discount", [(900, 0.4, 0.7), (900, 6.0, 0.8), (3000, 60.0, 0.5), (500, 300.0, 0.9)])
+def test_seating_in_one_draw_is_as_one_by_one(n, new, discount):
+    """Means and spreads of both ways to seat the customers beyond the first ones."""
+    seeds = words.mix(np.arange(3000).astype(np.uint64))
+    got = lm_scoring.seat(np.full(3000, n), np.full(3000, new), discount, seeds)
+    rng, made = np.random.default_rng(1), np.ones(3000)
+    for k in range(1, n):
+        made += rng.random(3000) * (k - discount * made + new) < new
+    error = made.std() * math.sqrt(2 / 3000)
+    assert abs(got.mean() - made.mean()) < 4 * error and abs(got.std() / made.std() - 1) < 0.08
+
+
 def test_scores_of_nothing(spark):
     docs = docs_of(spark, EDGE)
     assert lm_scoring.score_texts(docs.limit(0)).count() == 0
