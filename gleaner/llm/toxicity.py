@@ -15,7 +15,8 @@ without the document's own count (leave one out). Neither id, source, language n
 Defined cases: null and empty texts have no token and get the score of a document without heavy tokens. A null doc_id is not
 held out and has no label. Labels that are null or other than 0 and 1 are not used; a document with both labels counts for both.
 Without labels of both classes, all scores are the share of toxic labels (0 without labels). Repeated rows get equal scores.
-Long texts are taken whole. Other columns pass only if in `keep`. An empty table gives an empty table.
+Long texts are taken whole; of a token longer than all weighted words, decoding ends where the rest can no longer change a
+feature. Other columns pass only if in `keep`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ from .common import INNER, written
 FIT_ROWS, THRESHOLD = 6000, 0.7
 ORDER, TABLE_BITS = 4, 20
 BEAM, HEAVY = 12, 2.5
-#: A feature is in at least so many toxic documents of the sample, and in such a share of them.
-MIN_DOCS, MIN_SHARE = 2, 0.002
+#: A feature is in at least so many toxic documents of the sample.
+MIN_DOCS = 2
+#: Characters of a long token between looks whether the rest can change what counts.
+LOOK_EVERY = 64
 CACHE = 100_000
 #: What a digit or symbol may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -136,11 +139,16 @@ class Channel:
             context += bytes([byte])
         return out
 
-    def restore(self, token: str) -> str:
-        """The likeliest letters; spaces inside token may go too."""
-        paths: dict[str, tuple[float, str]] = {" ": (0.0, "")}
-        previous = ""
-        for c in token:
+    def restore(self, token: str, enough: int | None = None) -> str:
+        """The likeliest letters; spaces inside token may go too. enough: the first so many of them will do; then the rest of a long
+        token is not decoded once all paths agree on these and a letter that no path may leave out comes later."""
+        paths: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}  # what was emitted, each with what was before it
+        previous, sure = "", self._last_sure(token) if enough is not None else -1
+        for i, c in enumerate(token):
+            if i % LOOK_EVERY == 0 and enough is not None and enough < i < sure:
+                heads = {self._emitted(out)[: enough + 1] for _, out in paths.values()}
+                if len(heads) == 1 and len(head := heads.pop()) > enough:
+                    return head
             arcs = [(c, 0.0)]
             if c == " ":
                 arcs = [("", JOINED), (" ", APART)]
@@ -150,16 +158,31 @@ class Channel:
                 arcs = [(c, SAME), ("", GONE)]
             elif c == previous:
                 arcs = [(c, 0.0), ("", DOUBLED)]
-            new: dict[str, tuple[float, str]] = {}
+            new: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, out) in paths.items():
                 for emitted, cost in arcs:
                     s = score + cost + (self.log(state, emitted) if emitted else 0.0)
                     to = (state + emitted)[-(ORDER - 1) :]
                     if to not in new or s > new[to][0]:
-                        new[to] = (s, out + emitted)
+                        new[to] = (s, (out, emitted) if emitted else out)
             paths = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
             previous = c
-        return max(paths.items(), key=lambda x: (x[1][0] + self.log(x[0], " "), x[1][1]))[1][1]
+        return self._emitted(max(paths.items(), key=lambda x: x[1][0] + self.log(x[0], " "))[1][1])
+
+    @staticmethod
+    def _emitted(out: tuple | None) -> str:
+        parts = []
+        while out is not None:
+            out, c = out
+            parts.append(c)
+        return "".join(reversed(parts))
+
+    @staticmethod
+    def _last_sure(token: str) -> int:
+        """The place of the last letter that every path emits, -1 if there is none or a space."""
+        if " " in token:
+            return -1
+        return next((i for i in range(len(token) - 1, 0, -1) if token[i].isalpha() and token[i] not in LOOKS_LIKE and token[i] != token[i - 1]), -1)
 
 
 def core(token: str) -> str:
@@ -171,12 +194,17 @@ def core(token: str) -> str:
     return inner
 
 
-def plain_words(token: str, channel: Channel) -> list[str]:
-    """Words of a token, restored where it may be disguised."""
+def plain_words(token: str, channel: Channel, longest: int | None = None) -> list[str]:
+    """Words of a token, restored where it may be disguised. longest: of longer words only the first letters matter, and may be given."""
     inner = core(token)
     if not ODD.search(inner):
         return [inner] if inner else []
-    return [x for x in (core(y) for y in channel.restore(inner).split(" ")) if x]
+    restored = channel.restore(inner, longest and 2 * longest)
+    if longest and len(restored) > 2 * longest:  # the word has a letter later on, so no mark here is at its end
+        if len(head := restored.lstrip(EDGE)) > longest:
+            return [head]
+        restored = channel.restore(inner)
+    return [x for x in (core(y) for y in restored.split(" ")) if x]
 
 
 def spaced_runs(w: words.Words) -> list[tuple[int, int]]:
@@ -325,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column="doc_id", text_column="
     sums = rows.mapInArrow(_fit_rows(spark.sparkContext.broadcast((name, table)), text_column), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     # Bounded: each text of the bounded sample has so many features, and few are this one-sided.
-    known = {r["feature"]: (r["pos"], r["neg"]) for r in sums.where((F.col("pos") >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (ratio >= HEAVY)).toLocalIterator()}
+    known = {r["feature"]: (r["pos"], r["neg"]) for r in sums.where((F.col("pos") >= MIN_DOCS) & (ratio >= HEAVY)).toLocalIterator()}
     got = rows.mapInArrow(_summaries(spark.sparkContext.broadcast((name, table, known, n_pos, n_neg)), text_column), "toxic int, x array<double>").toArrow()
     y = got.column("toxic").to_numpy().astype(np.float64)
     x = np.array(got.column("x").to_pylist())
@@ -342,6 +370,7 @@ class Scorer:
         packed, self.weights, self.b = model
         self.channel = Channel(packed)
         self.heads = {f.removeprefix("=")[:4] for f in self.weights}
+        self.longest = max([8, *(len(f) for f in self.weights)])
         self.young: dict[int, float] = {}
         self.old: dict[int, float] = {}
 
@@ -355,7 +384,7 @@ class Scorer:
         for i, h in enumerate(u.tolist()):
             if (x := self.young.get(h)) is None:
                 if (x := self.old.get(h)) is None:
-                    x = self.heavy(plain_words(w.word(first[i]).decode("utf-8", "replace"), self.channel))
+                    x = self.heavy(plain_words(w.word(first[i]).decode("utf-8", "replace"), self.channel, self.longest))
                 self.young[h] = x
             out[i] = x
         if len(self.young) > CACHE:
