@@ -8,10 +8,10 @@ first, and a shingle stops as soon as its next arrival is later than all places'
 
 Documents with equal word sequences are one node, whose documents are counted, not paired. Nodes that agree in a band's places
 share a bucket; at similarity 0.8 two nodes share none with probability (1 - 0.8**6)**36 < 2e-5. Nodes connected by buckets are
-a family. A family of more than MOST_FAMILY nodes is taken bucket by bucket instead. In a family (or bucket) all pairs are
-verified exactly, in tiles of two blocks of about BLOCK nodes each, in two rounds: first each block with the first one, which
-connects most near copies; then only what that left apart, the blocks of nodes outside the largest component with all blocks.
-Pairs that are connected already are not compared again, a task holds one tile, and a tile gives at most a link for each node.
+a family. Pairs are verified exactly, in tiles of two blocks of about BLOCK nodes each, in two rounds: first each block of a
+family with its first one, which connects most near copies; then, of each bucket that this left in more components than one, the
+blocks of nodes outside the largest component with all blocks. So all pairs of a bucket are compared or connected, whatever the
+size of the family; a task holds one tile, and a tile gives at most a link for each node. Texts of any length are taken whole.
 
 Components are found by hooking, pointer jumping and contraction over written tables. Nothing of all documents is collected.
 
@@ -34,7 +34,7 @@ from .common import INNER, forget, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
-BLOCK, MOST_FAMILY = 64, 4096
+BLOCK = 64
 _U = np.uint64
 _ARRIVAL, _PLACE, _ROW = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)
 SLICE_BYTES = 2 << 20
@@ -199,7 +199,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return written(old.unionByName(now.join(labels, "node", "left_anti")), "labels")
 
 
-def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK, most_family: int = MOST_FAMILY) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: id, fp (xxhash64 of the text), node, class (its component; null without words), class_id, class_size."""
     id_type = docs.schema[id_column].dataType.simpleString()
     keyed = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias(text_column)).withColumn(f"{INNER}fp", F.xxhash64(F.col(text_column)))
@@ -212,13 +212,9 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     active = written(placed.join(shared, ["band", "bucket"]), "buckets-active")
     forget(placed)
     families = components(active.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    sizes = written(families.groupBy(F.col("label").alias("unit")).agg(F.count(F.lit(1)).alias("n")), "family-sizes")
-    member = written(families.join(sizes, families["label"] == sizes["unit"]).select("node", "unit", "n"), "family-members")
-    wide = member.where(F.col("n") > most_family).select("node")
-    by_bucket = active.select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit")).join(wide, "node").select("node", "unit")
-    sizes = sizes.where(F.col("n") <= most_family).unionByName(by_bucket.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
-    sizes = written(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "unit-sizes")
-    units = written(member.where(F.col("n") <= most_family).select("node", "unit").unionByName(by_bucket), "units")
+    units = families.select("node", F.col("label").alias("unit"))
+    sizes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(sizes.select("unit", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "family-sizes")
     wanted = active.select("node", "one.id", "one.fp").distinct().select("node", F.col("id").alias(f"{INNER}id"), F.col("fp").alias(f"{INNER}f"))
     texts = keyed.join(wanted, keyed[id_column].eqNullSafe(wanted[f"{INNER}id"]) & (keyed[f"{INNER}fp"] == wanted[f"{INNER}f"])).select("node", F.col(text_column).alias("text"))
     texts = written(texts.dropDuplicates(["node"]), "node-texts")
@@ -232,8 +228,10 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     first = units.join(sizes, "unit").withColumn("block", turn(F.col("blocks")))
     first = first.withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     labels = components(links(first.withColumn("i", F.lit(0))))
-    rest = written(units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", "n", F.coalesce("label", "node").alias("label")), "units-open")
-    most = rest.groupBy("unit", "n", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit", "n").agg(F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
+    wide = units.join(sizes.where("blocks > 1"), "unit").select("node")
+    by_bucket = active.select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit")).join(wide, "node")
+    rest = written(by_bucket.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "buckets-open")
+    most = rest.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
     most = most.select("unit", F.col("m.label").alias("main"), F.ceil(F.col("m.k") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("others"))
     most = written(most, "units-most")
     if most.limit(1).count():
