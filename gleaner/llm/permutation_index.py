@@ -7,13 +7,15 @@ component that makes their length 1; queries get 0 there, so that the nearest pi
 The index has shards of about SHARD_ROWS vectors by a hash of the id; each is one row with its vectors and, for each pivot,
 the posting list of the vectors that have it, with its rank there. All vectors are indexed. Queries come in blocks of
 QUERY_ROWS and meet every shard once. In a shard, the posting lists of a query's pivots give Spearman's footrule with
-location parameter k (k (k + 1) - 2 * sum over common pivots of k - max(rank, rank')), the candidates are the CANDIDATES share
-of the shard with the least footrule, and these are ranked again by the exact inner product in double precision. Shards and
-blocks bound what a task holds; a query gives `k` rows for each shard. Recall against brute force is measured in the tests.
+location parameter k (k (k + 1) - 2 * sum over common pivots of k - max(rank, rank')), the candidates are a share of the
+shard with the least footrule, and these are ranked again by the exact inner product in double precision. The share is the least
+one with which TRIALS vectors of the sample, as queries among the others, find the share RECALL of their true nearest; so it
+follows the data (few dimensions or clusters need little, evenly spread vectors of many dimensions much). Shards and blocks bound
+what a task holds; a query gives `k` rows for each shard. Recall against brute force is measured in the tests.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor rows without
 id, nor vectors of another dimension than the most frequent one. Exactly repeated rows count once. Ties go to the smaller id.
-Where a shard is small, all its rows are candidates. No vectors give no rows.
+Other columns, whatever their names, are not read. No vectors give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import written
 
 PIVOTS, PIVOTS_EACH, FIT_ROWS = 512, 96, 8192
 SHARD_ROWS, QUERY_ROWS = 8192, 512
-CANDIDATES, LEAST_CANDIDATES = 0.2, 1024
+RECALL, TRIALS = 0.97, 128
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +95,22 @@ def footrule_closeness(a, b, k: int, n_a: int, n_b: int) -> np.ndarray:
     return out
 
 
+def share_for(x: np.ndarray, pivots: np.ndarray, longest: float, k: int) -> float:
+    """The share of candidates with which the last TRIALS of the vectors x, as queries, find RECALL of their k nearest in x."""
+    each, queries = min(PIVOTS_EACH, len(pivots)), x[-TRIALS:]
+    if len(x) <= k + 1:
+        return 1.0
+    files = inverted(nearest_pivots(queries, pivots, None, each), len(pivots)), inverted(nearest_pivots(x, pivots, longest, each), len(pivots))
+    close = footrule_closeness(*files, each, len(queries), len(x)).astype(np.float64)
+    score = queries @ x.T
+    own = (np.arange(len(queries)), np.arange(len(x) - len(queries), len(x)))
+    close[own], score[own] = np.inf, -np.inf
+    true = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    # Of equally close vectors any may be left out, so all count as before the one that is looked for.
+    needed = np.sort(np.concatenate([len(x) - np.searchsorted(np.sort(c), c[t], "left") for c, t in zip(close, true, strict=True)]))
+    return float(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) / len(x)
+
+
 def _searched(dim: int, k: int, n_pivots: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = min(PIVOTS_EACH, n_pivots)
@@ -103,7 +121,7 @@ def _searched(dim: int, k: int, n_pivots: int, share: float):
                 x, q = get("vectors", np.float64).reshape(-1, dim), get("q_vectors", np.float64).reshape(-1, dim)
                 files = [tuple(get(p + c, kind) for c, kind in (("rows", np.int32), ("ranks", np.int16), ("heads", np.int32))) for p in ("q_", "")]
                 close = footrule_closeness(*files, each, len(q), len(x))
-                n = min(len(x), max(LEAST_CANDIDATES, k + 1, int(share * len(x))))
+                n = min(len(x), max(k + 1, int(np.ceil(share * len(x)))))
                 best = np.argpartition(-close, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(n), (len(q), n))
                 found = []
                 for i in range(len(q)):
@@ -119,8 +137,8 @@ def _searched(dim: int, k: int, n_pivots: int, share: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries_if, *, id_column="vec_id", vector_column="embedding", k: int = 20, share: float = CANDIDATES, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank (from 1), id and score: the k nearest found for each vector that meets the condition queries_if (over the column id)."""
+def nearest(vectors: DataFrame, queries_if, *, id_column="vec_id", vector_column="embedding", k: int = 20, share: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """query_id, rank (from 1), id and score: the k nearest found for each vector that meets the condition queries_if (over the column id). share: of candidates in each shard; learned from the sample if it is not given."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, id long, score double"
     usable = vectors.select(F.col(id_column).cast("long"), vector_column).mapInArrow(_usable, "id long, vector binary, dim int, norm double")
@@ -131,10 +149,11 @@ def nearest(vectors: DataFrame, queries_if, *, id_column="vec_id", vector_column
     dim, n, longest = dims["dim"], dims["n"], dims["longest"]
     usable = usable.where(F.col("dim") == dim).select("id", "vector")
     fit = usable.withColumn("turn", F.xxhash64("id", "vector")).orderBy("turn").limit(FIT_ROWS).select("vector").toArrow()
-    sample = matrix(fit.column("vector"), dim) / longest
+    sample = (drawn := matrix(fit.column("vector"), dim)) / longest
     sample = np.hstack([sample, np.sqrt(np.maximum(0, 1 - (sample * sample).sum(axis=1, keepdims=True)))])
     _, one = np.unique(sample, axis=0, return_index=True)
     pivots = sample[np.sort(one)[:PIVOTS]]
+    share = share_for(drawn, pivots, longest, k) if share is None else share
     shared = spark.sparkContext.broadcast((pivots, longest))
     parts = -(-n // shard_rows)
     blob = "part int, ids binary, vectors binary, rows binary, ranks binary, heads binary"
