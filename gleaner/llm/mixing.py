@@ -6,8 +6,9 @@ in passes 0, 1, ... over the whole source. The virtual finish time of a copy is
 end, divided by the source's target. A copy is eligible if its virtual start time is below 1. All eligible copies are put
 in the order of their finish times, and the mix takes the longest head of that order whose words fit the budget.
 
-Scale: the hot source is spread over slices of the shuffled order, so prefix sums are taken within slices (bounded rows)
-and over slice totals (one row for each source and slice). Of the global order only the range bucket with the cut is sorted.
+Scale: the hot source is spread over slices of the shuffled order, so prefix sums are taken within slices (bounded rows), over
+slice totals in groups of slices, and over the groups' totals. Of the global order only a range with the cut is sorted: it is cut
+into range buckets, and the bucket with the cut again, until at most SORTED_ROWS are left. Long texts are counted whole.
 
 Defined cases: a null text has size 0; a document of size 0 is taken 0 times; a source without words has target 0. A null
 source is a source of its own, last in order. Null or repeated doc_ids and repeated rows are allowed: each row counts by
@@ -30,6 +31,8 @@ MOST_REPEATS = 3
 SEED = "mix-1"
 #: Rows of one slice of one source's order, about; and range buckets of finish times from 0 to 1.
 SLICE_ROWS, RANGE_BUCKETS = 2048, 4096
+#: Rows around the cut that are sorted in one task.
+SORTED_ROWS = 50_000
 HASH_BITS = 60
 
 
@@ -64,7 +67,7 @@ def _queued(docs: DataFrame, keep: list[str], id_column: str, text_column: str,
     ).withColumn(f"{INNER}slice", F.expr(f"shiftright({INNER}h, {HASH_BITS - bits})"))
 
 
-def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="doc_id", text_column="text", source_column="source", weights=WEIGHTS, share: float = 1.0, most_repeats: int = MOST_REPEATS) -> DataFrame:
+def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="doc_id", text_column="text", source_column="source", weights=WEIGHTS, share: float = 1.0, most_repeats: int = MOST_REPEATS, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """Each row of docs (the columns in keep; all by default) with size, source_size, target, copies, taken and finish_time (of its first copy)."""
     keep = docs.columns if keep is None else keep
     g = lambda c: F.col(f"{INNER}{c}")
@@ -75,7 +78,12 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="do
     by_source = targets(narrow.groupBy(g("src").alias("src")).agg(F.sum(g("size")).alias("source_size")), weights, share, most_repeats)
     of = lambda c: by_source[c].alias(f"{INNER}{c}")
     slices = sliced.groupBy(g("src"), g("slice")).agg(F.sum(g("size")).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(W.partitionBy(g("src")).orderBy(g("slice")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"{INNER}ahead")
+    earlier = lambda x, order, *by: F.coalesce(F.sum(x).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.withColumn("group", F.expr(f"shiftright({INNER}slice, {bits // 2})"))
+    tops = slices.groupBy(g("src").alias("top"), F.col("group").alias("top_group")).agg(F.sum("n").alias("m"))
+    tops = tops.withColumn("before", earlier("m", "top_group", "top"))
+    ahead = (F.col("before") + earlier("n", g("slice"), g("src"), "group")).alias(f"{INNER}ahead")
+    slices = slices.join(tops, g("src").eqNullSafe(F.col("top")) & (F.col("group") == F.col("top_group")))
     offsets = slices.select(g("src"), g("slice"), ahead).join(by_source, g("src").eqNullSafe(by_source["src"]))
     offsets = written(offsets.select(g("src").alias("src"), g("slice").alias("slice"), g("ahead"), of("place"), of("source_size"), of("target")), "mix-offsets")
 
@@ -90,16 +98,25 @@ def mix_sources(docs: DataFrame, *, keep: list[str] | None = None, id_column="do
 
     copies = placed(sliced).select(F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("p"), g("place"), g("size"), g("cum"), g("source_size"), g("target"))
     copies = copies.where((g("target") > 0) & (g("size") > 0) & ((F.col("p") * g("source_size") + g("cum") - g("size")) < g("target")))
-    copies = copies.select(finish(F.col("p")).alias("t"), g("place").alias("place"), g("size").alias("size")).withColumn("range", F.least(F.floor(F.col("t") * RANGE_BUCKETS), F.lit(2 * RANGE_BUCKETS)))
+    copies = copies.select(finish(F.col("p")).alias("t"), g("place").alias("place"), g("size").alias("size"))
     copies = written(copies, "mix-copies")
     budget = narrow.agg(F.sum(g("size") * F.lit(1)).alias("n")).first()["n"] or 0
     budget = int(budget * share)
-    totals = copies.groupBy("range").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("range")))
-    over = totals.where(F.col("upto") > budget).orderBy("range").limit(1).select("range", (F.col("upto") - F.col("n")).alias("before")).first()
+    inside, before, low, width = copies, 0, 0.0, 1.0
+    while True:
+        bucket = F.least(F.floor((F.col("t") - low) / width * RANGE_BUCKETS), F.lit(2 * RANGE_BUCKETS))
+        totals = inside.groupBy(bucket.alias("range")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).withColumn("upto", F.sum("n").over(W.orderBy("range")) + before)
+        over = totals.where(F.col("upto") > budget).orderBy("range").limit(1).select("range", "rows", (F.col("upto") - F.col("n")).alias("before")).first()
+        if over is None:
+            break
+        inside, before = inside.where(bucket == over["range"]), over["before"]
+        if over["rows"] <= sorted_rows or width < 1e-12:  # what is left then is equal
+            break
+        low, width = low + over["range"] * width / RANGE_BUCKETS, width / RANGE_BUCKETS
     if over is None:
         taken_if = lambda p: F.lit(True)
     else:
-        inside = copies.where(F.col("range") == over["range"]).withColumn("upto", over["before"] + F.sum("size").over(W.orderBy("t", "place").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        inside = inside.withColumn("upto", before + F.sum("size").over(W.orderBy("t", "place").rowsBetween(W.unboundedPreceding, W.currentRow)))
         cut = inside.where(F.col("upto") > budget).orderBy("t", "place").select("t", "place").first()
         taken_if = lambda p: (finish(p) < cut["t"]) | ((finish(p) == cut["t"]) & (g("place") < cut["place"]))
     eligible = lambda p: (g("target") > 0) & (g("size") > 0) & ((p * g("source_size") + g("cum") - g("size")) < g("target"))
