@@ -27,6 +27,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", "--format", choices=("markdown", "json", "brief"), default="markdown")
     p.add_argument("-o", "--out", help="folder for bundle.json, report.md and sources")
     p.add_argument("-c", "--config", help="file of name: value lines")
+    p.add_argument("--intent", choices=tuple(fixed.INTENT_ENGINES))
+    p.add_argument("--engines", nargs="+", help="engines to ask besides the intent's own")
+    p.add_argument("--exclude-engines", nargs="+", help="engines not to ask")
+    p.add_argument("--timeout", type=float)
+    p.add_argument("--round-timeout", type=float)
+    p.add_argument("--retries", type=int)
+    p.add_argument("--min-interval", type=float)
+    p.add_argument("--cache-ttl", type=int)
+    p.add_argument("--no-cache", dest="cache", action="store_false", default=None)
+    p.add_argument("--ignore-robots", dest="respect_robots", action="store_false", default=None)
     p.add_argument("--list-engines", action="store_true")
     p.add_argument("--show-config", action="store_true")
     return p
@@ -37,7 +47,7 @@ def configured(args: argparse.Namespace):
     from .plans.session import Config, read_config
 
     found = read_config(Path(args.config).read_text("utf-8")) if args.config and Path(args.config).exists() else {}
-    return Config.of(*(v for v in found.values() if isinstance(v, dict)), found, vars(args))
+    return Config.of_sections(found, vars(args))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -62,9 +72,9 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import inputs, report, session
 
     spark = SparkSession.builder.appName("gleaner").getOrCreate()
-    q = spark.createDataFrame([(n, x) for n, x in enumerate(asked, 1)], "qid long, query string").withColumn("intent", ev.intent(F.col("query")))
+    q = spark.createDataFrame([(n, x) for n, x in enumerate(asked, 1)], "qid long, query string").withColumn("intent", ev.intent(F.col("query"), F.lit(config.intent).cast("string")))
     corpus, empty = inputs.corpus(spark, args.corpus), F.array().cast("array<string>")
-    scored = ev.score_sources(corpus, ev.candidates_of(corpus, q), q, config.now_year).where(F.col("idx") <= config.fetch_top_k * config.max_rounds)
+    scored = ev.score_sources(corpus, None, q, config.now_year, config.weights).where(F.col("idx") <= config.fetch_top_k * config.max_rounds)
     sources = scored.select("qid", "sid").join(corpus, "sid").withColumns({"queries": empty, "facets": empty})
     done = session.finish(sources, q, config)
     bundles = report.build_bundles(q, done["scored"], done["corpus"], done["summary"], done["quotes"], done["divergences"], done["coverage"], done["facets"], planning.plan(q, config.breadth))

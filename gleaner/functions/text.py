@@ -122,11 +122,11 @@ def year_of(c: Column, now_year: int) -> Column:
     return F.when(year.between(1990, now_year + 1), year)
 
 
-def freshness(published: Column, now_year: int, content: Column | None = None) -> Column:
-    """content: also look for the latest year in the text's head, if there is no date."""
+def freshness(published: Column, now_year: int, content: Column | None = None, chars: int | None = fixed.MATCH_CHARS) -> Column:
+    """content: also look for the latest year in the text's head (or all of it, if chars is None), if there is no date."""
     year = year_of(published, now_year)
     if content is not None:
-        found = F.transform(F.regexp_extract_all(F.substring(content, 1, fixed.MATCH_CHARS), F.lit(r"((?:19|20)\d{2})"), 1), lambda y: y.cast("int"))
+        found = F.transform(F.regexp_extract_all(content if chars is None else F.substring(content, 1, chars), F.lit(r"((?:19|20)\d{2})"), 1), lambda y: y.cast("int"))
         year = F.coalesce(year, F.array_max(F.filter(found, lambda y: y.between(1990, now_year + 1))))
     return F.when(year.isNull(), fixed.FRESH_UNKNOWN).otherwise(F.greatest(F.lit(fixed.FRESH_LEAST), 1.0 - F.greatest(F.lit(0), now_year - year) * fixed.FRESH_STEP))
 

@@ -6,6 +6,8 @@ hits(qid, ord, engine_id, query, url, title, snippet, position). sid and ord are
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -124,25 +126,54 @@ def best_text() -> Column:
     return F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.coalesce("snippet", F.lit("")))
 
 
-def bm25(corpus: DataFrame, candidates: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, sid, bm25) for each candidate (qid, sid); the collection of a question is its own candidates.
+def postings(corpus: DataFrame, questions: DataFrame) -> DataFrame:
+    """(sid, dl, term, f, head) for the questions' terms: how often a source has the term (its title counts three times), the
+    source's tokens, and whether the term is in its title or the head of its text. Texts are tokenised once, whatever the
+    number of questions; only counts of query terms leave the scan."""
+    whole, start = best_text(), F.substring(best_text(), 1, fixed.MATCH_CHARS)
+    own = corpus.select("sid", text.tokenize(F.concat(F.repeat(F.concat(F.col("title"), F.lit(" ")), 3), whole)).alias("tokens"), (F.length(whole) > fixed.MATCH_CHARS).alias("long"), "title", start.alias("start"))
+    some = F.when(F.col("long"), text.token_set(F.concat(F.col("title"), F.lit(" "), F.col("start")))).otherwise(F.array().cast("array<string>"))
+    each = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), (~F.col("long")).alias("head"))), F.transform(some, lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(True).alias("head"))))
+    rows = own.select("sid", F.size("tokens").alias("dl"), F.explode(each).alias("x")).select("sid", "dl", "x.*").join(query_terms(questions).select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("sid", "dl", "term").agg(F.sum("n").alias("f"), F.max("head").alias("head"))
+
 
-    A source is tokenised and counted once, whatever the number of questions; only counts of query terms meet candidates. The
-    title counts three times, and a repeated query term counts again."""
-    body = F.concat(F.repeat(F.concat(F.col("title"), F.lit(" ")), 3), best_text())
-    own = corpus.select("sid", text.tokenize(body).alias("tokens")).withColumn("dl", F.size("tokens"))
-    lens = candidates.join(own.select("sid", "dl"), "sid")
-    stats = lens.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def matched(corpus: DataFrame, candidates: DataFrame | None, questions: DataFrame) -> DataFrame:
+    """(qid, sid, bm25, head) for each candidate (qid, sid), or without candidates for each source that has a term of the
+    question; the collection of a question is its own candidates. head: whether a term is in the title or the text's head. A
+    repeated query term counts again."""
     terms = query_terms(questions).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("repeats"))
-    counts = own.select("sid", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("sid", "term").agg(F.count(F.lit(1)).alias("f"))
-    tf = counts.join(terms, "term").join(lens, ["qid", "sid"])
-    df = tf.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df"))
-    hit = tf.join(df, ["qid", "term"]).join(stats, "qid")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    found = postings(corpus, questions)
+    tf = found.join(terms, "term")
+    if candidates is not None:
+        own = candidates.select("qid", "sid").distinct()
+        tf = tf.join(own, ["qid", "sid"])
+    # A word that the head's end cuts through may be in the head alone; then it says nothing but that.
+    pairs = tf.groupBy("qid", "sid", "dl").agg(F.collect_list(F.when(F.col("f") > 0, F.struct("term", "f", "repeats"))).alias("terms"), F.max("head").alias("head"))
+    if candidates is None:
+        pairs = pairs.where(F.size("terms") > 0)
+    else:  # those without a term count too
+        size = corpus.select("sid", F.size(text.tokenize(F.concat(F.repeat(F.concat(F.col("title"), F.lit(" ")), 3), best_text()))).alias("dl"))
+        pairs = own.join(size, "sid").join(pairs.drop("dl"), ["qid", "sid"], "left")
+    # A row for each question; a map of the question's own few terms.
+    stats = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = tf.where("f > 0").groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    scored = pairs.join(stats.join(df, "qid", "left"), "qid")
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    part = F.col("repeats") * idf * (F.col("f") * (k1 + 1)) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("qid", "sid").agg(F.sum(part).alias("bm25"))
-    return candidates.select("qid", "sid").join(scored, ["qid", "sid"], "left").select("qid", "sid", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+
+    def part(x):
+        df = F.try_element_at("df", x["term"])
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return x["repeats"] * idf * (x["f"] * (k1 + 1)) / (x["f"] + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+    # In the terms' order, so that sums do not depend on the rows' order.
+    total = F.aggregate(F.transform(F.array_sort("terms"), part), F.lit(0.0), lambda a, x: a + x)
+    return scored.select("qid", "sid", F.coalesce(total, F.lit(0.0)).alias("bm25"), F.coalesce("head", F.lit(False)).alias("head"))
+
+
+def bm25(corpus: DataFrame, candidates: DataFrame | None, questions: DataFrame) -> DataFrame:
+    """(qid, sid, bm25): see matched()."""
+    return matched(corpus, candidates, questions).drop("head")
 
 
 def candidates_of(corpus: DataFrame, questions: DataFrame) -> DataFrame:
@@ -158,27 +189,33 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return q.select("qid", F.explode(F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("t"))).alias("term"))
 
 
-def scaled(c: str, group: str = "qid") -> Column:
-    """Scaled to 0..1 within the group; 0.5 if all are equal."""
-    w = W.partitionBy(group)
-    lo, hi = F.min(c).over(w), F.max(c).over(w)
-    return F.when(hi - lo < 1e-9, 0.5).otherwise((F.col(c) - lo) / F.when(hi - lo < 1e-9, 1.0).otherwise(hi - lo))
+def scaled(df: DataFrame, c: str, out: str, group: str = "qid") -> DataFrame:
+    """Adds c scaled to 0..1 within the group; 0.5 if all are equal. The ends are aggregates, joined back."""
+    ends = df.groupBy(F.col(group).alias("__g")).agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
+    span = F.col("__hi") - F.col("__lo")
+    value = F.when(span < 1e-9, 0.5).otherwise((F.col(c) - F.col("__lo")) / F.when(span < 1e-9, 1.0).otherwise(span))
+    return df.join(ends, F.col(group).eqNullSafe(F.col("__g"))).withColumn(out, value).drop("__g", "__lo", "__hi")
 
 
-def score_sources(corpus: DataFrame, candidates: DataFrame, questions: DataFrame, now_year: int, weights: dict | None = None) -> DataFrame:
+def score_sources(corpus: DataFrame, candidates: DataFrame | None, questions: DataFrame, now_year: int, weights: dict | None = None) -> DataFrame:
     """(qid, sid) with relevance, authority, freshness, depth, corroboration, score and idx (1 is the best of its question).
 
-    Texts stay behind: what a score needs of a source is computed once, and only numbers are sorted in the questions."""
+    Texts stay behind: what a score needs of a source is computed once, and only numbers meet questions. Least and largest
+    values are aggregates with a row for each question; a filter on idx lets each task keep its own best only."""
     w = fixed.WEIGHTS | (weights or {})
     facts = authority(corpus.withColumn("domain", urls.domain(F.col("url")))).select(
         "sid", "authority", text.freshness(F.col("published"), now_year).alias("freshness"), F.least(F.length(F.coalesce("content", F.lit(""))), F.lit(fixed.DEPTH_CHARS)).cast("double").alias("chars"),
         F.size(F.array_distinct("engines")).cast("double").alias("n_engines"),
     )
-    head = corpus.select("sid", F.explode(text.token_set(F.concat(F.col("title"), F.lit(" "), F.substring(best_text(), 1, fixed.MATCH_CHARS)))).alias("term"))
-    match = head.join(query_terms(questions).distinct(), "term").select("qid", "sid").distinct().withColumn("match", F.lit(True))
-    rel = bm25(corpus, candidates, questions).join(match, ["qid", "sid"], "left").join(facts, "sid")
-    rel = rel.withColumn("rel", F.when(F.col("match"), F.col("bm25")).otherwise(F.col("bm25") * fixed.MISS_FACTOR))
-    done = rel.withColumns({"relevance": scaled("rel"), "depth": scaled("chars"), "corroboration": scaled("n_engines")})
+    rel = matched(corpus, candidates, questions).join(facts, "sid")
+    rel = rel.withColumn("rel", F.when(F.col("head"), F.col("bm25")).otherwise(F.col("bm25") * fixed.MISS_FACTOR))
+    ends = rel.groupBy("qid").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("rel", "chars", "n_engines") for f in (F.min, F.max)])
+
+    def between(c: str) -> Column:
+        low, high = F.col(f"{c}_min"), F.col(f"{c}_max")
+        return F.when(high - low < 1e-9, 0.5).otherwise((F.col(c) - low) / F.when(high - low < 1e-9, 1.0).otherwise(high - low))
+
+    done = rel.join(ends, "qid").withColumns({"relevance": between("rel"), "depth": between("chars"), "corroboration": between("n_engines")})
     done = done.withColumn("score", sum((F.lit(float(w[k])) * F.col(k) for k in ("relevance", "authority", "freshness", "depth", "corroboration")), F.lit(0.0)))
     done = done.withColumn("idx", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "sid")))
     return done.select("qid", "idx", "sid", "bm25", "relevance", "authority", "freshness", "depth", "corroboration", "score")
@@ -200,15 +237,17 @@ def simhash(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key).distinct().join(sums, key, "left").select(key, F.when(F.col("b0").isNull(), 0).otherwise(bits).cast("long").alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, distance: int = 6) -> DataFrame:
+def near_pairs(prints: DataFrame, distance: int = 6, equal: int = 3) -> DataFrame:
     """Pairs (a, b) of different fingerprints at most `distance` bits apart, a < b. prints(fingerprint): distinct values.
 
-    With distance + 2 blocks of bits at least two are equal, so the pairs of blocks are join keys and no pair is lost."""
-    blocks = distance + 2
+    Of distance + equal blocks of bits at least `equal` are the same, so choices of so many blocks are join keys and no pair is
+    lost. A key has 64 * equal / (distance + equal) bits: more equal blocks give fewer chance candidates and more keys."""
+    blocks = distance + equal
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     f = F.col("fingerprint")
-    block = [F.shiftrightunsigned(f, lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-    keys = F.array(*[F.struct(F.lit(i * blocks + j).alias("k"), (block[i] * (1 << 20) + block[j]).alias("v")) for i in range(blocks) for j in range(i)])
+    masks = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), f.bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen))).cast("long")).alias("v")) for k, chosen in enumerate(combinations(range(blocks), equal))])
     banded = prints.select(f.alias("f"), F.explode(keys).alias("x")).select("f", "x.k", "x.v")
     other = banded.select(F.col("f").alias("g"), "k", "v")
     return banded.join(other, ["k", "v"]).where((F.col("f") < F.col("g")) & (text.hamming(F.col("f"), F.col("g")) <= distance)).select(F.col("f").alias("a"), F.col("g").alias("b")).distinct()

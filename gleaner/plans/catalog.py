@@ -181,6 +181,15 @@ def same_site_cases(spark, sf_dir):
     return i.table(spark, "id int, a string, b string", _SITES).select("id", urls.same_site(F.col("a"), F.col("b")).alias("same"))
 
 
+@query(f"WITH d AS (SELECT DISTINCT {i.sql_domain('url')} AS d FROM pages) SELECT x.d AS a, y.d AS b FROM d x JOIN d y ON x.d <> y.d AND x.d <> '' AND y.d <> '' AND ends_with(x.d, '.' || y.d)")
+def same_site_pages(spark, sf_dir):
+    """Domains of pages that belong to others; a join on all endings of a domain, no pairs that do not match."""
+    d = i.read(spark, sf_dir, "pages").select(urls.domain(F.col("url")).alias("a")).distinct().where("a <> ''")
+    parts = F.split("a", r"\.")
+    ends = d.select("a", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("b"))
+    return ends.join(d.select(F.col("a").alias("b")), "b").select("a", "b")
+
+
 # ---- dates and times --------------------------------------------------------------------------------------------------
 
 _DATES = [(1, "2026-05-20T08:00"), (2, "published 2019/3/7"), (3, "2024年1月2日"), (4, "in 1985"), (5, ""), (6, "2031-01-01"), (7, "1999"), (8, "no date"), (9, "from 1875 to 2020")]
@@ -194,10 +203,10 @@ def freshness_cases(spark, sf_dir):
     return i.table(spark, "id int, published string", _DATES).select("id", F.coalesce(text.year_of(p, i.NOW_YEAR).cast("string"), F.lit("")).alias("year"), F.round(text.freshness(p, i.NOW_YEAR), 9).alias("freshness"), text.publication_date(p).alias("day"))
 
 
-@query(rf"""WITH y AS (SELECT doc_id, list_max(list_filter(list_transform(regexp_extract_all(substr(text, 1, 4000), '((?:19|20)\d{{2}})'), lambda v: v::INT), lambda v: v BETWEEN 1990 AND {i.NOW_YEAR + 1})) AS y FROM documents)
+@query(rf"""WITH y AS (SELECT doc_id, list_max(list_filter(list_transform(regexp_extract_all(text, '((?:19|20)\d{{2}})'), lambda v: v::INT), lambda v: v BETWEEN 1990 AND {i.NOW_YEAR + 1})) AS y FROM documents)
 SELECT doc_id, round(CASE WHEN y IS NULL THEN 0.5 ELSE greatest(0.15, 1.0 - greatest(0, {i.NOW_YEAR} - y) * 0.14) END, 9)::DOUBLE AS freshness FROM y""")
 def freshness_documents(spark, sf_dir):
-    return i.read(spark, sf_dir, "documents").select("doc_id", F.round(text.freshness(F.lit(""), i.NOW_YEAR, F.col("text")), 9).alias("freshness"))
+    return i.read(spark, sf_dir, "documents").select("doc_id", F.round(text.freshness(F.lit(""), i.NOW_YEAR, F.col("text"), chars=None), 9).alias("freshness"))
 
 
 _SECONDS = [(1, 0.0), (2, 12.34), (3, 59.94), (4, 60.0), (5, 125.9), (6, 3725.0)]
@@ -222,7 +231,7 @@ def sniff_charset(spark, sf_dir):
 @query(f"WITH {i.CORPUS}, {i.QUESTIONS}, {i.TERMS}, {i.BM25} SELECT qid, sid, round(bm25, 6) AS bm25 FROM bm")
 def bm25_benchmark(spark, sf_dir):
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir)
-    return ev.bm25(corpus, ev.candidates_of(corpus, q), q).withColumn("bm25", F.round("bm25", 6))
+    return ev.bm25(corpus, None, q).withColumn("bm25", F.round("bm25", 6))
 
 
 _PARTS = ("relevance", "authority", "freshness", "depth", "corroboration", "score")
@@ -232,14 +241,14 @@ _PARTS = ("relevance", "authority", "freshness", "depth", "corroboration", "scor
 def score_sources(spark, sf_dir):
     """The flagship: the best sources of each question."""
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir)
-    best = ev.score_sources(corpus, ev.candidates_of(corpus, q), q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"])
+    best = ev.score_sources(corpus, None, q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"])
     return best.select("qid", "idx", "sid", *[F.round(p, 6).alias(p) for p in _PARTS])
 
 
 @query(f"WITH {i.CORPUS}, {i.QUESTIONS}, {i.TERMS}, {i.BM25} SELECT qid, sid, round(CASE WHEN max(bm25) OVER w - min(bm25) OVER w < 1e-9 THEN 0.5 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 6) AS scaled FROM bm WINDOW w AS (PARTITION BY qid)")
 def minmax_normalize(spark, sf_dir):
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir)
-    return ev.bm25(corpus, ev.candidates_of(corpus, q), q).select("qid", "sid", F.round(ev.scaled("bm25"), 6).alias("scaled"))
+    return ev.scaled(ev.bm25(corpus, None, q), "bm25", "s").select("qid", "sid", F.round("s", 6).alias("scaled"))
 
 
 @query(f"""WITH {i.CORPUS}, {i.QUESTIONS}, q AS (SELECT qid, list_distinct({i.sql_content('query')}) AS t FROM questions), c AS (SELECT sid, list_distinct({i.sql_tokens('title')}) AS t FROM corpus),
@@ -255,7 +264,7 @@ def jaccard_titles(spark, sf_dir):
 @query(f"WITH {i.CORPUS}, {i.QUESTIONS}, {i.TERMS}, {i.BM25}, k AS (SELECT qid, sid, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, sid)::INT AS idx FROM bm) SELECT * FROM k WHERE idx <= 5")
 def topk_per_question(spark, sf_dir):
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir)
-    return ev.top_k(ev.bm25(corpus, ev.candidates_of(corpus, q), q), [F.desc(F.round("bm25", 9)), "sid"], 5).select("qid", "sid", "idx")
+    return ev.top_k(ev.bm25(corpus, None, q), [F.desc(F.round("bm25", 9)), "sid"], 5).select("qid", "sid", "idx")
 
 
 # ---- hits -------------------------------------------------------------------------------------------------------------
@@ -403,6 +412,11 @@ def facet_gaps(spark, sf_dir):
     return ev.uncovered(ev.facet_coverage(i.table(spark, "qid int, text string", _COVERED))).select("qid", "facet")
 
 
+@query(_COVER_SQL.format(source=_BY_SOURCE) + " SELECT qid, facet FROM c WHERE hits < 1")
+def facet_gaps_documents(spark, sf_dir):
+    return ev.uncovered(ev.facet_coverage(i.read(spark, sf_dir, "documents").select(F.col("source").alias("qid"), "text"))).select("qid", "facet")
+
+
 @query(_COVER_SQL.format(source=i.values("texts", "qid, text", _COVERED)) + ", o AS (SELECT facet, ord FROM (VALUES " + ", ".join(f"({i.lit(f[0])}, {k})" for k, f in enumerate(fixed.FACETS)) + ") AS v(facet, ord)), p AS (SELECT * FROM (VALUES " + ", ".join(f"({i.lit(f)}, {k})" for k, f in enumerate(fixed.INTENT_FACETS['academic'])) + ") AS v(facet, prio)) SELECT qid, facet, row_number() OVER (PARTITION BY qid ORDER BY coalesce(prio, 99), ord)::INT AS pos FROM c JOIN o USING (facet) LEFT JOIN p USING (facet) WHERE hits < 1")
 def empty_facets_by_intent(spark, sf_dir):
     cover = ev.facet_coverage(i.table(spark, "qid int, text string", _COVERED))
@@ -430,13 +444,13 @@ def source_status(spark, sf_dir):
 
 # ---- fingerprints -----------------------------------------------------------------------------------------------------
 
-_PRINTS = f"""tok AS (SELECT doc_id, unnest({i.sql_content('substr(text, 1, 4000)')}) AS t FROM documents), w AS (SELECT doc_id, t, count(*) AS w, ('0x' || substr(md5(t), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(t), 9, 8))::BIGINT AS lo FROM tok GROUP BY doc_id, t),
+_PRINTS = f"""tok AS (SELECT doc_id, unnest({i.sql_content('text')}) AS t FROM documents), w AS (SELECT doc_id, t, count(*) AS w, ('0x' || substr(md5(t), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(t), 9, 8))::BIGINT AS lo FROM tok GROUP BY doc_id, t),
 v AS (SELECT doc_id, b, sum(CASE WHEN ((CASE WHEN b < 32 THEN lo ELSE hi END) >> (b % 32)) & 1 = 1 THEN w ELSE -w END) > 0 AS one FROM w, (SELECT unnest(range(64)) AS b) GROUP BY doc_id, b),
 p AS (SELECT doc_id, (sum(CASE WHEN one AND b < 63 THEN (1::HUGEINT << b) WHEN one THEN -(1::HUGEINT << 63) ELSE 0 END))::BIGINT AS fingerprint FROM v GROUP BY doc_id)"""
 
 
 def _prints(spark, sf_dir) -> DataFrame:
-    return ev.simhash(i.read(spark, sf_dir, "documents"), "doc_id", text.content_tokens(F.substring("text", 1, fixed.MATCH_CHARS)))
+    return ev.simhash(i.read(spark, sf_dir, "documents"), "doc_id", text.content_tokens(F.col("text")))
 
 
 @query(f"WITH {_PRINTS} SELECT d.doc_id, coalesce(fingerprint, 0)::BIGINT AS fingerprint FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN p ON d.doc_id = p.doc_id")
@@ -472,7 +486,7 @@ _BEST = f"WITH {i.CORPUS}, {i.QUESTIONS}, {i.TERMS}, {i.BM25}, {i.SCORED}, best
 def best_sources(spark, sf_dir) -> DataFrame:
     """The best sources of each question, with their texts."""
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir)
-    best = ev.score_sources(corpus, ev.candidates_of(corpus, q), q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]).select("qid", "idx", "sid", "score")
+    best = ev.score_sources(corpus, None, q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]).select("qid", "idx", "sid", "score")
     return best.join(corpus, "sid")
 
 

@@ -18,26 +18,39 @@ from .catalog import best_sources, query
 # ---- connectors -------------------------------------------------------------------------------------------------------
 
 _PAYLOADS = {
-    "wikipedia_en": {"query": {"search": [{"title": "Solid state", "snippet": "a <b>solid</b>  state", "wordcount": 120}, {"title": "Battery", "snippet": "cell"}]}},
+    "wikipedia_en": {"query": {"search": [{"title": "Solid state", "snippet": "a <b>solid</b>  state", "wordcount": 120}, {"title": "Battery", "snippet": "cell &amp; pack, 5 &lt; 6 &#39;V&#39;"}]}},
     "crossref": {"message": {"items": [
         {"title": ["A paper"], "DOI": "10.1/x", "author": [{"given": "Ann", "family": "Lee"}, {"family": "Solo"}], "issued": {"date-parts": [[2021, 5]]}, "container-title": ["Journal"], "type": "article"},
-        {"title": [], "DOI": "10.1/y"}, {"title": ["Second"], "URL": "https://example.org/2", "abstract": "<p>An  abstract</p>", "issued": {"date-parts": [[None]]}},
+        {"title": [], "DOI": "10.1/y"}, {"title": ["Second"], "URL": "https://example.org/2", "abstract": "<p>An  abstract &amp;amp; &lt;b&gt;more&lt;/b&gt;</p>", "issued": {"date-parts": [[None]]}},
     ]}},
     "openalex": {"results": [{"id": "https://openalex.org/W1", "title": "Graph", "publication_year": 2020, "authorships": [{"author": {"display_name": "B. C."}}], "primary_location": {"source": {"display_name": "Venue"}}, "abstract_inverted_index": {"deep": [1, 3], "We": [0], "nets": [2]}, "cited_by_count": 7}, {"id": "W2", "doi": "https://doi.org/10.2/z", "title": "No abstract", "primary_location": None}]},
-    "github": {"items": [{"full_name": "a/b", "html_url": "https://github.com/a/b", "description": "tool", "stargazers_count": 5, "language": "Python", "updated_at": "2024-05-06T00:00:00Z"}, {"full_name": "c/d", "html_url": "https://github.com/c/d", "description": None, "stargazers_count": 0, "language": None}]},
-    "stackexchange": {"items": [{"title": "How?", "body": "<p>Do  this</p>", "link": "https://stackoverflow.com/q/1", "tags": ["a", "b"], "score": 3, "is_answered": True}, {"title": "Why?", "body": "", "link": "https://stackoverflow.com/q/2", "tags": ["x", "y", "z"]}]},
-    "hackernews": {"hits": [{"title": "Show", "url": "https://example.com/s", "points": 10, "num_comments": 2, "objectID": "1"}, {"title": None, "story_title": "Story", "url": None, "objectID": "42", "points": None, "num_comments": None}, {"title": "", "objectID": "3"}]},
+    "github": {"items": [{"full_name": "a/b", "html_url": "https://github.com/a/b", "description": "tool &mdash; R&amp;D", "stargazers_count": 5, "language": "Python", "updated_at": "2024-05-06T00:00:00Z"}, {"full_name": "c/d", "html_url": "https://github.com/c/d", "description": None, "stargazers_count": 0, "language": None}]},
+    "stackexchange": {"items": [{"title": "How?", "body": "<p>Do  this</p>", "link": "https://stackoverflow.com/q/1", "tags": ["a", "b"], "score": 3, "is_answered": True}, {"title": "How to use &quot;x&quot; &amp; y", "body": "<p>a &lt; b, caf&eacute;&#x21;</p>", "link": "https://stackoverflow.com/q/3", "tags": []}, {"title": "Why?", "body": "", "link": "https://stackoverflow.com/q/2", "tags": ["x", "y", "z"]}]},
+    "hackernews": {"hits": [{"title": "Show &#20013;&nbsp;&#25991;", "url": "https://example.com/s", "points": 10, "num_comments": 2, "objectID": "1"}, {"title": None, "story_title": "Story", "url": None, "objectID": "42", "points": None, "num_comments": None}, {"title": "", "objectID": "3"}]},
 }
 
 
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x21;", "!"), ("&eacute;", "é"), ("&mdash;", "—"), ("&nbsp;", "\u00a0"), ("&#20013;", "中"), ("&#25991;", "文"), ("&amp;", "&")]
+
+
 def _strip(x: str) -> str:
-    return i.sql_squeeze(f"regexp_replace(coalesce({x}, ''), '<[^>]+>', '', 'g')")
+    """Entities that the payloads have, tags, white space (RE2's own and U+00A0), and spaces between CJK characters."""
+    x = f"coalesce({x}, '')"
+    for name, c in _ENTITIES:
+        x = f"replace({x}, {i.lit(name)}, {i.lit(c)})"
+    flat = i.sql_squeeze(f"replace(regexp_replace({x}, '<[^>]+>', '', 'g'), chr(160), ' ')")
+    return f"regexp_replace({flat}, '([一-鿿]) ([一-鿿])', '\\1\\2', 'g')"
+
+
+def _twice(x: str) -> str:
+    """Some connectors clean a field before it is cut, so it is cleaned twice."""
+    return _strip(_strip(x))
 
 
 def _payload_sql(engine: str, path: str, title: str, url: str, snippet: str) -> str:
     body = json.dumps(_PAYLOADS[engine], ensure_ascii=False)
     return f"""WITH p AS (SELECT {i.lit(body)}::JSON AS body), x AS (SELECT unnest(from_json(body->'{path}', '["json"]')) AS it, unnest(range(1, json_array_length(body->'{path}')::BIGINT + 1))::INT AS position FROM p),
-h AS (SELECT position, {_strip(title)} AS title, coalesce({url}, '') AS url, {_strip(snippet)} AS snippet FROM x) SELECT * FROM h WHERE title <> '' AND url <> ''"""
+h AS (SELECT position, {(_twice if engine == "stackexchange" else _strip)(title)} AS title, coalesce({url}, '') AS url, {(_twice if engine in ("stackexchange", "crossref", "wikipedia_en") else _strip)(snippet)} AS snippet FROM x) SELECT * FROM h WHERE title <> '' AND url <> ''"""
 
 
 def _connector(engine: str):
@@ -174,7 +187,7 @@ def follow_up(spark, sf_dir):
 @query()
 def evidence_bundle(spark, sf_dir):
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir).withColumn("intent", ev.intent(F.col("query")))
-    scored = ev.score_sources(corpus, ev.candidates_of(corpus, q), q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]).persist()
+    scored = ev.score_sources(corpus, None, q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]).persist()
     best = scored.select("qid", "sid", "idx", "score").join(corpus, "sid").persist()  # max_sources rows for each question
     summary = selection.extractive_summary(best, q).persist()
     full = best.where(F.length("content") >= 200).withColumnRenamed("content", "text")

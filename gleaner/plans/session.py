@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -14,8 +14,14 @@ from ..operators import planning, selection
 from .store import stored
 
 
+def _number(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
 @dataclass(frozen=True)
 class Config:
+    """Settings of a run. Empty weights mean the built-in ones."""
+
     max_rounds: int = fixed.DEFAULTS["max_rounds"]
     breadth: int = fixed.DEFAULTS["breadth"]
     follow_up: int = fixed.DEFAULTS["follow_up"]
@@ -25,46 +31,86 @@ class Config:
     summary_sentences: int = fixed.DEFAULTS["summary_sentences"]
     min_content_chars: int = fixed.DEFAULTS["min_content_chars"]
     fetch_pages: bool = fixed.DEFAULTS["fetch_pages"]
+    timeout: float = 12.0
+    round_timeout: float = 35.0
+    concurrency: int = 6
+    retries: int = 1
+    min_interval: float = 0.6
+    cache: bool = True
+    cache_ttl: int = 900
+    respect_robots: bool = True
+    intent: str | None = None
+    engines: tuple[str, ...] = ()
+    exclude_engines: tuple[str, ...] = ()
+    queries: tuple[str, ...] = ()
+    weights: dict = field(default_factory=dict)
+    engine_weights: dict = field(default_factory=dict)
     title_threshold: float = 0.86
     fingerprint_distance: int = 6
     now_year: int = 2026
 
     @classmethod
     def of(cls, *layers: dict) -> Config:
-        """Later layers count more; unknown names and None are left out."""
+        """Later layers count more; unknown names and None are left out. Lists become tuples."""
         known = {f.name for f in fields(cls)}
-        return cls(**{k: v for layer in layers for k, v in (layer or {}).items() if k in known and v is not None})
+        found = {k: v for layer in layers for k, v in (layer or {}).items() if k in known and v is not None}
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+
+    @classmethod
+    def of_sections(cls, raw: dict, *layers: dict) -> Config:
+        """The sections of a settings file (the loop's own, `deduplication`, `ranking`, `engine_weights`), then layers that count more.
+        Values that are no numbers where numbers belong are left out."""
+        raw = raw if isinstance(raw, dict) else {}
+        part = lambda name: raw[name] if isinstance(raw.get(name), dict) else {}
+        named = {"deduplication", "ranking", "engine_weights"}
+        own = [v for k, v in raw.items() if isinstance(v, dict) and k not in named]
+        same = part("deduplication")
+        title, bits = (same.get(k) for k in ("title_similarity_threshold", "fingerprint_hamming_distance"))
+        given = {
+            "weights": {k: float(v) for k, v in part("ranking").items() if _number(v)}, "engine_weights": {k: float(v) for k, v in part("engine_weights").items() if _number(v)},
+            "title_threshold": float(title) if _number(title) else None, "fingerprint_distance": int(bits) if _number(bits) else None,
+        }
+        return cls.of(*own, {k: v for k, v in raw.items() if not isinstance(v, dict)}, given, *layers)
 
 
 def read_config(source: str) -> dict:
-    """Two levels of `name: value` as in YAML; comments and quotes go, numbers and booleans become such; {} where nothing fits."""
+    """Two levels of `name: value` as in YAML; comments and quotes go, numbers, booleans, null and [lists] become such; {} where nothing fits."""
     out: dict = {}
     section = out
     for line in source.splitlines():
         bare = line.split(" #")[0].rstrip()
         if not bare.strip() or bare.lstrip().startswith("#") or ":" not in bare:
             continue
-        name, value = (x.strip().strip("\"'") for x in bare.split(":", 1))
-        target = section if bare[0] == " " else out
+        name, value = (x.strip() for x in bare.split(":", 1))
+        name = name.strip("\"'")
         if not value:
             if bare[0] != " ":
                 section = out[name] = {}
             continue
-        low = value.lower()
-        number = value.replace(".", "", 1).lstrip("-").isdigit()
-        target[name] = {"true": True, "false": False, "null": None}.get(low, (float(value) if "." in value else int(value)) if number else value)
+        (section if bare[0] == " " else out)[name] = [_value(x.strip()) for x in value[1:-1].split(",") if x.strip()] if value[0] == "[" and value[-1] == "]" else _value(value)
     return out
 
 
+def _value(x: str):
+    bare = x.strip("\"'")
+    if bare != x:
+        return bare
+    number = x.replace(".", "", 1).lstrip("-").isdigit()
+    return {"true": True, "false": False, "null": None, "~": None}.get(x.lower(), (float(x) if "." in x else int(x)) if number else x)
+
+
 def search(spark: SparkSession, questions: DataFrame, engine: Callable[[DataFrame], DataFrame], pages: Callable[[DataFrame], DataFrame], config: Config = Config(), store: Callable[[DataFrame, str], DataFrame] = stored) -> dict[str, DataFrame]:
     """questions(qid, query). engine: tasks(qid, engine_id, sent) to hits(qid, engine_id, query, position, title, url, snippet);
     pages: (url) to (url, html). store keeps a round's table. Returns the tables of a report."""
-    q = store(questions.withColumn("intent", ev.intent(F.col("query"))), "questions")
+    names = lambda x: F.array(*[F.lit(e) for e in x]).cast("array<string>")
+    q = store(questions.withColumn("intent", ev.intent(F.col("query"), F.lit(config.intent).cast("string"))), "questions")
     engines = ev.engines_table(spark)
+    if config.engine_weights:
+        engines = ev.engine_weights(engines, spark.createDataFrame([(k, str(v)) for k, v in config.engine_weights.items()], "id string, w string"))
     plan = store(planning.plan(q, config.breadth), "plan")
     asked, sources, seen = plan, None, None
     for round_no in range(1, config.max_rounds + 1):
-        routes = ev.route(q.select("qid", "query", F.col("intent").alias("hint"), F.array().cast("array<string>").alias("include"), F.array().cast("array<string>").alias("exclude")))
+        routes = ev.route(q.select("qid", "query", F.col("intent").alias("hint"), names(config.engines).alias("include"), names(config.exclude_engines).alias("exclude")))
         tasks = ev.search_tasks(plan.select("qid", "text", "facet"), routes, engines)
         hits = engine(tasks).where(F.col("position") <= config.per_engine)
         hits = hits.withColumn("ord", F.row_number().over(W.partitionBy("qid").orderBy("engine_id", "query", "position", "url")))
@@ -110,7 +156,7 @@ def finish(sources: DataFrame, questions: DataFrame, config: Config, store: Call
     stands = selection.dedupe(sources, config.title_threshold, config.fingerprint_distance).where("NOT merged")
     kept = sources.drop("engines", "queries", "facets", "snippet").join(stands.select("qid", "sid", "engines", "queries", "facets", "snippet"), ["qid", "sid"])
     kept = store(kept, "kept")
-    scored = ev.score_sources(kept.dropDuplicates(["sid"]), kept.select("qid", "sid"), questions, config.now_year).join(kept.select("qid", "sid", "status", "snippet"), ["qid", "sid"])
+    scored = ev.score_sources(kept.dropDuplicates(["sid"]), kept.select("qid", "sid"), questions, config.now_year, config.weights).join(kept.select("qid", "sid", "status", "snippet"), ["qid", "sid"])
     scored = scored.where((F.col("status") == "ok") | (F.col("snippet") != "")).drop("status", "snippet")
     scored = scored.withColumn("idx", F.row_number().over(W.partitionBy("qid").orderBy("idx"))).where(F.col("idx") <= config.max_sources)
     scored = store(scored, "scored")

@@ -3,8 +3,12 @@ payloads(qid, query, body) and run anywhere; fetching is in fetch.py and needs a
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, html, text, urls
 
@@ -15,14 +19,33 @@ def _text(c) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(c: pd.Series) -> pd.Series:
+    return c.map(unescape)
+
+
+def cleaned(c: Column) -> Column:
+    """Entities become characters (all names that HTML has, and numbers), then tags and surplus white space go."""
+    return text.clean_markup(_unescaped(_text(c)))
+
+
 def _hits(payloads: DataFrame, engine_id: str, items: Column, make, limit: int) -> DataFrame:
-    """make(item) gives title, url, snippet, extra and, if not all items count, keep."""
+    """make(item) gives title, url, snippet and extra. Where it gives `otherwise`, the snippet is cleaned (and cut to `cut`) before
+    all else, and `otherwise` stands in for an empty one; titles are cleaned once more where `again` is given."""
     e = _ENGINE[engine_id]
     each = payloads.select("qid", "query", F.posexplode(F.slice(F.coalesce(items, F.array()), 1, limit)).alias("p", "it"))
     parts = make(F.col("it"))
-    own = each.select(
-        "qid", F.lit(engine_id).alias("engine_id"), F.lit(e[2]).alias("category"), F.lit(e[3]).alias("weight"), "query", (F.col("p") + 1).alias("position"), F.substring(text.clean_markup(_text(parts["title"])), 1, 300).alias("title"),
-        F.substring(urls.unwrap(F.trim(_text(parts["url"]))), 1, 900).alias("url"), F.substring(text.clean_markup(_text(parts["snippet"])), 1, 600).alias("snippet"), F.to_json(parts["extra"]).alias("extra"),
+    raw = F.struct(*[_text(parts[c]).alias(c) for c in ("title", "url", "snippet")], F.to_json(parts["extra"]).alias("extra"), _text(parts.get("otherwise", F.lit(""))).alias("otherwise"))
+    own = each.select("qid", "query", (F.col("p") + 1).alias("position"), F.inline(F.array(raw)))
+    title, snippet = cleaned(F.col("title")), F.col("snippet")
+    if "again" in parts:
+        title = cleaned(title)
+    if "otherwise" in parts:
+        first = F.substring(cleaned(snippet), 1, parts.get("cut", 1 << 30))
+        snippet = F.when(first != "", first).otherwise(F.col("otherwise"))
+    own = own.select(
+        "qid", F.lit(engine_id).alias("engine_id"), F.lit(e[2]).alias("category"), F.lit(e[3]).alias("weight"), "query", "position", F.substring(title, 1, 300).alias("title"),
+        F.substring(urls.unwrap(F.trim("url")), 1, 900).alias("url"), F.substring(cleaned(snippet), 1, 600).alias("snippet"), "extra",
     )
     return own.where((F.col("title") != "") & (F.col("url") != ""))
 
@@ -34,7 +57,7 @@ def _json(schema: str) -> Column:
 def wikipedia(payloads: DataFrame, lang: str = "en", limit: int = 10) -> DataFrame:
     items = _json("query struct<search: array<struct<title: string, snippet: string, wordcount: int>>>")["query"]["search"]
     page = lambda t: F.concat(F.lit(f"https://{lang}.wikipedia.org/wiki/"), F.replace(F.url_encode(F.replace(t, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")))
-    return _hits(payloads, f"wikipedia_{lang}", items, lambda i: {"title": i["title"], "url": page(i["title"]), "snippet": i["snippet"], "extra": F.struct(F.coalesce(i["wordcount"], F.lit(0)).alias("wordcount"))}, limit)
+    return _hits(payloads, f"wikipedia_{lang}", items, lambda i: {"title": i["title"], "url": page(i["title"]), "snippet": i["snippet"], "otherwise": F.lit(""), "extra": F.struct(F.coalesce(i["wordcount"], F.lit(0)).alias("wordcount"))}, limit)
 
 
 def crossref(payloads: DataFrame, limit: int = 10) -> DataFrame:
@@ -45,9 +68,8 @@ def crossref(payloads: DataFrame, limit: int = 10) -> DataFrame:
         year = _text(F.try_element_at(F.try_element_at(i["issued"]["date-parts"], F.lit(1)), F.lit(1)).cast("string"))
         doi, venue = _text(i["DOI"]), first(i["container-title"])
         names = F.filter(F.transform(F.slice(F.coalesce(i["author"], F.array()), 1, 5), lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), lambda n: n != "")
-        abstract = text.clean_markup(_text(i["abstract"]))
         return {
-            "title": first(i["title"]), "url": F.coalesce(i["URL"], F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi))), "snippet": F.when(abstract != "", abstract).otherwise(F.trim(F.concat_ws(" ", venue, year))),
+            "title": first(i["title"]), "url": F.coalesce(i["URL"], F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi))), "snippet": i["abstract"], "otherwise": F.trim(F.concat_ws(" ", venue, year)),
             "extra": F.struct(doi.alias("doi"), year.alias("year"), names.alias("authors"), venue.alias("venue"), _text(i["type"]).alias("type")),
         }
 
@@ -89,8 +111,8 @@ def stackexchange(payloads: DataFrame, limit: int = 10) -> DataFrame:
     schema = "items array<struct<title: string, body: string, link: string, tags: array<string>, score: int, is_answered: boolean>>"
 
     def make(i):
-        body, tags = F.substring(text.clean_markup(_text(i["body"])), 1, 400), F.slice(F.coalesce(i["tags"], F.array().cast("array<string>")), 1, 6)
-        return {"title": i["title"], "url": i["link"], "snippet": F.when(body != "", body).otherwise(F.array_join(tags, " ")), "extra": F.struct(F.coalesce(i["score"], F.lit(0)).alias("score"), F.coalesce(i["is_answered"], F.lit(False)).alias("answered"), tags.alias("tags"))}
+        tags = F.slice(F.coalesce(i["tags"], F.array().cast("array<string>")), 1, 6)
+        return {"title": i["title"], "again": True, "url": i["link"], "snippet": i["body"], "cut": 400, "otherwise": F.array_join(tags, " "), "extra": F.struct(F.coalesce(i["score"], F.lit(0)).alias("score"), F.coalesce(i["is_answered"], F.lit(False)).alias("answered"), tags.alias("tags"))}
 
     return _hits(payloads, "stackexchange", _json(schema)["items"], make, limit)
 

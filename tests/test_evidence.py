@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import gzip
 import json
 import sys
@@ -354,3 +356,50 @@ def test_streams(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert spark.table("fresh").count() == 2 and {(r["engine_id"], r["hits"]) for r in spark.table("active").collect()} == {("e1", 2), ("e2", 1)}
+
+
+def test_settings_of_all_sections():
+    """Every section of a settings file reaches the run."""
+    own = session.read_config("""
+loop:
+  max_rounds: 3   # more
+  timeout: 9.5
+  cache: false
+  intent: null
+  engines: [github, arxiv]
+  exclude_engines: []
+deduplication:
+  title_similarity_threshold: 0.9
+  fingerprint_hamming_distance: 4
+  min_title_length: 8
+ranking:
+  relevance: 2.0
+  authority: high
+engine_weights:
+  arxiv: 0.5
+  bing_cn: null
+""")
+    c = session.Config.of_sections(own, {"breadth": 7, "timeout": None, "max_rounds": 1})
+    assert (c.max_rounds, c.breadth, c.timeout, c.cache, c.intent, c.engines, c.exclude_engines) == (1, 7, 9.5, False, None, ("github", "arxiv"), ())
+    assert (c.title_threshold, c.fingerprint_distance, c.weights, c.engine_weights) == (0.9, 4, {"relevance": 2.0}, {"arxiv": 0.5})
+    assert session.Config.of_sections({}) == session.Config.of_sections({"ranking": "x", "deduplication": {"title_similarity_threshold": "y"}}) == session.Config()
+
+
+def test_candidates_may_be_given(spark):
+    """BM25 over given candidates counts those without a term; without candidates all sources with a term are the collection."""
+    empty = ["", ["e"], "ok", ""]
+    corpus = spark.createDataFrame([(1, "u", "alpha", "alpha beta beta", *empty), (2, "u", "gamma", "delta", *empty), (3, "u", "beta", "alpha", *empty)], "sid long, url string, title string, content string, snippet string, engines array<string>, status string, published string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "qid long, query string")
+    given = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3)], "qid long, sid long")
+    own = lambda c: {(r["qid"], r["sid"]): r["bm25"] for r in ev.bm25(corpus, c, q).collect()}
+    free, chosen = own(None), own(given)
+    assert set(free) == {(1, 1), (1, 3), (2, 2)} and set(chosen) == {(1, 1), (1, 2), (2, 2), (2, 3)}
+    assert chosen[1, 2] == 0 == chosen[2, 3] and all(x > 0 for x in free.values())
+    texts = {1: ["alpha"] * 3 + ["alpha", "beta", "beta"], 2: ["gamma"] * 3 + ["delta"]}
+    average = (6 + 4) / 2
+
+    def part(term, sid, n=2):
+        f = texts[sid].count(term)
+        return math.log(1 + (n - 1 + 0.5) / 1.5) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(texts[sid]) / average))
+
+    assert math.isclose(chosen[1, 1], part("alpha", 1) + part("beta", 1), rel_tol=1e-12)
