@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,33 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(f):
+    """f of an Arrow table, in a worker that holds no more memory than it uses."""
+
+    def run(table):
+        sparing()
+        try:
+            return f(table)
+        finally:
+            del table
+            give_back()
+
+    return run
+
+
+def sparing() -> None:
+    """From now on large arrays of this process go back to the system as soon as they are freed."""
+    if put := getattr(ctypes.CDLL(None), "mallopt", None):
+        put(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,7 +7,7 @@ probabilities of a room sum to 1 over V + 1 words; a room that training has not
 
 Seating. In each sweep all customers of a dish (a word in a restaurant) leave and are seated again, one after another under
 the Chinese-restaurant rule (join a table: customers - discount * tables; open one: (strength + discount * all tables) *
-parent's probability), with the rest as the sweep before left it. Beyond the first 64 customers of a dish the number of those
+parent's probability), with the rest as the sweep before left it. Beyond the first 2**24 customers of a dish the number of those
 who join before the next table opens is drawn at once, by inversion of its distribution. Draws depend only on the word, the
 room and the sweep, so a lost task draws the same again. Discounts are n1 / (n1 + 2 n2) of a level's counts. After BURN_IN
 sweeps the predictive probabilities of SAMPLES sweeps are averaged. Their logs are summed to scores and give perplexities.
@@ -36,17 +36,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import INNER, forget, release, written
+from .common import INNER, forget, give_back, release, sparing, tidy, written
 
 BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
 LAST = BURN_IN + SAMPLES
 MOST_HEAD, MOST_PAIRS = 1 << 19, 1 << 20
-#: Customers of a dish that are seated with a draw each.
-ONE_BY_ONE = 64
+#: Customers of a dish that are seated together with those of other dishes; so many of one dish at once; and those with a draw each.
+ONE_BY_ONE, CHUNK, MOST_ALONE = 64, 1 << 16, 1 << 24
 #: One text in so many, by a hash, tells which rooms to split.
 HOT_SAMPLE = 64
-#: Tokens that a task sends at once.
-SENT = 1 << 20
+#: Tokens that a task counts at once, and those that it sends to be scored.
+AT_ONCE, SENT = 1 << 20, 1 << 18
+#: Log probabilities of pairs are kept in units of 1 / SCALE.
+SCALE = 100_000
 _U = np.uint64
 #: The end of a text as a word, and its start as a room.
 END, START = _U(0), _U(1)
@@ -55,6 +57,8 @@ BLOB = "part int, kind int, data binary, sums array<long>"
 #: part's state; tables of a part's rooms; of split rooms; a part's probabilities; those of frequent pairs; what rooms give; tokens
 #: with broadcast words, other tokens; documents' sums.
 COUNTED, PAIRS, ONES, TOLD, ANSWER, STATE, ROOMS, SPLIT, MODEL, FREQUENT, GIVEN, ASKED, OTHERS, SUMS = range(14)
+#: Answers, states and tables of sweep s have their kind plus s times this.
+KINDS = 16
 
 
 # ---- rows of arrays ---------------------------------------------------------------------------------------------------
@@ -94,9 +98,10 @@ def groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:b]
 
 
-def blobs(table: pa.Table, kind: int) -> Iterator[dict[str, np.ndarray]]:
+def blobs(table: pa.Table, kind: int, sweep: int = 0) -> Iterator[dict[str, np.ndarray]]:
+    """What rows of a kind hold; of a sweep, where sweeps have it."""
     for k, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-        if k == kind:
+        if k == kind + sweep * KINDS:
             yield unpacked(data.as_py())
 
 
@@ -169,10 +174,11 @@ def parts_of(docs: DataFrame, text: str) -> Parts:
 
 
 def _counted(shared, text: str):
-    """Pairs of training tokens, summed in the task over SENT tokens."""
+    """Pairs of training tokens, summed in the task over AT_ONCE tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting, size = shared.value, [], 0
+        sparing()
 
         def out() -> pa.RecordBatch:
             v = np.concatenate([x for x, _ in waiting])
@@ -196,30 +202,38 @@ def _counted(shared, text: str):
                 v, _, _, heads = laid_out(words.split(batch.column(text).slice(lo, hi - lo), lower=True))
                 waiting.append((v, heads + size))
                 size += len(v)
-                if size >= SENT:
+                if size >= AT_ONCE:
                     yield out()
                     waiting, size = [], 0
         if waiting:
             yield out()
+        del waiting
+        give_back()
 
     return run
 
 
 def _joined(table: pa.Table) -> pa.Table:
     """A part's pairs. PAIRS has its words and rooms, each with its tokens and its pairs of one token, and the pairs of more."""
-    own = list(blobs(table, COUNTED))
+    part, own = table.column("part")[0].as_py(), list(blobs(table, COUNTED))
+    del table
     u, iu = np.unique(np.concatenate([x["u"] for x in own]), return_inverse=True)
     w, iw = np.unique(np.concatenate([x["w"] for x in own]), return_inverse=True)
-    iu = np.repeat(iu, np.concatenate([x["size"] for x in own]))
+    iu = np.repeat(iu, np.concatenate([x.pop("size") for x in own]))
     offsets = np.cumsum([0, *(len(x["w"]) for x in own)])
-    iw = iw[np.concatenate([x["at"] + at for x, at in zip(own, offsets, strict=False)])]
-    pair, at = np.unique(iu * len(w) + iw, return_inverse=True)
-    n = np.bincount(at, np.concatenate([x["n"] for x in own]), len(pair)).astype(np.int64)
-    iu, iw = np.divmod(pair, len(w))
+    iu *= len(w)
+    iu += iw[np.concatenate([x.pop("at") + at for x, at in zip(own, offsets, strict=False)])]
+    n = np.concatenate([x.pop("n") for x in own])
+    del own, iw
+    order = np.argsort(iu)
+    iu, n = iu[order], n[order]
+    heads = np.flatnonzero(np.diff(iu, prepend=-1))
+    n = np.add.reduceat(n, heads)
+    iu, iw = np.divmod(iu[heads], len(w))
+    del order, heads
     one = n == 1
     count = lambda at, size, x=None: np.bincount(at, x, size).astype(np.int64)
     pairs = packed(u=u, w=w, customers=count(iu, len(u), n), count=count(iw, len(w), n), ones_u=count(iu[one], len(u)), ones_w=count(iw[one], len(w)), size=count(iu[~one], len(u)), at=iw[~one], n=n[~one])
-    part = table.column("part")[0].as_py()
     return rows_of([(part, PAIRS, pairs, [int(one.sum()), int((n == 2).sum())]), (part, ONES, packed(size=count(iu[one], len(u)), at=iw[one]), None)])
 
 
@@ -233,40 +247,50 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.91893853320467274 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
 
 
+def _draws(seeds, k) -> np.ndarray:
+    """One number between 0 and 1 for each seed and customer k."""
+    return ((words.mix(seeds + np.asarray(k, np.uint64) * words._STEP) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _seated_alone(made: float, customers: int, new: float, discount: float, seed: np.uint64) -> float:
+    """The customers of one dish after the first ONE_BY_ONE. Customer k opens a table if draw * (k - discount * tables + new) < new;
+    most cannot, however many tables there were by then, so the loop has little more turns than tables."""
+    for at in range(ONE_BY_ONE, customers, CHUNK):
+        k = np.arange(at, min(customers, at + CHUNK))
+        short = k + new - new / _draws(seed, k)  # a table opens if this is below discount * tables
+        most = made + len(k)
+        while (upper := made + np.count_nonzero(short < discount * most)) < most:
+            most = upper
+        for x in short[short < discount * most].tolist():
+            made += x < discount * made
+    return made
+
+
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
     """Tables of dishes with so many customers, where opening a table has weight `new`. seeds: 64 bits for each dish."""
     made = np.minimum(customers, 1).astype(np.float64)
-    on, n, later = np.flatnonzero(customers > 1), 1, []
-    draw = lambda at, k: ((words.mix(seeds[at] + _U(k * 0x9E3779B97F4A7C15 & words.MASK)) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-    while len(on):
-        if n >= ONE_BY_ONE:  # the weight of a new table is small by now, or else it waits
-            small = new[on] * 4 <= n
-            later.append((on[small], np.full(int(small.sum()), float(n))))
-            on = on[~small]
-        made[on] += draw(on, n) * (n - discount * made[on] + new[on]) < new[on]
-        n += 1
-        on = on[customers[on] > n]
-    on, at = (np.concatenate([x[i] for x in later]) for i in (0, 1)) if later else (on, on)
+    on = np.flatnonzero(customers > 1)
+    for n in range(1, ONE_BY_ONE):
+        if not len(on):
+            return made
+        made[on] += _draws(seeds[on], n) * (n - discount * made[on] + new[on]) < new[on]
+        on = on[customers[on] > n + 1]
+    for i in on.tolist():
+        made[i] = _seated_alone(made[i], min(int(customers[i]), MOST_ALONE), float(new[i]), discount, seeds[i])
+    on = on[customers[on] > MOST_ALONE]
+    at, n = np.full(len(on), float(MOST_ALONE)), MOST_ALONE
     while len(on):
         # k more join with probability G(a + k) G(a + b) / (G(a) G(a + k + b)); one opens a table after the last k with more than a draw.
         a, b, left = at - discount * made[on], new[on], customers[on] - at
-        u = draw(on, n)
-        goal = np.log(u) + log_gamma(a) - log_gamma(a + b)
+        goal = np.log(_draws(seeds[on], n)) + log_gamma(a) - log_gamma(a + b)
         above = lambda k: log_gamma(a + k) - log_gamma(a + k + b) > goal  # noqa: B023, E731
-        with np.errstate(over="ignore"):
-            k = np.minimum(np.floor((a + (b - 1) / 2) * np.expm1(-np.log(u) / np.maximum(b, 1e-300))), left)
-        kept = (k == left) & above(left)  # all join
-        off = ~kept & ~(above(k) & ~above(np.minimum(k + 1, left)) & (k < left))
-        if off.any():
-            low, high = np.zeros(len(on)), left.astype(np.float64)
-            kept |= off & above(high)
-            while (off & (high - low > 1)).any():
-                middle = np.floor((low + high) / 2)
-                up = above(middle)
-                low, high = np.where(up, middle, low), np.where(up, high, middle)
-            k = np.where(off, low, k)
+        low, high, kept = np.zeros(len(on)), left.astype(np.float64), above(left)
+        while (~kept & (high - low > 1)).any():
+            middle = np.floor((low + high) / 2)
+            up = above(middle)
+            low, high = np.where(up, middle, low), np.where(up, high, middle)
         made[on] += ~kept
-        at = at + k + 1
+        at = at + low + 1
         stay = ~kept & (at < customers[on])
         on, at, n = on[stay], at[stay], n + 1
     return made
@@ -304,22 +328,19 @@ class Part:
         self.iu, self.iw, self.n = np.repeat(np.arange(len(self.u)), x["size"]), x["at"], x["n"]
         self.home = list(groups(word_part(self.w, parts.n)))
         self.hot, self.is_hot = parts.split(self.u)
-        self.told: dict[int, list] = {}
-        for x in blobs(table, ANSWER):
-            self.told.setdefault(int(x["from"][1]), []).append(x)
 
     def answers(self, sweep: int, *names: str) -> tuple[np.ndarray, ...]:
         """What word parts answered in a sweep, for each of its words."""
         out = tuple(np.zeros(len(self.w), np.int64) for _ in names)
         where = dict(self.home)
-        for x in self.told[sweep]:
+        for x in blobs(self.table, ANSWER, sweep):
             for o, k in zip(out, names, strict=True):
                 o[where[int(x["from"][0])]] = x[k]
         return out
 
     def tables(self, sweep: int, split: np.ndarray) -> np.ndarray:
         """Tables of its rooms after a sweep; split rooms' ones are known to all."""
-        out = next(x["t"] for x in blobs(self.table, ROOMS) if x["sweep"][0] == sweep).copy()
+        out = next(blobs(self.table, ROOMS, sweep))["t"].copy()
         out[self.is_hot] = split[self.hot[self.is_hot]]
         return out
 
@@ -341,7 +362,7 @@ def _told(shared, sweep: int):
         part = table.column("part")[0].as_py()
         more = {} if sweep else {"count": own.count}
         out = [(q, TOLD, packed(w=own.w[at], c=dishes[at], source=np.array([part]), **{k: x[at] for k, x in more.items()}), None) for q, at in own.home]
-        out.append((part, ROOMS, packed(t=rooms, sweep=np.array([sweep])), None))
+        out.append((part, ROOMS + sweep * KINDS, packed(t=rooms), None))
         if len(parts.hot):
             on = np.flatnonzero(own.is_hot)
             sums = np.zeros((2, len(parts.hot)), np.int64)
@@ -349,7 +370,7 @@ def _told(shared, sweep: int):
             out.append((part, SPLIT, b"", sums.ravel().tolist()))
         return rows_of(out)
 
-    return run
+    return tidy(run)
 
 
 def _answered(shared, sweep: int):
@@ -358,7 +379,7 @@ def _answered(shared, sweep: int):
     def run(table: pa.Table) -> pa.Table:
         parts, before = shared.value
         kinds = table.column("kind").to_numpy()
-        passed = table.filter(pa.array((kinds == ROOMS) | (kinds == SPLIT)))
+        passed = table.filter(pa.array((kinds == ROOMS + sweep * KINDS) | (kinds == SPLIT)))
         own = list(blobs(table, TOLD))
         if not own:
             return passed
@@ -371,12 +392,12 @@ def _answered(shared, sweep: int):
         q, out, end = table.column("part")[0].as_py(), [], 0
         for x in own:
             mine = at[end : (end := end + len(x["w"]))]
-            out.append((int(x["source"][0]), ANSWER, packed(**{"from": np.array([q, sweep])}, **{k: s[mine] for k, s in state.items()}), None))
+            out.append((int(x["source"][0]), ANSWER + sweep * KINDS, packed(**{"from": np.array([q])}, **{k: s[mine] for k, s in state.items()}), None))
         known = [len(w), int(state["count"].sum())] if not sweep else [0, 0]
-        out.append((q, STATE, packed(w=w, sweep=np.array([sweep]), **state), [int(c.sum()), int(t.sum()), int((c == 1).sum()), int((c == 2).sum()), *known]))
+        out.append((q, STATE + sweep * KINDS, packed(**state, **({} if sweep else {"w": w})), [int(c.sum()), int(t.sum()), int((c == 1).sum()), int((c == 2).sum()), *known]))
         return pa.concat_tables([rows_of(out), passed])
 
-    return run
+    return tidy(run)
 
 
 def summed(rows: DataFrame, kind: int) -> np.ndarray:
@@ -401,7 +422,7 @@ class Fitted:
         """The parts' pairs with what those sweeps answered."""
         out = self.pairs.where(F.col("kind") == PAIRS)
         for s in sweeps:
-            out = out.union(self.sweeps[s].where(F.col("kind").isin(ANSWER, ROOMS)))
+            out = out.union(self.sweeps[s].where(F.col("kind").isin(ANSWER + s * KINDS, ROOMS + s * KINDS)))
         return out
 
 
@@ -409,7 +430,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Fitted:
     spark = docs.sparkSession
     parts = parts_of(docs, text_column)
     counted = docs.select(text_column).mapInArrow(_counted(spark.sparkContext.broadcast(parts), text_column), BLOB)
-    model = Fitted(parts, written(counted.groupBy("part").applyInArrow(_joined, BLOB), "pairs"))
+    model = Fitted(parts, written(counted.groupBy("part").applyInArrow(tidy(_joined), BLOB), "pairs"))
     release(spark)
     few = summed(model.pairs, PAIRS)
     for s in range(LAST + 1):
@@ -418,7 +439,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Fitted:
         done = written(told.groupBy("part").applyInArrow(_answered(shared, s), BLOB), "sweep")
         del told
         release(spark)
-        sums, split = summed(done, STATE), summed(done, SPLIT)
+        sums, split = summed(done, STATE + s * KINDS), summed(done, SPLIT)
         sums = sums if len(sums) else np.zeros(6, np.int64)
         if not s:
             v, model.tokens, discounts = int(sums[4]), int(sums[5]), (discount_of(*sums[2:4]), discount_of(*(few if len(few) else (0, 0))))
@@ -452,7 +473,7 @@ def _modelled(shared, least: int):
             q += (1 - d) / (customers[one_u] + STRENGTH) + room[one_u] * word[one_w]
             given.append(room)
         p, q = np.log10(p / SAMPLES), np.log10(q / SAMPLES)
-        iu, iw, lp = np.concatenate([own.iu, one_u]), np.concatenate([own.iw, one_w]), np.concatenate([p, q]).astype(np.float32)
+        iu, iw, lp = np.concatenate([own.iu, one_u]), np.concatenate([own.iw, one_w]), np.rint(np.concatenate([p, q]) * -SCALE).astype(np.int64)
         order = np.argsort(iu * len(own.w) + iw)
         part = table.column("part")[0].as_py()
         out = [(part, MODEL, packed(u=own.u, w=own.w, count=counts, size=own.size + ones["size"], at=iw[order], lp=lp[order]), None)]
@@ -462,7 +483,7 @@ def _modelled(shared, least: int):
         out += [(to, GIVEN, packed(u=own.u[at], room=given[at]), None) for to, at in groups(word_part(own.u, parts.n))]
         return rows_of(out)
 
-    return run
+    return tidy(run)
 
 
 def _types(shared):
@@ -470,7 +491,7 @@ def _types(shared):
 
     def run(table: pa.Table) -> pa.Table:
         levels = shared.value
-        states = {int(x["sweep"][0]): x for x in blobs(table, STATE)}
+        states = {s: x for s in (0, *range(BURN_IN + 1, LAST + 1)) for x in blobs(table, STATE, s)}
         rooms = list(blobs(table, GIVEN))
         w = states[0]["w"] if states else np.zeros(0, np.uint64)
         u, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x["u"] for x in rooms)]), return_index=True)
@@ -488,7 +509,7 @@ def _types(shared):
             c[at] = states[0]["count"]
         return pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(c), *(pa.array(x[:, i].astype(np.float32)) for x in (room, word) for i in range(SAMPLES))], ["h", "c", *_GIVES])
 
-    return run
+    return tidy(run)
 
 
 _GIVES = [f"{x}{i}" for x in ("room", "word") for i in range(SAMPLES)]
@@ -523,7 +544,7 @@ def probabilities(model: Fitted, most_pairs: int) -> tuple[DataFrame, DataFrame]
     release(spark)
     rows = done.where(F.col("kind") == GIVEN)
     for s in (0, *range(BURN_IN + 1, LAST + 1)):
-        rows = rows.union(model.sweeps[s].where(F.col("kind") == STATE))
+        rows = rows.union(model.sweeps[s].where(F.col("kind") == STATE + s * KINDS))
     schema = "h long, c long, " + ", ".join(f"{x} float" for x in _GIVES)
     types = written(rows.groupBy("part").applyInArrow(_types(spark.sparkContext.broadcast(model.levels)), schema), "types")
     for x in (model.pairs, model.sweeps[0], *model.sweeps[BURN_IN:]):
@@ -568,6 +589,7 @@ def _asked(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         waiting, size = [], 0
+        sparing()
 
         def out() -> pa.RecordBatch:
             doc, u, v, iu, iv, m, part = (np.concatenate(x) for x in zip(*waiting, strict=True))
@@ -615,6 +637,8 @@ def _asked(shared, text: str):
                     waiting, size = [], 0
         if waiting:
             yield out()
+        del waiting
+        give_back()
 
     return run
 
@@ -633,8 +657,8 @@ def _given(shared):
             return pa.Table.from_arrays([*rows.columns, *rest], [*rows.column_names, "doc", "u", "v", "m", "open"])
 
         out = [more(table.filter(pa.array(kinds == SUMS)))]
-        x = next(blobs(table, MODEL), None) or {k: np.zeros(0, np.uint64 if k in "uw" else np.float32 if k == "lp" else np.int64) for k in ("u", "w", "count", "size", "at", "lp")}
-        u, w, count, lp = x["u"], x["w"], x["count"], x["lp"]
+        x = next(blobs(table, MODEL), None) or {k: np.zeros(0, np.uint64 if k in "uw" else np.int64) for k in ("u", "w", "count", "size", "at", "lp")}
+        u, w, count, lp = x["u"], x["w"], x["count"], x["lp"] / -SCALE
         keys = np.repeat(np.arange(len(u)), x["size"]) * max(1, len(w)) + x["at"]
         of_u, of_w = known.place(known.h, u), known.place(known.h, w)
         docs, sums = [], []
@@ -657,7 +681,7 @@ def _given(shared):
             at, hit = found(known.place(x["u"], u), iw)
             size, m, told = len(x["docs"]), x["m"], hit & (x["open"] > 0)
             docs.append(x["docs"].view(np.int64))
-            sums.append((np.bincount(x["doc"][hit], m[hit] * lp[at[hit]].astype(np.float64), size), np.bincount(x["doc"][told], m[told] * (np.log10(count[iw[told]] + 1.0) - known.log_all), size), np.bincount(x["doc"][told], m[told], size)))
+            sums.append((np.bincount(x["doc"][hit], m[hit] * lp[at[hit]], size), np.bincount(x["doc"][told], m[told] * (np.log10(count[iw[told]] + 1.0) - known.log_all), size), np.bincount(x["doc"][told], m[told], size)))
             if not hit.all():
                 left = rows_of([(-1, OTHERS, None, None)] * int((~hit).sum()))
                 out.append(more(left, x["docs"].view(np.int64)[x["doc"][~hit]], x["u"][~hit].view(np.int64), x["v"][~hit].view(np.int64), m[~hit], x["open"][~hit] > 0))
@@ -668,7 +692,7 @@ def _given(shared):
             out.append(more(rows_of(_sums_to(known.parts.n, doc, rows=nobody, tokens=nobody, known=seen.astype(np.int64), base=base, s=s))))
         return pa.concat_tables(out).combine_chunks()
 
-    return run
+    return tidy(run)
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -705,6 +729,7 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     rows = asked.union(table.where(F.col("kind") == MODEL)).groupBy("part").applyInArrow(_given(shared), SCORED)
     rows = written(rows, "scored")
     forget(table)
+    shared.unpersist()
     del asked
     release(spark)
     # Unseen pairs with words beyond the broadcast: what the room and the word give comes by joins.
@@ -715,7 +740,7 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     p = sum((F.coalesce(F.col(f"room{i}").cast("double"), F.lit(1.0)) * F.coalesce(F.col(f"word{i}").cast("double"), F.lit(unknown[i])) for i in range(SAMPLES)), F.lit(0.0)) / SAMPLES
     seen, count = F.col("open").cast("int") * F.col("m"), F.coalesce("c", F.lit(0))
     met = met.select("doc", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("tokens"), F.when(count > 0, seen).otherwise(0).cast("long").alias("known"), (seen * (F.log10(count + 1.0) - log_all)).alias("base"), (F.col("m") * F.log10(p)).alias("s"))
-    totals = rows.where(F.col("kind") == SUMS).select("part", "kind", "data").groupBy("part").applyInArrow(_totals, "doc long, rows long, tokens long, known long, base double, s double")
+    totals = rows.where(F.col("kind") == SUMS).select("part", "kind", "data").groupBy("part").applyInArrow(tidy(_totals), "doc long, rows long, tokens long, known long, base double, s double")
     # Equal rows (same id and text) have equal sums; these are over all of them.
     every = totals.union(met).groupBy("doc").agg(*[F.sum(x).alias(x) for x in SUM_NAMES[1:]])
     each = lambda x: F.col(x) / F.col("rows")
