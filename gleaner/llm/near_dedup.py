@@ -228,8 +228,12 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     first = units.join(sizes, "unit").withColumn("block", turn(F.col("blocks")))
     first = first.withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     labels = components(links(first.withColumn("i", F.lit(0))))
-    wide = units.join(sizes.where("blocks > 1"), "unit").select("node")
-    by_bucket = active.select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit")).join(wide, "node")
+    # A bucket in more components than one has a node outside its family's largest component; only such buckets are looked at.
+    wide = units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label"))
+    main = wide.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "label")).alias("m"))
+    apart = written(wide.join(main, "unit").where(F.col("label") != F.col("m.label")).select("node"), "nodes-apart")
+    open_buckets = active.join(apart, "node").select("band", "bucket").distinct()
+    by_bucket = active.join(open_buckets, ["band", "bucket"]).select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit"))
     rest = written(by_bucket.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "buckets-open")
     most = rest.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
     most = most.select("unit", F.col("m.label").alias("main"), F.ceil(F.col("m.k") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("others"))
