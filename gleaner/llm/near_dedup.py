@@ -232,7 +232,7 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     wide = units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label"))
     main = wide.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "label")).alias("m"))
     apart = written(wide.join(main, "unit").where(F.col("label") != F.col("m.label")).select("node"), "nodes-apart")
-    open_buckets = active.join(apart, "node").select("band", "bucket").distinct()
+    open_buckets = written(active.join(apart, "node").select("band", "bucket").distinct(), "buckets-apart")
     by_bucket = active.join(open_buckets, ["band", "bucket"]).select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit"))
     rest = written(by_bucket.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "buckets-open")
     most = rest.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
@@ -251,10 +251,11 @@ def near_duplicates(docs: DataFrame, *, id_column="doc_id", text_column="text",
     """docs with class_id, class_size and kept (the first document of its class; one row even if rows repeat)."""
     made = ["class_id", "class_size", "kept"]
     docs = docs.drop(*made)
-    of = near_classes(docs, id_column=id_column, text_column=text_column, **options)
+    # Written, so that no aggregate shares a stage with a join by class, and Spark can split the rows of a large class.
+    of = written(near_classes(docs, id_column=id_column, text_column=text_column, **options), "near-classes")
+    first = written(of.where("class IS NOT NULL AND id <=> class_id").groupBy("class").agg(F.min("fp").alias("first_fp")), "near-first")
     # One row for each doc_id and text, then one kept row in each class.
     one = of.groupBy("id", "fp", "class").agg(F.min("class_id").alias("class_id"), F.min("class_size").alias("class_size"))
-    first = one.where("class IS NOT NULL AND id <=> class_id").groupBy("class").agg(F.min("fp").alias("first_fp"))
     one = one.join(first, "class", "left").select(
         F.col("id").alias(f"{INNER}id"), F.col("fp").alias(f"{INNER}f"), "class_id", "class_size", (F.col("class").isNull() | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("first_fp")))).alias("kept")
     )
