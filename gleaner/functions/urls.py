@@ -69,3 +69,13 @@ def same_site(a: Column, b: Column) -> Column:
     """Equal domains, or one a subdomain of the other."""
     under = lambda x, y: F.endswith(x, F.concat(F.lit("."), y))
     return (a != "") & (b != "") & ((a == b) | under(a, b) | under(b, a))
+
+
+def form_encoded(c: Column) -> Column:
+    """Percent-encoded UTF-8 for a form: letters, digits and _.-~ stay, a space is +."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def path_encoded(c: Column) -> Column:
+    """Percent-encoded UTF-8 that also keeps /; a space is %20."""
+    return F.replace(F.replace(form_encoded(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

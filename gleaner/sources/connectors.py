@@ -3,6 +3,7 @@ payloads(qid, query, body) and run anywhere; fetching is in fetch.py and needs a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import unescape
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, html, text, urls
+from . import fetch
 
 _ENGINE = {e[0]: e for e in fixed.ENGINES}
 
@@ -166,3 +168,23 @@ def parse_all(payloads: DataFrame, limit: int = 10) -> DataFrame:
         own = parse(payloads.where(F.col("engine_id") == e[0]), e[0], limit)
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def addresses(tasks: DataFrame, limit: int = fixed.DEFAULTS["per_engine"]) -> DataFrame:
+    """tasks(qid, engine_id, sent, ...) with url and headers: what to ask each engine for. Unknown engines get no row; a null text is an empty one."""
+    sent = _text(F.col("sent"))
+    # Plain words go to all fields of the one service whose queries name a field.
+    prefixed = F.when(F.substring_index(F.trim(sent), " ", 1).contains(":"), F.trim(sent)).otherwise(F.concat(F.lit("all:"), F.trim(sent)))
+    known = F.create_map(*[F.lit(x) for e, (a, most) in fixed.ENGINE_ADDRESSES.items() for x in (e, a.replace("{limit}", str(min(limit, most or limit))))])
+    heads = F.create_map(*[y for e, h in fixed.ENGINE_HEADERS.items() for y in (F.lit(e), F.create_map(*[F.lit(x) for kv in h.items() for x in kv]))])
+    form = urls.form_encoded(F.when(F.col("engine_id") == "arxiv", prefixed).otherwise(sent))
+    url = F.replace(F.replace(F.try_element_at(known, F.col("engine_id")), F.lit("{form}"), form), F.lit("{path}"), urls.path_encoded(sent))
+    none = F.create_map().cast("map<string,string>")
+    return tasks.withColumns({"url": url, "headers": F.coalesce(F.try_element_at(heads, F.col("engine_id")), none)}).where("url IS NOT NULL")
+
+
+def ask(tasks: DataFrame, store: Callable[[DataFrame, str], DataFrame], transport: Callable = fetch.default_transport, limit: int = fixed.DEFAULTS["per_engine"], min_interval: float = fixed.DEFAULTS["min_interval"]) -> DataFrame:
+    """tasks(qid, engine_id, sent, timeout) to the hits of their engines. store keeps the answers, which all parsers read; a failed request has no hits."""
+    wanted = addresses(tasks, limit)
+    got = fetch.fetch(wanted.select("url", "timeout", F.lit(False).alias("check_robots"), "headers"), transport, min_interval).where("error = ''").select("url", "body")
+    return parse_all(store(wanted.join(got, "url").select("qid", "engine_id", F.col("sent").alias("query"), "body"), "answers"), limit)

@@ -66,21 +66,21 @@ def decode(data: bytes, content_type: str = "") -> str:
     return data.decode("utf-8", "replace")
 
 
-def fetch_one(url: str, timeout: float, transport: Callable, retries: int = fixed.DEFAULTS["retries"], agent: str = "gleaner", sleep=time.sleep) -> dict:
+def fetch_one(url: str, timeout: float, transport: Callable, retries: int = fixed.DEFAULTS["retries"], agent: str = "gleaner", sleep=time.sleep, headers: dict | None = None) -> dict:
     out = {"url": url, "status": 0, "content_type": "", "body": "", "error": "", "ms": 0.0, "attempts": 0}
     if not url.lower().startswith(("http://", "https://")):
         return out | {"error": "scheme"}
-    began = time.monotonic()
+    began, sent = time.monotonic(), {"User-Agent": agent, "Accept-Encoding": "gzip, deflate"} | (headers or {})
     for attempt in range(retries + 1):
         out["attempts"] = attempt + 1
         try:
-            status, headers, data = transport(url, {"User-Agent": agent, "Accept-Encoding": "gzip, deflate"}, timeout)
-            kind = headers.get("content-type", "")
+            status, got, data = transport(url, sent, timeout)
+            kind = got.get("content-type", "")
             out |= {"status": status, "content_type": kind, "error": "" if 200 <= status < 400 else f"http {status}"}
             if any(b in kind for b in BINARY):
                 out |= {"error": "binary"}
             else:
-                out["body"] = decode(decompress(data, headers.get("content-encoding", "")), kind)
+                out["body"] = decode(decompress(data, got.get("content-encoding", "")), kind)
         except Exception as e:  # noqa: BLE001  one bad address must not end the batch
             out |= {"status": 0, "error": str(e)[:200] or type(e).__name__}
         if out["status"] != 429 and out["status"] < 500 and out["status"]:
@@ -105,7 +105,9 @@ def robots_allow(url: str, transport: Callable, known: dict, agent: str = "glean
 
 
 def fetch(requests: DataFrame, transport: Callable = default_transport, min_interval: float = fixed.DEFAULTS["min_interval"], partitions: int | None = None) -> DataFrame:
-    """requests(url, timeout double, check_robots boolean) to RESPONSE. Each address is fetched once."""
+    """requests(url, timeout double, check_robots boolean, and headers map<string,string> if they have it) to RESPONSE. Each address is fetched once."""
+    if "headers" not in requests.columns:
+        requests = requests.withColumn("headers", F.create_map().cast("map<string,string>"))
     spread = requests.dropDuplicates(["url"]).withColumn("host", urls.domain(F.col("url")))
     spread = (spread.repartition(partitions, "host") if partitions else spread.repartition("host")).sortWithinPartitions("host", "url")
 
@@ -121,11 +123,11 @@ def fetch(requests: DataFrame, transport: Callable = default_transport, min_inte
                 wait = min_interval - (time.monotonic() - last.get(r.host, -1e9))
                 if wait > 0:
                     time.sleep(wait)
-                rows.append(fetch_one(r.url, r.timeout, transport))
+                rows.append(fetch_one(r.url, r.timeout, transport, headers=dict(r.headers) if r.headers is not None else None))
                 last[r.host] = time.monotonic()
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESPONSE.split(", ")])
 
-    return spread.select("url", "timeout", "check_robots", "host").mapInPandas(run, RESPONSE)
+    return spread.select("url", "timeout", "check_robots", "headers", "host").mapInPandas(run, RESPONSE)
 
 
 def cached(requests: DataFrame, cache: DataFrame, now: float, ttl: float = fixed.DEFAULTS["cache_ttl"]) -> tuple[DataFrame, DataFrame]:

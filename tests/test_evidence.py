@@ -8,6 +8,7 @@ import gzip
 import json
 import sys
 import zlib
+from urllib.parse import parse_qs, quote, quote_plus, urlsplit
 
 import pytest
 from pyspark import cloudpickle
@@ -403,3 +404,31 @@ def test_candidates_may_be_given(spark):
         return math.log(1 + (n - 1 + 0.5) / 1.5) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(texts[sid]) / average))
 
     assert math.isclose(chosen[1, 1], part("alpha", 1) + part("beta", 1), rel_tol=1e-12)
+
+
+def test_addresses(spark):
+    odd = "a b/c*d~e&f=+%ä中 {limit} {path}"
+    tasks = spark.createDataFrame([(1, e[0], odd) for e in fixed.ENGINES] + [(2, "nobody", "x"), (3, "arxiv", "ti:x y"), (4, "brave", None), (5, "arxiv", " x y ")], "qid long, engine_id string, sent string")
+    got = {(r["qid"], r["engine_id"]): r for r in connectors.addresses(tasks, 30).collect()}
+    assert len(got) == len(fixed.ENGINES) + 3 and (2, "nobody") not in got
+    assert got[1, "brave"]["url"].endswith("?q=" + quote(odd)) and got[4, "brave"]["url"].endswith("?q=") and got[1, "bing_cn"]["url"].split("?")[1] == f"q={quote(odd)}&ensearch=0&count=20"
+    asked = {e: parse_qs(urlsplit(got[1, e]["url"]).query) for e in ("crossref", "github", "hackernews", "wikipedia_en")}
+    assert asked["crossref"]["query"] == [odd] and asked["crossref"]["rows"] == ["30"] and f"query={quote_plus(odd)}&" in got[1, "crossref"]["url"]
+    assert asked["github"]["per_page"] == ["20"] == asked["hackernews"]["hitsPerPage"] and asked["wikipedia_en"]["srprop"] == ["snippet|wordcount|timestamp"]
+    assert "search_query=ti%3Ax+y&" in got[3, "arxiv"]["url"] and "search_query=all%3Ax+y&" in got[5, "arxiv"]["url"]
+    assert got[1, "github"]["headers"] == {"Accept": "application/vnd.github+json"} and got[1, "brave"]["headers"] == {}
+
+
+def service(url, headers, timeout):
+    if "api.github.com" in url and headers.get("Accept", "").endswith("github+json"):
+        return 200, {"content-type": "application/json"}, json.dumps({"items": [{"full_name": "a/b", "html_url": "https://github.com/a/b", "description": "tool"}]}).encode()
+    if "cn.bing.com" in url:
+        return 200, {"content-type": "text/html"}, SERP.encode()
+    return 404, {}, b""
+
+
+def test_ask(spark):
+    tasks = spark.createDataFrame([(1, "github", "x", 1.0), (2, "github", "x", 1.0), (1, "bing_cn", "x", 1.0), (1, "brave", "x", 1.0)], "qid long, engine_id string, sent string, timeout double")
+    hits = connectors.ask(tasks, session.stored, service, 8, 0.0).collect()
+    assert sorted((r["qid"], r["engine_id"], r["url"]) for r in hits if r["engine_id"] == "github") == [(1, "github", "https://github.com/a/b"), (2, "github", "https://github.com/a/b")]
+    assert [r["position"] for r in hits if r["engine_id"] == "bing_cn"] == [1, 2] and len(hits) == 4
