@@ -50,7 +50,7 @@ def configured(args: argparse.Namespace):
     return Config.of_sections(found, vars(args))
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, transport=None) -> int:
     args = parser().parse_args(argv)
     if args.list_engines:
         for e in fixed.ENGINES:
@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(asdict(config), indent=2))
         return 0
     asked = [q.strip() for q in (sys.stdin if args.question == ["-"] else args.question) if q.strip()]
-    if not asked or not args.corpus:
+    if not asked:
         parser().print_usage(sys.stderr)
         return 2
     from pyspark.sql import SparkSession
@@ -70,14 +70,20 @@ def main(argv: list[str] | None = None) -> int:
     from .operators import evidence as ev
     from .operators import planning
     from .plans import inputs, report, session
+    from .sources import fetch
 
     spark = SparkSession.builder.appName("gleaner").getOrCreate()
-    q = spark.createDataFrame([(n, x) for n, x in enumerate(asked, 1)], "qid long, query string").withColumn("intent", ev.intent(F.col("query"), F.lit(config.intent).cast("string")))
-    corpus, empty = inputs.corpus(spark, args.corpus), F.array().cast("array<string>")
-    scored = ev.score_sources(corpus, None, q, config.now_year, config.weights).where(F.col("idx") <= config.fetch_top_k * config.max_rounds)
-    sources = scored.select("qid", "sid").join(corpus, "sid").withColumns({"queries": empty, "facets": empty})
-    done = session.finish(sources, q, config)
-    bundles = report.build_bundles(q, done["scored"], done["corpus"], done["summary"], done["quotes"], done["divergences"], done["coverage"], done["facets"], planning.plan(q, config.breadth))
+    q = spark.createDataFrame([(n, x) for n, x in enumerate(asked, 1)], "qid long, query string")
+    if args.corpus:
+        q = q.withColumn("intent", ev.intent(F.col("query"), F.lit(config.intent).cast("string")))
+        corpus, empty = inputs.corpus(spark, args.corpus), F.array().cast("array<string>")
+        scored = ev.score_sources(corpus, None, q, config.now_year, config.weights).where(F.col("idx") <= config.fetch_top_k * config.max_rounds)
+        sources = scored.select("qid", "sid").join(corpus, "sid").withColumns({"queries": empty, "facets": empty})
+        done = session.finish(sources, q, config) | {"plan": planning.plan(q, config.breadth)}
+    else:
+        done = session.search(spark, q, *session.web(config, transport or fetch.default_transport), config)
+        q = done["questions"]
+    bundles = report.build_bundles(q, done["scored"], done["corpus"], done["summary"], done["quotes"], done["divergences"], done["coverage"], done["facets"], done["plan"])
     render = {"markdown": report.as_markdown, "json": report.as_json, "brief": report.as_brief}[args.format]
     for row in bundles.orderBy("qid").toLocalIterator():
         bundle = row["bundle"].asDict(recursive=True)

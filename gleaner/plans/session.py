@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..operators import evidence as ev
 from ..operators import planning, selection
+from ..sources import connectors, fetch
 from .store import stored
 
 
@@ -136,6 +137,16 @@ def search(spark: SparkSession, questions: DataFrame, engine: Callable[[DataFram
     return {"questions": q, "plan": asked, "sources": sources, **finish(sources, q, config, store)}
 
 
+def web(config: Config, transport: Callable = fetch.default_transport) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """engine and pages of search(), over a transport."""
+
+    def pages(wanted: DataFrame) -> DataFrame:
+        requests = wanted.select("url", F.lit(config.timeout).alias("timeout"), F.lit(config.respect_robots).alias("check_robots"))
+        return stored(fetch.fetch(requests, transport, config.min_interval).where("error = ''").select("url", F.col("body").alias("html")), "pages")
+
+    return lambda tasks: stored(connectors.ask(tasks, stored, transport, config.per_engine, config.min_interval), "hits"), pages
+
+
 def fetched(ranked: DataFrame, pages: Callable[[DataFrame], DataFrame], config: Config) -> DataFrame:
     """Pages of the picked addresses, each fetched and extracted once, whatever the number of questions."""
     found = pages(ranked.select("url").distinct()).withColumn("a", html.articles(config.now_year)("html", "url")).select("url", F.lit(True).alias("fetched"), "a")

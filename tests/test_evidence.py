@@ -432,3 +432,19 @@ def test_ask(spark):
     hits = connectors.ask(tasks, session.stored, service, 8, 0.0).collect()
     assert sorted((r["qid"], r["engine_id"], r["url"]) for r in hits if r["engine_id"] == "github") == [(1, "github", "https://github.com/a/b"), (2, "github", "https://github.com/a/b")]
     assert [r["position"] for r in hits if r["engine_id"] == "bing_cn"] == [1, 2] and len(hits) == 4
+
+
+def web(url, headers, timeout):
+    if "bing.com/search" in url:
+        return 200, {"content-type": "text/html"}, SERP.encode()
+    if url.endswith("/robots.txt"):
+        return 404, {}, b""
+    if "example" in url:
+        return 200, {"content-type": "text/html"}, f"<html><head><title>Cells</title></head><body><article><h1>Cells</h1><p>{BODY}</p><p>{BODY}</p></article></body></html>".encode()
+    return 404, {}, b""
+
+
+def test_command_line_asks_engines(spark, tmp_path):
+    assert cli.main(["electrolyte of a solid cell", "-r", "1", "-b", "1", "--min-interval", "0", "-f", "json", "-o", str(tmp_path)], web) == 0
+    found = json.loads((tmp_path / "bundle.json").read_text())
+    assert found["sources"] and all("example" in s["url"] for s in found["sources"]) and found["summary"]
