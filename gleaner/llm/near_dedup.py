@@ -230,8 +230,10 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     labels = components(links(first.withColumn("i", F.lit(0))))
     # A bucket in more components than one has a node outside its family's largest component; only such buckets are looked at.
     wide = units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label"))
+    wide = written(wide, "families-wide")
     main = wide.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "label")).alias("m"))
-    apart = written(wide.join(main, "unit").where(F.col("label") != F.col("m.label")).select("node"), "nodes-apart")
+    main = written(main.select("unit", F.col("m.label").alias("main")), "families-main")
+    apart = written(wide.join(main, "unit").where("label <> main").select("node"), "nodes-apart")
     open_buckets = written(active.join(apart, "node").select("band", "bucket").distinct(), "buckets-apart")
     by_bucket = active.join(open_buckets, ["band", "bucket"]).select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit"))
     rest = written(by_bucket.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "buckets-open")
