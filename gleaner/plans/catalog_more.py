@@ -13,7 +13,7 @@ from ..operators import planning, selection
 from ..sources import connectors
 from . import inputs as i
 from . import report
-from .catalog import best_sources, query
+from .catalog import _BEST, best_sources, query
 
 # ---- connectors -------------------------------------------------------------------------------------------------------
 
@@ -167,8 +167,12 @@ def plan_benchmark(spark, sf_dir):
     return planning.plan(i.questions(spark, sf_dir).withColumn("intent", ev.intent(F.col("query"))))
 
 
-@query()
+@query(_BEST + f""", w AS (SELECT qid, unnest(l) AS term, unnest(range(len(l))) AS p FROM (SELECT qid, list_transform(regexp_extract_all(content, '{fixed.LATIN_WORD}'), lambda x: lower(x)) AS l FROM best)),
+c AS (SELECT qid, term, count(*) AS times, min(p) AS first FROM w WHERE length(term) >= 4 AND NOT list_contains({i.STOP}, term) GROUP BY ALL), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY times DESC, first, term) <= 6),
+own AS (SELECT DISTINCT qid, unnest({i.sql_tokens('query')}) AS term FROM questions), k AS (SELECT f.* FROM f ANTI JOIN own ON f.qid = own.qid AND f.term = own.term WHERE times >= 2)
+SELECT qid, string_agg(term, ',' ORDER BY length(term) DESC, times DESC, term) AS terms FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.qid = k.qid AND o.term <> k.term AND contains(o.term, k.term)) GROUP BY qid""")
 def salient_terms(spark, sf_dir):
+    """The SQL is that of texts without CJK runs, as all of the tables' are; terms of such runs are discover_terms'."""
     q = i.questions(spark, sf_dir)
     found = planning.salient_terms(_sources(spark, sf_dir).select("qid", F.col("content").alias("text")), q)
     return found.select("qid", F.array_join("terms", ",").alias("terms"))
