@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -32,8 +33,10 @@ class Page(HTMLParser):
         self.tag, self.attrs, self.parent, self.end = ["#document"], [{}], [-1], [0]
         self.text_from, self.text_to, self.pieces = [0], [0], []
         self.flow: list[tuple[str, int]] = []  # open, text and close in order
+        self.flow_from, self.flow_to = [0], [0]
         self.open, self.skipping = [0], 0
         self.gone: set[int] = set()
+        self.cuts: list[int] = []  # those of gone in document order
         try:
             self.feed(source or "")
             self.close()
@@ -57,6 +60,8 @@ class Page(HTMLParser):
         self.end.append(k + 1)
         self.text_from.append(len(self.pieces))
         self.text_to.append(len(self.pieces))
+        self.flow_from.append(len(self.flow))
+        self.flow_to.append(len(self.flow) + 1)
         self.flow.append(("open", k))
         if tag in _VOID:
             self.flow.append(("close", k))
@@ -90,7 +95,7 @@ class Page(HTMLParser):
         """Closes all open nodes from this depth on."""
         while len(self.open) > at:
             k = self.open.pop()
-            self.end[k], self.text_to[k] = len(self.tag), len(self.pieces)
+            self.end[k], self.text_to[k], self.flow_to[k] = len(self.tag), len(self.pieces), len(self.flow)
             self.flow.append(("close", k))
 
     # reading
@@ -119,17 +124,25 @@ class Page(HTMLParser):
             n = self.end[n]
 
     def text(self, k: int) -> str:
-        cut = sorted((self.text_from[n], self.text_to[n]) for n in self.gone if k < n < self.end[k])
+        if len(self.cuts) != len(self.gone):
+            self.cuts = sorted(self.gone)
         out, at = [], self.text_from[k]
-        for a, b in cut:
-            out += self.pieces[at:a]
-            at = max(at, b)
+        for n in self.cuts[bisect_right(self.cuts, k) : bisect_left(self.cuts, self.end[k])]:
+            out += self.pieces[at : self.text_from[n]]
+            at = max(at, self.text_to[n])
         return squeeze(" ".join(out + self.pieces[at : self.text_to[k]]))
 
     def above(self, k: int):
         while (k := self.parent[k]) >= 0:
             yield k
 
+    def depth(self, k: int) -> int:
+        return sum(1 for _ in self.above(k))
+
+    def named(self, tag: str, root: int = 0) -> list[int]:
+        """The root's descendants with this tag, in document order."""
+        return [n for n in self.inside(root) if self.tag[n] == tag]
+
     def links(self, k: int) -> float:
         """The share of a node's text that is in links; 1 without text."""
         n = len(self.text(k))
@@ -138,9 +151,9 @@ class Page(HTMLParser):
     def layout(self, k: int) -> str:
         """Text with paragraphs: blocks apart, list items on lines of their own."""
         out: list[str] = []
-        skip_to, end_at = -1, self.flow.index(("close", k))
+        skip_to, end_at = -1, self.flow_to[k]
         gap = lambda: out.append("\n\n") if out and not out[-1].endswith("\n\n") else None
-        for what, n in self.flow[self.flow.index(("open", k)) if k else 0 : end_at + 1]:
+        for what, n in self.flow[self.flow_from[k] : end_at + 1]:
             if skip_to >= 0:
                 if what == "close" and n == skip_to:
                     skip_to = -1
@@ -491,6 +504,22 @@ def selected(selector: str):
     return run
 
 
+def nodes():
+    """Column function html to the page's node table in document order; node 0 is the document, whose parent is -1."""
+
+    @F.pandas_udf("array<struct<node int, parent int, depth int, tag string, attrs map<string, string>, text string>>")
+    def run(source: pd.Series) -> pd.Series:
+        tables = []
+        for p in map(Page, source):
+            depth = [0]
+            for up in p.parent[1:]:
+                depth.append(depth[up] + 1)
+            tables.append([{"node": k, "parent": p.parent[k], "depth": depth[k], "tag": p.tag[k], "attrs": p.attrs[k], "text": p.text(k)} for k in range(len(p.tag))])
+        return pd.Series(tables)
+
+    return run
+
+
 def result_hits(engine_id: str, limit: int = 10):
     """Column function html to the hits of an engine's result page."""
     parse = {"bing_cn": bing_results, "bing_intl": bing_results, "baidu": baidu_results}.get(engine_id, lambda s, n: results(s, fixed.OWN_SITES.get(engine_id, ()), n))

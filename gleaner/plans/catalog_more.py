@@ -109,6 +109,13 @@ def css_select(spark, sf_dir):
     return pages.select("page_id", "pos", "n.tag", F.col("n.attrs")["href"].alias("href"), "n.text")
 
 
+@query()
+def html_nodes(spark, sf_dir):
+    """The pages as one node table."""
+    pages = i.read(spark, sf_dir, "pages").select("page_id", F.explode(html.nodes()("html")).alias("n"))
+    return pages.select("page_id", "n.node", "n.parent", "n.depth", "n.tag", F.col("n.attrs")["class"].alias("class"), F.md5("n.text").alias("text"))
+
+
 RESULT_PAGE = """<html><body><div id="nav"><a href="https://x.example.com/">首页</a></div><ol id="b_results"><li class="b_algo"><h2><a href="https://example.com/a?x=1">A good headline: part one</a></h2><div class="b_caption"><p>A snippet that says what the page is about, in some words.</p></div></li>
 <li class="b_algo"><h2><a href="https://www.bing.com/ck/a?!&amp;u=a1aHR0cHM6Ly9leGFtcGxlLm9yZy9i">Second headline of the list</a></h2><div class="b_caption"><p>Another snippet, again with a number of words in it.</p></div></li></ol><footer><a href="https://example.net/privacy">Privacy policy of the site</a></footer></body></html>"""
 

@@ -130,6 +130,16 @@ def fetch(requests: DataFrame, transport: Callable = default_transport, min_inte
     return spread.select("url", "timeout", "check_robots", "headers", "host").mapInPandas(run, RESPONSE)
 
 
+def fetch_json(requests: DataFrame, transport: Callable = default_transport, **options) -> DataFrame:
+    """fetch() of addresses that answer in JSON: RESPONSE and value, a variant; null where the answer is an error or no JSON."""
+    asks = F.create_map(F.lit("Accept"), F.lit("application/json, text/plain, */*"))
+    if "headers" in requests.columns:  # the request's own win
+        own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+        asks = F.map_concat(F.map_filter(asks, lambda k, _: ~F.map_contains_key(own, k)), own)
+    got = fetch(requests.withColumn("headers", asks), transport, **options)
+    return got.withColumn("value", F.when(F.col("error") == "", F.try_parse_json("body")))
+
+
 def cached(requests: DataFrame, cache: DataFrame, now: float, ttl: float = fixed.DEFAULTS["cache_ttl"]) -> tuple[DataFrame, DataFrame]:
     """Requests that the cache(url, ts, body) answers, with the newest body, and those that must be fetched."""
     live = cache.where(F.col("ts") >= now - ttl).groupBy("url").agg(F.max_by("body", "ts").alias("body"))

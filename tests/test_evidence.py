@@ -57,6 +57,22 @@ def test_tolerant_parser():
         html.Page(broken)
 
 
+def test_node_table(spark):
+    source = "<div class='x'>one<p>two <b>three</b></p><br></div><p>four</p>"
+    p = html.Page(source)
+    assert [p.text(k) for k in p.named("p")] == ["two three", "four"] and p.named("p", p.named("p")[0]) == [] and [p.depth(k) for k in p.named("b")] == [3]
+    rows = spark.createDataFrame([(source,), (None,)], "html string").select(F.posexplode(html.nodes()("html")).alias("k", "n")).select("n.*").collect()
+    got = [(r["node"], r["parent"], r["depth"], r["tag"], r["text"]) for r in rows]
+    assert got[:6] == [(0, -1, 0, "#document", "one two three four"), (1, 0, 1, "div", "one two three"), (2, 1, 2, "p", "two three"), (3, 2, 3, "b", "three"), (4, 1, 2, "br", ""), (5, 0, 1, "p", "four")]
+    assert got[6:] == [(0, -1, 0, "#document", "")] and rows[1]["attrs"] == {"class": "x"}
+
+
+def test_removed_nodes_leave_the_text():
+    p = html.Page("<div>a<nav>b<i>c</i></nav>d<i>e</i></div><p>f</p>")
+    p.gone.update([*p.named("nav"), *p.named("i")])
+    assert p.text(0) == "a d f" and p.text(1) == "a d" and p.layout(1) == "ad"
+
+
 def test_article():
     a = html.article(ARTICLE, "https://x.example.com", 2026)
     assert (a.title, a.published, a.author, a.lang, a.extractor) == ("固态电池的进展", "2025-06-07", "Ann Lee", "zh-CN", "semantic")
@@ -271,6 +287,17 @@ def test_fetch_rows(spark):
     assert [r["body"] for r in hit.collect()] == ["new"] and [r["url"] for r in miss.collect()] == ["https://h1.org/b"]
 
 
+def test_fetch_json(spark):
+    def answer(url, headers, timeout):
+        assert headers["Accept"] == ("text/x" if url.endswith("own") else "application/json, text/plain, */*")
+        return (500 if url.endswith("error") else 200), {"content-type": "application/json"}, b"no json" if url.endswith("broken") else b'{"a": [1, {"b": "x"}]}'
+
+    rows = [(f"https://h.org/{p}", 1.0, False, {"Accept": "text/x"} if p == "own" else None) for p in ("good", "own", "broken")]
+    got = fetch.fetch_json(spark.createDataFrame(rows, "url string, timeout double, check_robots boolean, headers map<string,string>"), answer, min_interval=0.0)
+    found = {r["url"][14:]: r["b"] for r in got.select("url", F.variant_get("value", "$.a[1].b", "string").alias("b")).collect()}
+    assert found == {"good": "x", "own": "x", "broken": None}
+
+
 def test_data_source(spark):
     spark.dataSource.register(fetch.Addresses)
     got = spark.read.format("gleaner_urls").option("urls", "ftp://a/x\nfile:///b").load().collect()
