@@ -14,6 +14,7 @@ from ..sources import connectors
 from . import inputs as i
 from . import report
 from .catalog import _BEST, best_sources, query
+from .store import stored
 
 # ---- connectors -------------------------------------------------------------------------------------------------------
 
@@ -198,9 +199,9 @@ def follow_up(spark, sf_dir):
 @query()
 def evidence_bundle(spark, sf_dir):
     corpus, q = i.corpus(spark, sf_dir), i.questions(spark, sf_dir).withColumn("intent", ev.intent(F.col("query")))
-    scored = ev.score_sources(corpus, None, q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]).persist()
-    best = scored.select("qid", "sid", "idx", "score").join(corpus, "sid").persist()  # max_sources rows for each question
-    summary = selection.extractive_summary(best, q).persist()
+    scored = stored(ev.score_sources(corpus, None, q, i.NOW_YEAR).where(F.col("idx") <= fixed.DEFAULTS["max_sources"]), "scored")
+    best = stored(scored.select("qid", "sid", "idx", "score").join(corpus, "sid"), "best")  # max_sources rows for each question
+    summary = stored(selection.extractive_summary(best, q), "summary")
     full = best.where(F.length("content") >= 200).withColumnRenamed("content", "text")
     bundles = report.build_bundles(q, scored, corpus, summary, selection.select_quotes(best, q), ev.divergences(summary), ev.coverage_report(best, i.NOW_YEAR), ev.facet_coverage(full), planning.plan(q))
     return bundles.select("qid", F.to_json("bundle").alias("bundle"))
