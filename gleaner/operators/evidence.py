@@ -224,33 +224,48 @@ def score_sources(corpus: DataFrame, candidates: DataFrame | None, questions: Da
 # ---- fingerprints and near duplicates ---------------------------------------------------------------------------------
 
 
-def simhash(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, fingerprint): a long whose bits are the majority of the tokens' hash bits, weighted by frequency."""
-    each = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("w"))
+def token_prints(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, fingerprint) of keys with tokens: a long whose bits are the majority of the tokens' hash bits, weighted by frequency.
+
+    Each occurrence of a token votes, so that the votes of a key are summed in the task that reads its rows. Ones are counted in
+    32 longs, bit b in the lower and bit b + 32 in the upper half of one: right for keys of fewer than 2^32 tokens."""
     hi, lo = text.token_bits(F.col("token"))
-    each = each.select(key, "w", hi.alias("hi"), lo.alias("lo"))
-    vote = lambda c, bit: F.sum(F.when(F.col(c).bitwiseAND(1 << bit) != 0, F.col("w")).otherwise(-F.col("w")))
-    sums = each.groupBy(key).agg(*[vote("lo", b).alias(f"b{b}") for b in range(32)], *[vote("hi", b).alias(f"b{b + 32}") for b in range(32)])
+    each = df.select(key, F.explode(tokens).alias("token")).select(key, F.shiftleft(hi, 32).bitwiseOR(lo).alias("hash"))
+    ones = lambda b: F.sum(F.shiftrightunsigned("hash", b).bitwiseAND(F.lit(1 << 32 | 1)))
+    sums = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[ones(b).alias(f"b{b}") for b in range(32)])
     bits = F.lit(0).cast("long")
     for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
-    return df.select(key).distinct().join(sums, key, "left").select(key, F.when(F.col("b0").isNull(), 0).otherwise(bits).cast("long").alias("fingerprint"))
+        half = F.col(f"b{b}").bitwiseAND(F.lit((1 << 32) - 1)) if b < 32 else F.shiftrightunsigned(f"b{b - 32}", 32)
+        bits = bits.bitwiseOR(F.when(2 * half > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    return sums.select(key, bits.alias("fingerprint"))
+
+
+def simhash(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, fingerprint) of all keys: 0 without tokens."""
+    return df.select(key).distinct().join(token_prints(df, key, tokens), key, "left").select(key, F.coalesce("fingerprint", F.lit(0).cast("long")).alias("fingerprint"))
 
 
 def near_pairs(prints: DataFrame, distance: int = 6, equal: int = 3) -> DataFrame:
-    """Pairs (a, b) of different fingerprints at most `distance` bits apart, a < b. prints(fingerprint): distinct values.
+    """Pairs (a, b) of different fingerprints at most `distance` bits apart, a < b, and their distance. prints(fingerprint, ...):
+    distinct values; other columns come along as a_<column> and b_<column>.
 
     Of distance + equal blocks of bits at least `equal` are the same, so choices of so many blocks are join keys and no pair is
-    lost. A key has 64 * equal / (distance + equal) bits: more equal blocks give fewer chance candidates and more keys."""
+    lost. A pair is taken at the choice of its first equal blocks only, so it comes once and no candidates are gathered. A key
+    has 64 * equal / (distance + equal) bits: more equal blocks give fewer chance candidates and more keys."""
     blocks = distance + equal
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    f = F.col("fingerprint")
+    f, more = F.col("fingerprint"), [c for c in prints.columns if c != "fingerprint"]
+    signed = lambda m: F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")
     masks = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), f.bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen))).cast("long")).alias("v")) for k, chosen in enumerate(combinations(range(blocks), equal))])
-    banded = prints.select(f.alias("f"), F.explode(keys).alias("x")).select("f", "x.k", "x.v")
-    other = banded.select(F.col("f").alias("g"), "k", "v")
-    return banded.join(other, ["k", "v"]).where((F.col("f") < F.col("g")) & (text.hamming(F.col("f"), F.col("g")) <= distance)).select(F.col("f").alias("a"), F.col("g").alias("b")).distinct()
+    keys = F.array(*[F.struct(F.lit(sum(1 << i for i in chosen)).alias("k"), f.bitwiseAND(signed(sum(masks[i] for i in chosen))).alias("v")) for chosen in combinations(range(blocks), equal)])
+    side = lambda c: prints.select(f.alias(c), *[F.col(m).alias(f"{c}_{m}") for m in more], F.explode(keys).alias("x")).select(c, *[f"{c}_{m}" for m in more], "x.k", "x.v")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    others = F.col("k")  # the equal blocks that the key leaves out: none may come before its last one
+    for i, m in enumerate(masks):
+        others = others.bitwiseXOR(F.when(apart.bitwiseAND(signed(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
+    first = (others == 0) | (others.bitwiseAND(-others) > F.col("k"))
+    pairs = side("a").join(side("b"), ["k", "v"]).where((F.col("a") < F.col("b")) & (text.hamming(F.col("a"), F.col("b")) <= distance)).where(first)
+    return pairs.select("a", "b", *[f"{c}_{m}" for m in more for c in "ab"], text.hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 # ---- coverage ---------------------------------------------------------------------------------------------------------

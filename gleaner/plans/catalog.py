@@ -449,22 +449,17 @@ v AS (SELECT doc_id, b, sum(CASE WHEN ((CASE WHEN b < 32 THEN lo ELSE hi END) >>
 p AS (SELECT doc_id, (sum(CASE WHEN one AND b < 63 THEN (1::HUGEINT << b) WHEN one THEN -(1::HUGEINT << 63) ELSE 0 END))::BIGINT AS fingerprint FROM v GROUP BY doc_id)"""
 
 
-def _prints(spark, sf_dir) -> DataFrame:
-    return ev.simhash(i.read(spark, sf_dir, "documents"), "doc_id", text.content_tokens(F.col("text")))
-
-
 @query(f"WITH {_PRINTS} SELECT d.doc_id, coalesce(fingerprint, 0)::BIGINT AS fingerprint FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN p ON d.doc_id = p.doc_id")
 def simhash_documents(spark, sf_dir):
-    return _prints(spark, sf_dir)
+    return ev.simhash(i.read(spark, sf_dir, "documents"), "doc_id", text.content_tokens(F.col("text")))
 
 
 @query(f"WITH {_PRINTS}, c AS (SELECT fingerprint AS f, min(doc_id) AS first, count(*) AS n FROM p WHERE fingerprint <> 0 GROUP BY 1) SELECT least(a.first, b.first) AS a, greatest(a.first, b.first) AS b, bit_count(xor(a.f, b.f))::INT AS distance FROM c a JOIN c b ON a.f < b.f WHERE bit_count(xor(a.f, b.f)) <= 6")
 def near_dup_pairs(spark, sf_dir):
     """Pairs of different fingerprints within distance 6, each shown by its first document; equal ones are one class."""
-    classes = _prints(spark, sf_dir).where("fingerprint <> 0").groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    pairs = ev.near_pairs(classes.select("fingerprint"))
-    a, b = classes.toDF("a", "fa"), classes.toDF("b", "fb")
-    return pairs.join(a, "a").join(b, "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), text.hamming(F.col("a"), F.col("b")).alias("distance"))
+    prints = ev.token_prints(i.read(spark, sf_dir, "documents"), "doc_id", text.content_tokens(F.col("text")))
+    pairs = ev.near_pairs(prints.where("fingerprint <> 0").groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    return pairs.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"), "distance")
 
 
 # ---- terms, sentences, divergences ------------------------------------------------------------------------------------

@@ -130,6 +130,40 @@ def test_near_pairs_same_as_brute_force(spark):
     assert {(r["a"], r["b"]) for r in got} == want and want
 
 
+def test_near_pairs_come_once(spark):
+    """Each pair once, with its columns, and without gathering candidates: the driver and disks never see more than keys and pairs."""
+    import random
+
+    rng = random.Random(2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    every = sorted({signed(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4)))) for b in [rng.getrandbits(64) for _ in range(9)] for _ in range(12)})
+    prints = spark.createDataFrame([(x, f"n{i}") for i, x in enumerate(every)], "fingerprint long, name string")
+    for distance, equal in ((6, 3), (4, 2), (1, 1)):
+        want = sorted((a, b, f"n{i}", f"n{j}", d) for i, a in enumerate(every) for j, b in enumerate(every) if i < j and (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= distance)
+        pairs = ev.near_pairs(prints, distance, equal)
+        assert sorted(tuple(r) for r in pairs.select("a", "b", "a_name", "b_name", "distance").collect()) == want and want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Join") == 1
+
+
+def test_near_dup_pairs_same_as_sql_on_odd_rows(spark, tmp_path):
+    """Rows without doc_id, repeated doc_ids, texts without tokens, one text often."""
+    import duckdb
+
+    from gleaner.plans import catalog
+
+    long = " ".join(f"word{i} term{i % 7}" for i in range(60))
+    docs = [(None, long + " beta beta gamma"), (1, long), (2, long + " alpha"), (2, "gamma"), (3, long), (4, ""), (5, None), (6, "the of 12"), (7, long + " delta delta")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("near_dup_pairs", "simhash_documents"):
+        got, want = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.SQL[name]).fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 2
+    plan = catalog.QUERIES["near_dup_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # of fingerprints with fingerprints; no pairs with documents
+
+
 def test_addresses(spark):
     n = lambda u: one(spark, urls.normalize, u)
     assert n("http://www.Example.com/a/b/?utm_source=x&id=2#top") == "https://example.com/a/b?id=2" and n("https://example.com") == "https://example.com/" and n("") == ""
