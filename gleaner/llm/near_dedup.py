@@ -10,8 +10,10 @@ Documents with equal word sequences are one node, whose documents are counted, n
 share a bucket; at similarity 0.8 two nodes share none with probability (1 - 0.8**6)**36 < 2e-5. Nodes connected by buckets are
 a family. Pairs are verified exactly, in tiles of two blocks of about BLOCK nodes each, in two rounds: first each block of a
 family with its first one, which connects most near copies; then, of each bucket that this left in more components than one, the
-blocks of nodes outside the largest component with all blocks. So all pairs of a bucket are compared or connected, whatever the
-size of the family; a task holds one tile, and a tile gives at most a link for each node. Texts of any length are taken whole.
+blocks of nodes outside the largest component with all blocks. Nodes of a large family share many buckets: where it takes fewer
+rows the family is taken as one unit instead, once for all of its buckets. So all pairs of a bucket are compared or connected,
+whatever the size of the family; a task holds one tile, and a tile gives at most a link for each node. Nodes that are really
+apart are to be compared pair by pair: o such ones of a unit with n nodes take some 2 o n / BLOCK rows. Texts are taken whole.
 
 Components are found by hooking, pointer jumping and contraction over written tables. Nothing of all documents is collected.
 
@@ -228,21 +230,31 @@ def near_classes(docs: DataFrame, *, id_column="doc_id", text_column="text", sim
     first = units.join(sizes, "unit").withColumn("block", turn(F.col("blocks")))
     first = first.withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     labels = components(links(first.withColumn("i", F.lit(0))))
-    # A bucket in more components than one has a node outside its family's largest component; only such buckets are looked at.
+    def measures(rows: DataFrame) -> DataFrame:
+        """Of units (unit, node, label) in several components: the largest one, its blocks and those of the others, and how many rows tiles of the others with all have."""
+        most = rows.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
+        most = most.select("unit", "n", F.col("m.k").alias("k"), F.col("m.label").alias("main"), F.ceil(F.col("m.k") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("others"))
+        return most.withColumn("cost", F.col("k") * F.col("others") + (F.col("n") - F.col("k")) * (F.col("others") + F.col("mains") - 1))
+
     wide = units.join(sizes.where("blocks > 1"), "unit").join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label"))
     wide = written(wide, "families-wide")
-    main = wide.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max(F.struct("k", "label")).alias("m"))
-    main = written(main.select("unit", F.col("m.label").alias("main")), "families-main")
-    apart = written(wide.join(main, "unit").where("label <> main").select("node"), "nodes-apart")
-    open_buckets = written(active.join(apart, "node").select("band", "bucket").distinct(), "buckets-apart")
-    by_bucket = active.join(open_buckets, ["band", "bucket"]).select("node", F.concat_ws(":", "band", "bucket").cast("binary").alias("unit"))
-    rest = written(by_bucket.join(labels, "node", "left").select("unit", "node", F.coalesce("label", "node").alias("label")), "buckets-open")
-    most = rest.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("m")).where("m.k < n")
-    most = most.select("unit", F.col("m.label").alias("main"), F.ceil(F.col("m.k") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("others"))
-    most = written(most, "units-most")
-    if most.limit(1).count():
-        both = rest.join(most, "unit").withColumn("in", F.col("label") == F.col("main")).withColumn("block", F.when(F.col("in"), F.col("others") + turn(F.col("mains"))).otherwise(turn(F.col("others"))))
-        both = both.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    families = written(measures(wide), "families-most")
+    if families.limit(1).count():
+        # A bucket in several components has a node outside its family's largest one; only such buckets are looked at.
+        apart = written(wide.join(families.select("unit", "main"), "unit").where("label <> main").select("node"), "nodes-apart")
+        open_buckets = written(active.join(apart, "node").select("band", "bucket").distinct(), "buckets-apart")
+        rest = active.join(open_buckets, ["band", "bucket"]).select(F.concat_ws(":", "band", "bucket").cast("binary").alias("unit"), "node")
+        rest = written(rest.join(wide.select("node", F.col("unit").alias("family"), "label"), "node", "left"), "buckets-open")
+        most = written(measures(rest), "units-most")
+        # The others of each bucket with the whole bucket; or once those of a family with the family, where that takes fewer rows.
+        in_buckets = rest.select("unit", "family").distinct().join(most, "unit").groupBy("family").agg(F.sum("cost").alias("total"))
+        whole = families.select(F.col("unit").alias("family"), "cost").join(in_buckets, "family").where("cost < total").select("family")
+        whole = written(whole, "families-whole")
+        rest = rest.join(whole, "family", "left_anti").select("unit", "node", "label").unionByName(wide.join(whole.select(F.col("family").alias("unit")), "unit"))
+        both = rest.join(most.unionByName(families), "unit").withColumn("in", F.col("label") == F.col("main")).withColumn("block", F.when(F.col("in"), F.col("others") + turn(F.col("mains"))).otherwise(turn(F.col("others"))))
+        # A tile compares each of its two blocks with itself too.
+        parts = F.filter(F.sequence(F.lit(0), F.when(F.col("in"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1), lambda w: w != F.col("block"))
+        both = both.withColumn("with", F.explode(parts))
         labels = components(links(both.select("unit", "node", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))), labels)
     known = written(signed.select("id", "fp", "node").join(labels, "node", "left").select("id", "fp", "node", F.coalesce("label", "node").alias("class")), "members")
     classes = written(known.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")

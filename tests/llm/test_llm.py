@@ -366,6 +366,24 @@ def test_near_classes_same_as_brute_force(spark, sizes):
     assert all(r["class_size"] == size[r["class_id"]] for r in got)
 
 
+def test_near_classes_compare_a_wide_family_once(spark, monkeypatch):
+    """Texts that share many buckets and are all apart: tiles take rows of the family once, not of each bucket, and no link is lost."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[:at] + [f"v{k}"] + base[at + 1 :])) for k, at in enumerate(random.Random(5).choices(range(4, 56), k=90))]
+    tiles, real = [], near_dedup.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "tiles":
+            tiles.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = near_dedup.near_classes(docs_of(spark, [(*r, "s") for r in rows]), block=8).collect()
+    assert {r["id"]: r["class_id"] for r in got} == brute_classes(rows)
+    assert len(tiles) == 2 and tiles[1] <= 90 * 2 * -(-90 // 8)
+
+
 def test_near_duplicate_query(spark):
     rows = texts_of(spark)
     assert {r["doc_id"]: r["class_id"] for r in queries.op5_near_dedup(spark, SF).collect()} == brute_classes(rows)
