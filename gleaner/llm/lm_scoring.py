@@ -16,9 +16,10 @@ Scale. Pairs (room, word) are counted in each task, then by room in parts; a roo
 word. A pair of one token always has one table: only pairs of more tokens are drawn. Pairs are written once. In a sweep the
 parts send the tables of each word to the word's part, which seats the word restaurant and answers with its state: no pair moves
 between parts, and no vector of all words comes to one place. Which rooms are split is decided by a sample of texts; that only
-spreads work. Scores: pairs as frequent as the MOST_PAIRS most frequent ones, and words as the MOST_HEAD ones, are broadcast with
-what they give; all other tokens go to the part of their pair. Of a pair that no training text has, what the room and the word
-give is multiplied, from the broadcast or else by joins. Nothing is dropped: all words and pairs count, all tokens are scored.
+spreads work, as do the parts' numbers, which Spark deals to different tasks. Scores: pairs as frequent as the MOST_PAIRS most
+frequent ones, and words as the MOST_HEAD ones, are broadcast with what they give; all other tokens go to the part of their
+pair. Of a pair that no training text has, what the room and the word give is multiplied, from the broadcast or else by joins.
+Nothing is dropped: all words and pairs count, all tokens are scored.
 
 Defined cases: a null text is empty, its only token is the end. A null doc_id is a training document. Repeated rows count
 each. Without training tokens N = V = 0, and all probabilities are 1. Texts are taken whole, however long. Other columns pass
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
@@ -41,12 +42,14 @@ from .common import INNER, forget, give_back, release, sparing, tidy, written
 BURN_IN, SAMPLES, STRENGTH = 2, 3, 1.0
 LAST = BURN_IN + SAMPLES
 MOST_HEAD, MOST_PAIRS = 1 << 19, 1 << 20
-#: Customers of a dish that are seated together with those of other dishes; so many of one dish at once; and those with a draw each.
+#: Customers of a dish that are seated together with those of other dishes; so many at once; and those of one dish with a draw each.
 ONE_BY_ONE, CHUNK, MOST_ALONE = 64, 1 << 16, 1 << 24
+#: Dishes whose first customers are seated at once.
+AT_A_TIME = 1 << 14
 #: One text in so many, by a hash, tells which rooms to split.
 HOT_SAMPLE = 64
-#: Tokens that a task counts at once, and those that it sends to be scored.
-AT_ONCE, SENT = 1 << 20, 1 << 18
+#: Tokens that a task counts at once, and those that it sends to be scored; texts whose sums it sends; bytes of text that it scores at once.
+AT_ONCE, SENT, SENT_TEXTS, SLICE_BYTES = 1 << 20, 1 << 18, 1 << 16, 1 << 18
 #: Log probabilities of pairs are kept in units of 1 / SCALE.
 SCALE = 100_000
 _U = np.uint64
@@ -92,7 +95,7 @@ def rows_of(rows: list[tuple[int, int, bytes, list[int] | None]]) -> pa.Table:
 
 def groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part with the places that have it, in order."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # short integers go by counts
     heads = np.flatnonzero(np.diff(part[order], prepend=-1))
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True) if len(heads) else ():
         yield int(part[order[a]]), order[a:b]
@@ -105,6 +108,36 @@ def blobs(table: pa.Table, kind: int, sweep: int = 0) -> Iterator[dict[str, np.n
             yield unpacked(data.as_py())
 
 
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where values other than the one before begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+
+
+class Places:
+    """Places in a sorted array of hashes, -1 where one is not there. Their first bits lead to the place or near it."""
+
+    def __init__(self, of: np.ndarray):
+        bits = max(1, len(of).bit_length())
+        self.of, self.shift = of, _U(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32 if len(of) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount((of >> self.shift).view(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.of):
+            return np.full(len(x), -1)
+        slot = (x >> self.shift).view(np.int64)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        hit = self.of[np.minimum(at, len(self.of) - 1)] == x
+        out = np.where(hit, at, -1)
+        on = np.flatnonzero(~hit & (end - at > 1))
+        while len(on):
+            at[on] += 1
+            hit = self.of[at[on]] == x[on]
+            out[on[hit]] = at[on[hit]]
+            on = on[~hit & (at[on] + 1 < end[on])]
+        return out
+
+
 def word_part(h: np.ndarray, n: int) -> np.ndarray:
     return ((words.mix(h) >> _U(32)) % _U(n)).astype(np.int64)
 
@@ -132,9 +165,10 @@ def pair_key(v: np.ndarray, u: np.ndarray) -> np.ndarray:
 class Parts:
     """Where pairs are: a room is in one part, or with some of its words in each of several."""
 
-    def __init__(self, n: int, hot: np.ndarray, slices: np.ndarray):
-        """hot: sorted hashes of the rooms that are split, and into how many slices."""
+    def __init__(self, n: int, hot: np.ndarray, slices: np.ndarray, names: np.ndarray | None = None):
+        """hot: sorted hashes of the rooms that are split, and into how many slices. names: of the parts in tables, 0 to n - 1 by default."""
         self.n, self.hot, self.slices = n, hot, slices
+        self.names = np.arange(n) if names is None else names
 
     def split(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of split rooms (0 for others) and which are."""
@@ -146,7 +180,11 @@ class Parts:
         part = word_part(u + words._STEP, self.n)
         if on.any():
             part[on] = (part[on] + word_part(v[on] + words._GRAM, 1 << 30) % self.slices[at[on]]) % self.n
-        return part
+        return self.names[part]
+
+    def home(self, h: np.ndarray) -> np.ndarray:
+        """The parts of words, or of documents."""
+        return self.names[word_part(h, self.n)]
 
 
 def _before(text: str):
@@ -161,6 +199,17 @@ def _before(text: str):
     return run
 
 
+def names_of(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that Spark deals to different shuffle partitions, or as evenly as there are partitions."""
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to = spark.range(0, 8 * (n + deal), 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(deal)).alias("to")).toArrow().column("to").to_numpy()
+    order = np.argsort(to, kind="stable")
+    heads = runs(to[order])
+    nth = np.empty(len(to), np.int64)
+    nth[order] = np.arange(len(to)) - np.repeat(heads, np.diff(np.append(heads, len(to))))
+    return np.sort(np.argsort(nth, kind="stable")[:n])
+
+
 def parts_of(docs: DataFrame, text: str) -> Parts:
     """About as many parts as 32 MB of input make; rooms with more than half a part's share of tokens are split."""
     split = int(docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
@@ -170,7 +219,7 @@ def parts_of(docs: DataFrame, text: str) -> Parts:
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = sorted((np.int64(r["u"]).view(np.uint64), -(-2 * n * r["n"] // total)) for r in counts.where(F.col("n") * (2 * n) > total).collect())  # at most 2 n rooms
     forget(counts)
-    return Parts(n, np.array([h for h, _ in hot], np.uint64), np.array([min(k, n) for _, k in hot], np.int64))
+    return Parts(n, np.array([h for h, _ in hot], np.uint64), np.array([min(k, n) for _, k in hot], np.int64), names_of(docs.sparkSession, n))
 
 
 def _counted(shared, text: str):
@@ -223,14 +272,15 @@ def _joined(table: pa.Table) -> pa.Table:
     offsets = np.cumsum([0, *(len(x["w"]) for x in own)])
     iu *= len(w)
     iu += iw[np.concatenate([x.pop("at") + at for x, at in zip(own, offsets, strict=False)])]
-    n = np.concatenate([x.pop("n") for x in own])
+    n = np.concatenate([x.pop("n").astype(np.int32) for x in own])  # a task counts AT_ONCE tokens, or a text, at once
     del own, iw
     order = np.argsort(iu)
     iu, n = iu[order], n[order]
-    heads = np.flatnonzero(np.diff(iu, prepend=-1))
-    n = np.add.reduceat(n, heads)
-    iu, iw = np.divmod(iu[heads], len(w))
-    del order, heads
+    del order
+    heads = runs(iu)
+    n, iu = np.add.reduceat(n, heads, dtype=np.int64), iu[heads]
+    del heads
+    iu, iw = np.divmod(iu, len(w))
     one = n == 1
     count = lambda at, size, x=None: np.bincount(at, x, size).astype(np.int64)
     pairs = packed(u=u, w=w, customers=count(iu, len(u), n), count=count(iw, len(w), n), ones_u=count(iu[one], len(u)), ones_w=count(iw[one], len(w)), size=count(iu[~one], len(u)), at=iw[~one], n=n[~one])
@@ -266,15 +316,45 @@ def _seated_alone(made: float, customers: int, new: float, discount: float, seed
     return made
 
 
+def _seated_together(made: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> list[float]:
+    """_seated_alone of several dishes with one call for all their customers."""
+    sizes = customers - ONE_BY_ONE
+    dish = np.repeat(np.arange(len(sizes)), sizes)
+    k = np.arange(len(dish)) - np.repeat(np.cumsum(sizes) - sizes - ONE_BY_ONE, sizes)
+    weight = np.repeat(new, sizes)
+    short = k + weight - weight / _draws(np.repeat(seeds, sizes), k)
+    most, fewer = None, made + sizes
+    while most is None or fewer.sum() < 0.9 * most.sum():
+        most = fewer
+        on = np.flatnonzero(short < (discount * most)[dish])
+        short, dish = short[on], dish[on]
+        fewer = made + np.bincount(dish, minlength=len(made))
+    out = made.tolist()
+    for i, x in zip(dish.tolist(), short.tolist(), strict=True):
+        out[i] += x < discount * out[i]
+    return out
+
+
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
     """Tables of dishes with so many customers, where opening a table has weight `new`. seeds: 64 bits for each dish."""
     made = np.minimum(customers, 1).astype(np.float64)
     on = np.flatnonzero(customers > 1)
-    for n in range(1, ONE_BY_ONE):
-        if not len(on):
-            return made
-        made[on] += _draws(seeds[on], n) * (n - discount * made[on] + new[on]) < new[on]
-        on = on[customers[on] > n + 1]
+    on = on[np.argsort(ONE_BY_ONE + 1 - np.minimum(customers[on], ONE_BY_ONE + 1).astype(np.uint8), kind="stable")]  # the most first: those with more customers to come lead
+    for lo in range(0, len(on), AT_A_TIME):
+        own = on[lo : lo + AT_A_TIME]
+        left = np.cumsum(np.bincount(np.minimum(customers[own], ONE_BY_ONE), minlength=ONE_BY_ONE + 1)[::-1])[::-1].tolist()  # dishes with n customers or more
+        t, weight, seed = np.ones(len(own)), new[own], seeds[own]
+        for n in range(1, ONE_BY_ONE):
+            if not (k := left[n + 1]):
+                break
+            t[:k] += _draws(seed[:k], n) * (n - discount * t[:k] + weight[:k]) < weight[:k]
+        made[own] = t
+    on = on[: np.count_nonzero(customers > ONE_BY_ONE)]
+    few = on[customers[on] <= CHUNK]
+    at = np.cumsum(customers[few] - ONE_BY_ONE) // CHUNK
+    for some in np.split(few, np.flatnonzero(np.diff(at)) + 1) if len(few) else ():
+        made[some] = _seated_together(made[some], customers[some], new[some], discount, seeds[some])
+    on = on[customers[on] > CHUNK]
     for i in on.tolist():
         made[i] = _seated_alone(made[i], min(int(customers[i]), MOST_ALONE), float(new[i]), discount, seeds[i])
     on = on[customers[on] > MOST_ALONE]
@@ -326,7 +406,7 @@ class Part:
         x = next(blobs(table, PAIRS))
         self.u, self.w, self.customers, self.count, self.ones_u, self.ones_w, self.size = (x[k] for k in ("u", "w", "customers", "count", "ones_u", "ones_w", "size"))
         self.iu, self.iw, self.n = np.repeat(np.arange(len(self.u)), x["size"]), x["at"], x["n"]
-        self.home = list(groups(word_part(self.w, parts.n)))
+        self.home = list(groups(parts.home(self.w)))
         self.hot, self.is_hot = parts.split(self.u)
 
     def answers(self, sweep: int, *names: str) -> tuple[np.ndarray, ...]:
@@ -462,7 +542,7 @@ def _modelled(shared, least: int):
         own = Part(table, parts)
         (counts,) = own.answers(0, "count")
         ones = next(blobs(table, ONES))
-        one_u, one_w = np.repeat(np.arange(len(own.u)), ones["size"]), ones["at"]
+        one_u, one_w = np.repeat(np.arange(len(own.u)), ones["size"]), ones.pop("at")
         customers = own.customers.copy()
         customers[own.is_hot] = split_customers[own.hot[own.is_hot]]
         p, q, given = np.zeros(len(own.n)), np.zeros(len(one_u)), []
@@ -470,17 +550,28 @@ def _modelled(shared, least: int):
             level, d = levels[s], levels[s].discounts[1]
             word, room = level.words(*own.answers(s, "c", "t")), level.rooms(own.tables(s, level.split), customers)
             p += (own.n - d * own.seated(s, levels[s - 1])) / (customers[own.iu] + STRENGTH) + room[own.iu] * word[own.iw]
-            q += (1 - d) / (customers[one_u] + STRENGTH) + room[one_u] * word[one_w]
+            for lo in range(0, len(q), CHUNK):
+                u, w = one_u[lo : lo + CHUNK], one_w[lo : lo + CHUNK]
+                q[lo : lo + CHUNK] += ((1 - d) / (customers + STRENGTH))[u] + room[u] * word[w]
             given.append(room)
         p, q = np.log10(p / SAMPLES), np.log10(q / SAMPLES)
-        iu, iw, lp = np.concatenate([own.iu, one_u]), np.concatenate([own.iw, one_w]), np.rint(np.concatenate([p, q]) * -SCALE).astype(np.int64)
-        order = np.argsort(iu * len(own.w) + iw)
+        lp = np.concatenate([p, q])
+        del q
+        lp = np.rint(np.multiply(lp, -SCALE, out=lp), out=lp).astype(np.int32)
+        order, iw = np.concatenate([own.iu, one_u]), np.concatenate([own.iw, one_w])
+        del one_u, one_w
+        order *= len(own.w)
+        order += iw
+        order = np.argsort(order)
+        iw, lp = iw[order], lp[order]
+        del order
         part = table.column("part")[0].as_py()
-        out = [(part, MODEL, packed(u=own.u, w=own.w, count=counts, size=own.size + ones["size"], at=iw[order], lp=lp[order]), None)]
+        out = [(part, MODEL, packed(u=own.u, w=own.w, count=counts, size=own.size + ones["size"], at=iw, lp=lp), None)]
+        del iw, lp
         often = own.n >= least
         out.append((part, FREQUENT, packed(key=pair_key(own.w[own.iw[often]], own.u[own.iu[often]]), lp=p[often].astype(np.float32)), None))
         given = np.stack(given, axis=1).astype(np.float32)
-        out += [(to, GIVEN, packed(u=own.u[at], room=given[at]), None) for to, at in groups(word_part(own.u, parts.n))]
+        out += [(to, GIVEN, packed(u=own.u[at], room=given[at]), None) for to, at in groups(parts.home(own.u))]
         return rows_of(out)
 
     return tidy(run)
@@ -561,83 +652,90 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 class Shared:
-    """What is broadcast: the most frequent words (and the end and the start) and pairs, each with what it gives."""
+    """What is broadcast: the most frequent words (and the end and the start), with what they give."""
 
-    def __init__(self, parts: Parts, log_all: float, h, c, room, word, keys, lp):
-        self.parts, self.log_all, self.h, self.c, self.room, self.word, self.keys, self.lp = parts, log_all, h, c, room, word, keys, lp
-        self.base = np.log10(c + 1.0) - log_all
+    def __init__(self, parts: Parts, log_all: float, h, room, word):
+        self.parts, self.log_all, self.h, self.room, self.word = parts, log_all, h, room, word
 
-    @staticmethod
-    def place(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Places in a sorted array, -1 where it is not there."""
-        if not len(of):
-            return np.full(len(x), -1)
-        at = np.minimum(np.searchsorted(of, x), len(of) - 1)
-        return np.where(of[at] == x, at, -1)
+
+class Often:
+    """What is broadcast to those who read texts: counts of the most frequent words, and the most frequent pairs."""
+
+    def __init__(self, c, keys, lp):
+        self.c, self.keys, self.lp = c, keys, lp
+
+    def ready(self, known: Shared) -> Often:
+        """With what follows from it, which is not broadcast. Place -1, the last one, gives nothing."""
+        if not hasattr(self, "words"):
+            self.words, self.pairs = Places(known.h), Places(self.keys)
+            self.base = np.append(np.log10(self.c + 1.0) - known.log_all, 0.0)
+            self.trained = np.append(self.c > 0, False)
+            self.lp = np.append(self.lp, np.float32(0))
+        return self
 
 
 SUM_NAMES = ("doc", "rows", "tokens", "known", "base", "s")
 
 
-def _sums_to(parts: int, doc: np.ndarray, **x: np.ndarray) -> list[tuple]:
-    return [(to, SUMS, packed(doc=doc[at].view(np.uint64), **{k: v[at] for k, v in x.items()}), None) for to, at in groups(word_part(doc.view(np.uint64), parts))]
+def _sums_to(parts: Parts, doc: np.ndarray, **x: np.ndarray) -> list[tuple]:
+    return [(to, SUMS, packed(doc=doc[at].view(np.uint64), **{k: v[at] for k, v in x.items()}), None) for to, at in groups(parts.home(doc.view(np.uint64)))]
 
 
-def _asked(shared, text: str):
+def _asked(shared, frequent, text: str):
     """Texts' sums over what is broadcast, and their other tokens by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        waiting, size = [], 0
+        often = frequent.value.ready(known)
+        waiting, sums, size, texts = [], [], 0, 0
+        start = often.words(np.array([START]))[0]
         sparing()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
+            every, *own = (np.concatenate(x) for x in zip(*sums, strict=True))
+            rows = _sums_to(known.parts, every, **dict(zip(SUM_NAMES[1:], own, strict=True)))
             doc, u, v, iu, iv, m, part = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            rows = []
             both = (iu >= 0) & (iv >= 0)
             for kind, on in ((ASKED, np.flatnonzero(both)), (OTHERS, np.flatnonzero(~both))):
                 if kind == ASKED:
-                    on = on[np.argsort(iu[on] * len(known.h) + iv[on])]
+                    on = on[np.argsort(iu[on].astype(np.int64) * len(known.h) + iv[on])]
                 for to, at in groups(part[on]):
                     at = on[at]
                     docs, place = np.unique(doc[at], return_inverse=True)
-                    x = {"docs": docs.view(np.uint64), "doc": place, "m": m[at]}
+                    x = {"docs": every[docs].view(np.uint64), "doc": place, "m": m[at]}
                     if kind == ASKED:
-                        heads = np.flatnonzero(np.diff(iu[at], prepend=-1))
+                        heads = runs(iu[at])
                         x |= {"u": iu[at[heads]], "size": np.diff(np.append(heads, len(at))), "v": iv[at]}
                     else:
                         x |= {"u": u[at], "v": v[at], "open": (iv[at] < 0).astype(np.uint8)}
                     rows.append((to, kind, packed(**x), None))
-            return rows_of(rows).combine_chunks().to_batches()[0]
+            yield from rows_of(rows).combine_chunks().to_batches()
 
         for batch in batches:
-            for lo, hi in words.slices(batch.column(text)):
+            for lo, hi in words.slices(batch.column(text), SLICE_BYTES):
                 v, u, row, heads = laid_out(words.split(batch.column(text).slice(lo, hi - lo), lower=True))
-                doc = batch.column(f"{INNER}doc").slice(lo, hi - lo).to_numpy()
-                at = known.place(v, known.h)
-                seen = at >= 0
+                at = often.words(v)
                 near = np.empty_like(at)
                 near[1:] = at[:-1]
-                near[heads] = known.place(np.array([START]), known.h)[0]
+                near[heads] = start
                 n = hi - lo
                 key = pair_key(v, u)
-                often = known.place(key, known.keys)
-                hit = often >= 0
-                sums = {"rows": np.ones(n, np.int64), "tokens": np.bincount(row, minlength=n), "known": np.bincount(row[seen], known.c[at[seen]] > 0, n).astype(np.int64), "base": np.bincount(row[seen], known.base[at[seen]], n), "s": np.bincount(row[hit], known.lp[often[hit]].astype(np.float64), n)}
-                if rows := _sums_to(known.parts.n, doc, **sums):
-                    yield rows_of(rows).combine_chunks().to_batches()[0]
-                rest = np.flatnonzero(~hit)
-                _, one, m = np.unique(key[rest] + row[rest].astype(np.uint64) * words._STEP, return_index=True, return_counts=True)
-                one = rest[one]
-                if len(one):
-                    waiting.append((doc[row[one]], u[one], v[one], near[one], at[one], m, known.parts.of(u[one], v[one])))
-                    size += len(one)
-                if size >= SENT:
-                    yield out()
-                    waiting, size = [], 0
-        if waiting:
-            yield out()
-        del waiting
+                pair = often.pairs(key)
+                sums.append((batch.column(f"{INNER}doc").slice(lo, n).to_numpy(), np.ones(n, np.int64), np.bincount(row, minlength=n), np.bincount(row, often.trained[at], n).astype(np.int64), np.bincount(row, often.base[at], n), np.bincount(row, often.lp[pair], n)))
+                rest = np.flatnonzero(pair < 0)
+                same = key[rest] + row[rest].astype(np.uint64) * words._STEP
+                order = np.argsort(same)
+                one = runs(same[order])
+                m = np.diff(np.append(one, len(order)))
+                one = rest[order[one]]
+                waiting.append((row[one] + texts, u[one], v[one], near[one].astype(np.int32), at[one].astype(np.int32), m, known.parts.of(u[one], v[one])))
+                size, texts = size + len(one), texts + n
+                if size >= SENT or texts >= SENT_TEXTS:
+                    yield from out()
+                    waiting, sums, size, texts = [], [], 0, 0
+        if sums:
+            yield from out()
+        del waiting, sums
         give_back()
 
     return run
@@ -658,14 +756,19 @@ def _given(shared):
 
         out = [more(table.filter(pa.array(kinds == SUMS)))]
         x = next(blobs(table, MODEL), None) or {k: np.zeros(0, np.uint64 if k in "uw" else np.int64) for k in ("u", "w", "count", "size", "at", "lp")}
-        u, w, count, lp = x["u"], x["w"], x["count"], x["lp"] / -SCALE
-        keys = np.repeat(np.arange(len(u)), x["size"]) * max(1, len(w)) + x["at"]
-        of_u, of_w = known.place(known.h, u), known.place(known.h, w)
+        u, w, count, lp = x["u"], x["w"], x["count"], x.pop("lp") / -SCALE
+        keys = np.repeat(np.arange(len(u)) * len(w), x["size"])
+        keys += x.pop("at")
+        rooms, dishes = Places(u), Places(w)
+        of_u, of_w = rooms(known.h), dishes(known.h)
         docs, sums = [], []
 
         def found(iu, iw):
-            at = known.place(np.where((iu >= 0) & (iw >= 0), iu * max(1, len(w)) + iw, -1), keys)
-            return at, at >= 0
+            if not len(keys):
+                return np.full(len(iu), -1), np.zeros(len(iu), bool)
+            asked = np.where((iu >= 0) & (iw >= 0), iu * len(w) + iw, -1)
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return at, keys[at] == asked
 
         for x in blobs(table, ASKED):
             nu, nv = np.repeat(x["u"], x["size"]), x["v"]
@@ -677,8 +780,8 @@ def _given(shared):
             docs.append(x["docs"].view(np.int64))
             sums.append((np.bincount(x["doc"], x["m"] * s, size), np.zeros(size), np.zeros(size)))
         for x in blobs(table, OTHERS):
-            iw = known.place(x["v"], w)
-            at, hit = found(known.place(x["u"], u), iw)
+            iw = dishes(x["v"])
+            at, hit = found(rooms(x["u"]), iw)
             size, m, told = len(x["docs"]), x["m"], hit & (x["open"] > 0)
             docs.append(x["docs"].view(np.int64))
             sums.append((np.bincount(x["doc"][hit], m[hit] * lp[at[hit]], size), np.bincount(x["doc"][told], m[told] * (np.log10(count[iw[told]] + 1.0) - known.log_all), size), np.bincount(x["doc"][told], m[told], size)))
@@ -689,7 +792,7 @@ def _given(shared):
             doc, at = np.unique(np.concatenate(docs), return_inverse=True)
             s, base, seen = (np.bincount(at, np.concatenate(x), len(doc)) for x in zip(*sums, strict=True))
             nobody = np.zeros(len(doc), np.int64)
-            out.append(more(rows_of(_sums_to(known.parts.n, doc, rows=nobody, tokens=nobody, known=seen.astype(np.int64), base=base, s=s))))
+            out.append(more(rows_of(_sums_to(known.parts, doc, rows=nobody, tokens=nobody, known=seen.astype(np.int64), base=base, s=s))))
         return pa.concat_tables(out).combine_chunks()
 
     return tidy(run)
@@ -723,13 +826,15 @@ def score_texts(docs: DataFrame, *, id_column="doc_id", text_column="text", keep
     pairs = [unpacked(r["data"]) for r in table.where(F.col("kind") == FREQUENT).select("data").toLocalIterator()]
     keys, lp = (np.concatenate([np.zeros(0, k), *(x[f] for x in pairs)]) for f, k in (("key", np.uint64), ("lp", np.float32)))
     by = np.argsort(keys)
-    shared = spark.sparkContext.broadcast(Shared(parts, log_all, h[order], c[order], gives("room", [1.0] * SAMPLES)[order], gives("word", unknown)[order], keys[by], lp[by]))
+    shared = spark.sparkContext.broadcast(Shared(parts, log_all, h[order], gives("room", [1.0] * SAMPLES)[order], gives("word", unknown)[order]))
+    frequent = spark.sparkContext.broadcast(Often(c[order], keys[by], lp[by]))
     keyed = docs.withColumn(f"{INNER}doc", F.xxhash64(F.col(id_column), F.col(text_column)))
-    asked = keyed.select(text_column, f"{INNER}doc").mapInArrow(_asked(shared, text_column), BLOB)
+    asked = keyed.select(text_column, f"{INNER}doc").mapInArrow(_asked(shared, frequent, text_column), BLOB)
     rows = asked.union(table.where(F.col("kind") == MODEL)).groupBy("part").applyInArrow(_given(shared), SCORED)
     rows = written(rows, "scored")
     forget(table)
     shared.unpersist()
+    frequent.unpersist()
     del asked
     release(spark)
     # Unseen pairs with words beyond the broadcast: what the room and the word give comes by joins.

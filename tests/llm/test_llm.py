@@ -690,6 +690,56 @@ def test_seating_in_one_draw_is_as_one_by_one(monkeypatch, n, new, discount):
     assert abs(got.mean() - made.mean()) < 4 * error and abs(got.std() / made.std() - 1) < 0.08
 
 
+def test_dishes_are_seated_together(monkeypatch):
+    """As many tables as when each dish is seated alone, but with one call for many dishes."""
+    rng, draws, calls = np.random.default_rng(2), lm_scoring._draws, []
+    c = np.concatenate([rng.integers(0, 900, 20_000), [lm_scoring.CHUNK, lm_scoring.CHUNK + 1, 300_000]])
+    new, seeds = rng.uniform(0.01, 40, len(c)), words.mix(np.arange(len(c)).astype(np.uint64))
+    monkeypatch.setattr(lm_scoring, "_draws", lambda s, k: (calls.append(1), draws(s, k))[1])
+    got = lm_scoring.seat(c, new, 0.6, seeds)
+    assert len(calls) < 1000
+    want = np.minimum(c, 1).astype(float)
+    for n in range(1, lm_scoring.ONE_BY_ONE):
+        on = c > n
+        want[on] += draws(seeds[on], n) * (n - 0.6 * want[on] + new[on]) < new[on]
+    for i in np.flatnonzero(c > lm_scoring.ONE_BY_ONE):
+        want[i] = lm_scoring._seated_alone(want[i], int(c[i]), float(new[i]), 0.6, seeds[i])
+    assert (got == want).all()
+
+
+@pytest.mark.parametrize("n,spread", [(0, True), (1, True), (2, True), (5000, True), (3000, False)])
+def test_places_of_hashes(n, spread):
+    """Also where many hashes have their first bits in common."""
+    own = words.mix(np.arange(n).astype(np.uint64)) if spread else np.arange(n).astype(np.uint64) * np.uint64(3)
+    own = np.unique(np.concatenate([own, np.array([0, 1, words.MASK][:n], np.uint64)]))
+    asked = np.concatenate([own, own + np.uint64(1), words.mix(np.arange(10_000, 20_000).astype(np.uint64)), np.array([0, words.MASK], np.uint64)])
+    at = {int(x): i for i, x in enumerate(own)}
+    assert lm_scoring.Places(own)(asked).tolist() == [at.get(int(x), -1) for x in asked]
+
+
+def test_sums_are_sent_once_for_many_texts():
+    """Texts' sums go out with the tokens of a task, not for each slice of texts."""
+    sent = lambda x: type("Sent", (), {"value": x})
+    shared = sent(lm_scoring.Shared(lm_scoring.Parts(16, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0.0, np.array([0, 1], np.uint64), np.ones((2, 3), np.float32), np.ones((2, 3), np.float32)))
+    frequent = sent(lm_scoring.Often(np.array([1, 0]), np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+    batch = pa.RecordBatch.from_pydict({"text": ["one two " * 2000] * 200, f"{lm_scoring.INNER}doc": list(range(200))})  # 3 MB
+    out = pa.Table.from_batches(lm_scoring._asked(shared, frequent, "text")([batch]))
+    sums = out.filter(pa.array(out.column("kind").to_numpy() == lm_scoring.SUMS))
+    assert sums.num_rows <= 16
+    own = [x for data in sums.column("data") for x in [lm_scoring.unpacked(data.as_py())]]
+    assert sorted(np.concatenate([x["doc"] for x in own]).tolist()) == list(range(200)) and all((x["tokens"] == 4001).all() and (x["known"] == 1).all() for x in own)
+
+
+def test_parts_go_to_different_tasks(spark):
+    """A task that gets several parts holds them all at once."""
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (1, deal // 2, deal, 3 * deal + 1):
+        names = lm_scoring.names_of(spark, n)
+        assert len(set(names.tolist())) == n
+        rows = spark.createDataFrame([(int(x),) for x in names], "part int").repartition(deal, "part").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in rows) <= -(-n // deal)
+
+
 def test_scores_of_nothing(spark):
     docs = docs_of(spark, EDGE)
     assert lm_scoring.score_texts(docs.limit(0)).count() == 0
